@@ -212,7 +212,7 @@ def merge_tables(df: DataFrame, dtype: str, op: str, parts: int = 16) -> np.ndar
 
     kind = np.dtype(dtype)
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table):
         total = None
         for blob in table.column("blob"):
             x = np.frombuffer(zstandard.decompress(blob.as_py()), kind)

@@ -1,6 +1,13 @@
 """The queries of the text operators and their SQL."""
 
-from causalframe.llm import exact_dedup
+from causalframe.llm import decontaminate, exact_dedup, packing
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_pack": packing.op3_pack,
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_decontaminate": decontaminate.ORACLE,
+}
