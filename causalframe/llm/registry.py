@@ -1,11 +1,13 @@
 """The queries of the text operators and their SQL."""
 
-from causalframe.llm import decontaminate, exact_dedup, packing
+from causalframe.llm import decontaminate, exact_dedup, packing, secrets, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_pack": packing.op3_pack,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_url_filter": url_filter.op5_url_filter,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
