@@ -1,6 +1,6 @@
 """The queries of the text operators and their SQL."""
 
-from causalframe.llm import decontaminate, exact_dedup, packing, secrets, toxicity, url_filter
+from causalframe.llm import decontaminate, exact_dedup, packing, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_url_filter": url_filter.op5_url_filter,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality": quality.op9_quality,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
