@@ -1,6 +1,6 @@
 """The queries of the text operators and their SQL."""
 
-from causalframe.llm import decontaminate, exact_dedup, packing, quality, secrets, toxicity, url_filter
+from causalframe.llm import decontaminate, exact_dedup, packing, pii, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_pack": packing.op3_pack,
     "op4_secrets": secrets.op4_secrets,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_pii": pii.op6_pii,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
 }

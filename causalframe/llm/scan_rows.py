@@ -26,12 +26,12 @@ def digest(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scan(docs: DataFrame, find: Callable[[str, dict[str, bool]], list[Span]], base: tuple[str, ...], more: tuple[str, ...], hints: dict[str, str]) -> DataFrame:
+def scan(docs: DataFrame, find: Callable[[str, dict[str, bool]], tuple[list[Span], list[Span]]], base: tuple[str, ...], more: tuple[str, ...], hints: dict[str, str]) -> DataFrame:
     """One row for each row of docs: doc_id, the number of spans of each base kind,
     base_sha256, spans (text), found (kind, start, end, value).
 
     hints: linear-time patterns of which a text must match at least one to be worth
-    the Python search; find gets which of them matched."""
+    the Python search; find gets which of them matched and gives base and added spans."""
     kinds = base + more
     fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in base), ("base_sha256", pa.string()), ("spans", pa.string())]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
@@ -48,8 +48,8 @@ def scan(docs: DataFrame, find: Callable[[str, dict[str, bool]], list[Span]], ba
             some = [i for i in range(n) if any(m[i] for m in matched.values())]
             for i in some:
                 text = texts[i].as_py()
-                spans = ordered(find(text, {k: bool(m[i]) for k, m in matched.items()}), kinds)
-                own = [x for x in spans if x[0] in base]
+                own, added = find(text, {k: bool(m[i]) for k, m in matched.items()})
+                own, spans = ordered(own, kinds), ordered(own + added, kinds)
                 for k, _, _ in own:
                     counts[k][i] += 1
                 sha[i], joined[i] = hashlib.sha256(digest(own).encode()).hexdigest(), digest(spans)

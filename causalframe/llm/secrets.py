@@ -28,7 +28,6 @@ CONFIRMED = ("signed_token", "der_key", "ssh_key", "armoured_key")
 LEAST_RUN = 40
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
-# The rest of the match is told apart from the key word's case: its classes have both cases.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
@@ -127,9 +126,10 @@ def ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0] in _SSH_KINDS
 
 
-def find(text: str, hint: dict[str, bool]) -> list[Span]:
-    """All spans of a text, unordered."""
+def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
+    """Base spans of a text and confirmed ones, unordered."""
     spans: list[Span] = []
+    confirmed: list[Span] = []
     if hint["assign"]:
         spans += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if hint["access"]:
@@ -140,22 +140,22 @@ def find(text: str, hint: dict[str, bool]) -> list[Span]:
         for m in _ARMOUR.finditer(text):
             data = decode("".join(m[2].split()))
             if data and (der_key(data) or ssh_key(data)):
-                spans.append(("armoured_key", *m.span()))
+                confirmed.append(("armoured_key", *m.span()))
     if hint["run"]:
-        spans += [("signed_token", *m.span()) for m in _SIGNED.finditer(text) if signed_header(m[0])]
+        confirmed += [("signed_token", *m.span()) for m in _SIGNED.finditer(text) if signed_header(m[0])]
         for m in _RUN.finditer(text):
             data = decode(m[0])
             if data and der_key(data):
-                spans.append(("der_key", *m.span()))
+                confirmed.append(("der_key", *m.span()))
             elif data and ssh_key(data):
-                spans.append(("ssh_key", *m.span()))
+                confirmed.append(("ssh_key", *m.span()))
         for m in _HEX_RUN.finditer(text):
             data = bytes.fromhex(m[0])
             if der_key(data):
-                spans.append(("der_key", *m.span()))
+                confirmed.append(("der_key", *m.span()))
             elif ssh_key(data):
-                spans.append(("ssh_key", *m.span()))
-    return spans
+                confirmed.append(("ssh_key", *m.span()))
+    return spans, confirmed
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
