@@ -1,6 +1,6 @@
 """The queries of the text operators and their SQL."""
 
-from causalframe.llm import decontaminate, exact_dedup, packing, pii, quality, secrets, toxicity, url_filter
+from causalframe.llm import decontaminate, exact_dedup, ngram_join, packing, pii, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,8 +11,10 @@ QUERIES = {
     "op6_pii": pii.op6_pii,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }
