@@ -66,7 +66,7 @@ def causal_match(
     w = Window.partitionBy(*parts).orderBy(on, _O).rowsBetween(Window.unboundedPreceding, 0)
     rows = both.withColumn(_M, F.last(_P, ignorenulls=True).over(w)).where(F.col(_T).isNotNull())
     if block:
-        ends = both.groupBy(*parts).agg(F.max_by(_P, on).alias(_P))
+        ends = both.groupBy(*parts).agg(F.max_by(_P, F.when(F.col(_P).isNotNull(), F.col(on))).alias(_P))
         earlier = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
         carry = ends.withColumn("__carry", F.last(_P, ignorenulls=True).over(earlier)).drop(_P)
         # Blocks without a carry need none; null keys meet null keys.
