@@ -55,12 +55,12 @@ def causal_match(
     keys = list(keys)
     check_time_type(data, on)
     check_time_type(target, on)
-    if check:
-        check_unique(data, *keys, on)
     values = [c for c in data.columns if c not in keys and c != on] if values is None else list(values)
     clash = sorted(set(values) & (set(target.columns) - set(keys) - {on}))
     if clash:
         raise ValueError(f"columns of both sides: {', '.join(clash)}")
+    if check:
+        check_unique(data, *keys, on)
     both = _union(data, target, keys, on, values, contemp, block)
     parts = keys + ([_B] if block else [])
     w = Window.partitionBy(*parts).orderBy(on, _O).rowsBetween(Window.unboundedPreceding, 0)
