@@ -1,17 +1,19 @@
 """N-gram Jaccard self-join with rare-first prefix, length, positional and suffix filters.
 
 A text's set is its distinct word shingles. Equal sets are one node. Each node's
-shingles are ordered by how often the corpus has them, rarest first; nodes whose
-Jaccard similarity reaches the threshold must share one of the first
-n - ceil(t * n) + 1. Those prefixes are dealt out by shingle, once per node and task.
+shingles are ordered by how often the corpus has them, rarest first. Two nodes whose
+Jaccard similarity reaches the threshold t share at least l of their first
+n - ceil(t * n) + l, whatever l is; these prefixes are dealt out by shingle, once per
+node and task. A node with fewer than l prefix shingles that other nodes have too links
+with nothing and is done. The join itself works on the prefixes for l = 1.
 
 Where many nodes share a prefix shingle, most of their pairs would only confirm what
-a few show. So the join runs in two rounds. The first links each node to the first of
-its group that length and position allow, verifies those pairs once each, and merges
-what they connect. The second takes every pair of nodes that share a prefix shingle
-but not yet a component, as far as the filters let them link, and verifies each once.
-No link between components is lost, and no group is expanded into all its pairs
-unless its members really are unconnected.
+a few show. So the first round links the nodes of each group to those few of it that
+share most with others, verifies these pairs and merges what they connect. The second
+takes every pair of nodes that share a prefix shingle but not yet a component, as far
+as the filters let them link, and verifies each once. No link between components is
+lost, and no group is expanded into all its pairs unless its members really are
+unconnected.
 
 The frequency table has a fixed number of slots; it only orders shingles, so shared
 slots cost work, never results. So does the filter that picks which texts' sets are
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causalframe.llm import common
@@ -39,10 +41,15 @@ THRESHOLD = 85
 SLOTS_LOG2 = 21
 FILTER_LOG2 = 25
 #: Bins of a set's hashes for the suffix filter.
-BINS = 8
+BINS = 256
 
-_REC = np.dtype([("token", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("n", "<u4"), ("pos", "<u4")])
-_DOC = np.dtype([("doc", "<i8"), ("known", "<i4"), ("n", "<u4"), ("hi", "<u8"), ("lo", "<u8")])
+#: Pairs of a node in the first round; the second takes all that are left.
+STAR_PAIRS = 4
+
+#: A node is told by 96 bits of its set's digest (hi, lo) and its size n. Places beyond
+#: 65,535 count as that, which only weakens the positional filter.
+_REC = np.dtype([("token", "<u8"), ("hi", "<u8"), ("lo", "<u4"), ("n", "<u4"), ("pos", "<u2")])
+_DOC = np.dtype([("doc", "<i8"), ("known", "<i4"), ("n", "<u4"), ("hi", "<u8"), ("lo", "<u4")])
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -69,7 +76,12 @@ def _node(s: np.ndarray) -> tuple[int, int]:
     import xxhash
 
     x = xxhash.xxh3_128_intdigest(s.tobytes())
-    return x >> 64, x & (2**64 - 1)
+    return x >> 64, x & (2**32 - 1)
+
+
+def least_shared(n):
+    """l of a set of n shingles. Two sets that link share at least the smaller one's l in their prefixes."""
+    return 1 + n // 25
 
 
 def least_overlap(n: np.ndarray, t: int) -> np.ndarray:
@@ -90,21 +102,73 @@ def _frequencies(docs: DataFrame, k: int, log2: int) -> np.ndarray:
     return common.merge_tables(docs.mapInArrow(run, "part int, blob binary"), "uint32", "add")
 
 
+def _dealt(r: np.ndarray, by: str, buckets: int) -> list[tuple]:
+    """Records by bucket of one of their fields, packed."""
+    home = (common.mix(r[by]) % U64(buckets)).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    edges = np.searchsorted(home[order], np.arange(buckets + 1))
+    return [(i, 0, r[order[a:b]].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+
+
+_BLOB = "bucket int, kind int, blob binary"
+_BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_BLOB_ARROW)], schema=_BLOB_ARROW)
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[tuple]]:
+    """Records of a bucket, and its rows of documents as they are."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True))
+    return np.concatenate([np.zeros(0, _REC), *(np.frombuffer(x, _REC) for _, k, x in rows if k == 0)]), [r for r in rows if r[1] == 1]
+
+
+def _shared(r: np.ndarray) -> np.ndarray:
+    """Records of shingles that at least two nodes have, each node once, by shingle and size."""
+    r = r[np.lexsort((r["lo"], r["hi"], r["n"], r["token"]))]
+    if len(r) < 2:
+        return r[:0]
+    same = r["token"][1:] == r["token"][:-1]
+    again = same & (r["hi"][1:] == r["hi"][:-1]) & (r["lo"][1:] == r["lo"][:-1]) & (r["n"][1:] == r["n"][:-1])
+    r = r[np.concatenate([[True], ~again])]
+    same = np.concatenate([[False], r["token"][1:] == r["token"][:-1], [False]])
+    return r[same[1:] | same[:-1]]
+
+
+def _by_node(buckets: int):
+    """Of a bucket of shingles: the shared ones' records, dealt out by node."""
+
+    def run(key, table):
+        r, docs = _unpacked(table)
+        return pa.Table.from_batches([_blobs(_dealt(_shared(r), "hi", buckets) + docs)])
+
+    return run
+
+
+def _by_shingle(t: int, buckets: int):
+    """Of a bucket of nodes: the records of those that share enough, dealt out by shingle."""
+
+    def run(key, table):
+        r, docs = _unpacked(table)
+        if len(r):
+            _, node, count = np.unique(r[["hi", "lo", "n"]], return_inverse=True, return_counts=True)
+            # The smallest set that it may link with has the smaller l.
+            r = r[count[node.ravel()] >= least_shared(least_overlap(r["n"].astype(np.int64), t))]
+        return pa.Table.from_batches([_blobs(_dealt(r, "token", buckets) + docs)])
+
+    return run
+
+
 def _prefixes(docs: DataFrame, frequency: np.ndarray, k: int, t: int, buckets: int) -> DataFrame:
     """Packed prefix records by bucket of shingle, and packed documents."""
     mask = U64(len(frequency) - 1)
 
     def blobs(parts: list, records: list) -> pa.RecordBatch:
-        rows = []
-        if parts:
-            r = np.concatenate(parts)
-            home = (common.mix(r["token"]) % U64(buckets)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            edges = np.searchsorted(home[order], np.arange(buckets + 1))
-            rows += [(i, 0, r[order[a:b]].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        rows = _dealt(np.concatenate(parts), "token", buckets) if parts else []
         d = np.array(records, _DOC)
-        rows += [(int(x["lo"][0] % U64(buckets)), 1, x.tobytes()) for x in (d[lo : lo + 4096] for lo in range(0, len(d), 4096))]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
+        rows += [(int(x["lo"][0] % buckets), 1, x.tobytes()) for x in (d[lo : lo + 4096] for lo in range(0, len(d), 4096))]
+        return _blobs(rows)
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -119,11 +183,11 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, k: int, t: int, buckets: i
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add((hi, lo))
-                p = n - int(least_overlap(n, t)) + 1
+                p = n - int(least_overlap(n, t)) + least_shared(n)
                 f = frequency[(s & mask).astype(np.int64)]
                 rarest = np.lexsort((s, f))[:p]
                 r = np.empty(p, _REC)
-                r["token"], r["hi"], r["lo"], r["n"], r["pos"] = s[rarest], hi, lo, n, np.arange(p)
+                r["token"], r["hi"], r["lo"], r["n"], r["pos"] = s[rarest], hi, lo, n, np.minimum(np.arange(p), 65535)
                 parts.append(r)
                 held += p
             if held > 400_000:
@@ -132,58 +196,28 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, k: int, t: int, buckets: i
         if records:
             yield blobs(parts, records)
 
-    return docs.mapInArrow(run, "bucket int, kind int, blob binary")
-
+    return docs.mapInArrow(run, _BLOB)
 
-_OUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("token", pa.int64()), ("a_hi", pa.int64()), ("a_lo", pa.int64()), ("a_n", pa.int32()), ("pos", pa.int32()), ("b_hi", pa.int64()), ("b_lo", pa.int64()), ("b_n", pa.int32())])
-_OUT_SQL = "kind string, doc_id long, token long, a_hi long, a_lo long, a_n int, pos int, b_hi long, b_lo long, b_n int"
 
+_OUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("token", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_OUT_SQL = "kind string, doc_id long, token long, hi long, lo long, n int, pos int"
 
-def _rows(kind: str, n: int, **columns) -> pa.RecordBatch:
-    arrays = []
-    for f in _OUT:
-        if f.name == "kind":
-            arrays.append(pa.array([kind] * n, f.type))
-        elif f.name in columns:
-            x = columns[f.name]
-            arrays.append(x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype.itemsize == 8 else x.astype(np.int32), f.type))
-        else:
-            arrays.append(pa.nulls(n, f.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=_OUT)
 
-
-def _groups(t: int):
-    """Of a bucket: documents (d), members of shingles that several nodes share (g), and
-    each member's first candidate pair (e)."""
+def _members(t: int):
+    """Of a bucket of shingles: documents (d), and members of groups within the prefix for l = 1 (g)."""
 
     def run(key, table):
-        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        d = np.concatenate([np.zeros(0, _DOC), *(np.frombuffer(x, _DOC) for k, x in zip(kinds, blobs, strict=True) if k == 1)])
-        out = [_rows("d", len(d), doc_id=pa.array(d["doc"], mask=d["known"] == 0), a_hi=d["hi"], a_lo=d["lo"], a_n=d["n"])]
-        r = np.concatenate([np.zeros(0, _REC), *(np.frombuffer(x, _REC) for k, x in zip(kinds, blobs, strict=True) if k == 0)])
-        r = r[np.lexsort((r["lo"], r["hi"], r["n"], r["token"]))]
-        if len(r) > 1:
-            again = (r["token"][1:] == r["token"][:-1]) & (r["hi"][1:] == r["hi"][:-1]) & (r["lo"][1:] == r["lo"][:-1])
-            r = r[np.concatenate([[True], ~again])]
-        new = np.concatenate([[True], r["token"][1:] != r["token"][:-1]]) if len(r) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        size = np.bincount(group, minlength=1)
-        r, group = r[size[group] > 1] if len(r) else r, group[size[group] > 1] if len(r) else group
-        if len(r):
-            out.append(_rows("g", len(r), token=r["token"], a_hi=r["hi"], a_lo=r["lo"], a_n=r["n"], pos=r["pos"]))
-            # Sorted by size within a group: the first member large enough for each.
-            n = r["n"].astype(np.int64)
-            span = int(n.max()) + 1
-            center = np.searchsorted(group.astype(np.int64) * span + n, group.astype(np.int64) * span + least_overlap(n, t))
-            me = np.arange(len(r))
-            most = np.minimum(n[center.clip(max=len(r) - 1)] - r["pos"][center.clip(max=len(r) - 1)], n - r["pos"])
-            need = -(-t * (n[center] + n) // (100 + t))
-            use = (center < me) & (most >= need)
-            a, b = r[center[use]], r[me[use]]
-            pair = np.zeros(len(a), [(x, "<u8") for x in ("ah", "al", "bh", "bl")] + [("an", "<u4"), ("bn", "<u4")])
-            pair["ah"], pair["al"], pair["bh"], pair["bl"], pair["an"], pair["bn"] = a["hi"], a["lo"], b["hi"], b["lo"], a["n"], b["n"]
-            pair = np.unique(pair)
-            out.append(_rows("e", len(pair), a_hi=pair["ah"], a_lo=pair["al"], a_n=pair["an"], b_hi=pair["bh"], b_lo=pair["bl"], b_n=pair["bn"]))
+        r, docs = _unpacked(table)
+        d = np.concatenate([np.zeros(0, _DOC), *(np.frombuffer(x, _DOC) for _, _, x in docs)])
+        r = r[r["pos"] <= r["n"] - least_overlap(r["n"].astype(np.int64), t)] if len(r) else r
+        r = _shared(r)
+        out = []
+        for kind, x in (("d", d), ("g", r)):
+            none = pa.nulls(len(x), pa.int64())
+            doc = pa.array(d["doc"], mask=d["known"] == 0) if kind == "d" else none
+            token = none if kind == "d" else pa.array(np.ascontiguousarray(r["token"]).view(np.int64))
+            pos = pa.nulls(len(x), pa.int32()) if kind == "d" else pa.array(r["pos"].astype(np.int32))
+            out.append(pa.RecordBatch.from_arrays([pa.array([kind] * len(x), pa.string()), doc, token, pa.array(np.ascontiguousarray(x["hi"]).view(np.int64)), pa.array(x["lo"].astype(np.int64)), pa.array(x["n"].astype(np.int32)), pos], schema=_OUT))
         return pa.Table.from_batches(out)
 
     return run
@@ -205,11 +239,12 @@ def _sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
             if not fresh:
                 continue
             hi, lo = (np.array(x, U64).view(np.int64) for x in zip(*fresh, strict=True))
-            bins = [np.bincount((s >> U64(61)).astype(np.int64), minlength=BINS).astype(np.int32) for s in fresh.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(bins, pa.list_(pa.int32())), pa.array([s.view(np.int64) for s in fresh.values()], pa.list_(pa.int64()))], names=["hi", "lo", "bins", "grams"])
+            n = pa.array([len(x) for x in fresh.values()], pa.int32())
+            bins = [np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=BINS), 127).astype(np.int8) for s in fresh.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), n, pa.array(bins, pa.list_(pa.int8())), pa.array([s.view(np.int64) for s in fresh.values()], pa.list_(pa.int64()))], names=["hi", "lo", "n", "bins", "grams"])
 
-    rows = docs.mapInArrow(run, "hi long, lo long, bins array<int>, grams array<long>")
-    return rows.groupBy(F.struct("hi", "lo").alias("u")).agg(F.first("bins").alias("bins"), F.first("grams").alias("grams"))
+    rows = docs.mapInArrow(run, "hi long, lo long, n int, bins array<tinyint>, grams array<long>")
+    return rows.groupBy(F.struct("hi", "lo", "n").alias("u")).agg(F.first("bins").alias("bins"), F.first("grams").alias("grams"))
 
 
 def _need(t: int) -> Column:
@@ -219,10 +254,10 @@ def _need(t: int) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b, a_n, b_n) that reach the threshold. The suffix filter first: what sets
-    differ in the number of hashes of each bin cannot be shared."""
+    differ in the number of hashes of each bin (counted up to 127) cannot be shared."""
     bins = sets.select("u", "bins")
     pairs = pairs.join(bins.select(F.col("u").alias("a"), F.col("bins").alias("a_bins")), "a").join(bins.select(F.col("u").alias("b"), F.col("bins").alias("b_bins")), "b")
-    apart = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
     pairs = pairs.where(apart <= F.col("a_n") + F.col("b_n") - 2 * _need(t)).select("a", "b", "a_n", "b_n")
     grams = sets.select("u", "grams")
     both = pairs.join(grams.select(F.col("u").alias("a"), F.col("grams").alias("a_grams")), "a").join(grams.select(F.col("u").alias("b"), F.col("grams").alias("b_grams")), "b")
@@ -230,45 +265,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return both.where(100 * shared >= t * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
 
 
+def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members of shingles that two components still share, with their roots."""
+    if roots is None:
+        return members.withColumn("root", F.col("u"))
+    known = members.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    apart = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    return known.join(apart, "token", "left_semi")
+
+
+def _long_enough(t: int) -> Column:
+    return 100 * F.least("a_n", "b_n") >= t * F.greatest("a_n", "b_n")
+
+
+def _scored(members: DataFrame) -> DataFrame:
+    """Adds score: how often a node's shingles are shared. The original of many copies scores
+    above them, and links with most."""
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    return members.join(members.join(sizes, "token").groupBy("u").agg(F.sum("c").alias("score")), "u")
+
+
+def _fewest(pairs: DataFrame, t: int) -> DataFrame:
+    """A few pairs of each node b, those with the best a first."""
+    pairs = pairs.where(_long_enough(t)).distinct()
+    few = Window.partitionBy("b").orderBy(F.desc("rank"), "a")
+    return pairs.withColumn("k", F.row_number().over(few)).where(F.col("k") <= STAR_PAIRS).select("a", "b", "a_n", "b_n")
+
+
+def _star_pairs(members: DataFrame, t: int) -> DataFrame:
+    """Each group's nodes with those of the best scores in it."""
+    best = Window.partitionBy("token").orderBy(F.desc("score"), "u")
+    centers = members.withColumn("k", F.row_number().over(best)).where(F.col("k") <= STAR_PAIRS)
+    centers = centers.select("token", F.col("u").alias("a"), F.col("n").alias("a_n"), F.col("score").alias("rank"))
+    pairs = members.join(centers, "token").where((F.col("rank") > F.col("score")) | ((F.col("rank") == F.col("score")) & (F.col("a") < F.col("u"))))
+    return _fewest(pairs.select("a", F.col("u").alias("b"), "a_n", F.col("n").alias("b_n"), "rank"), t)
+
+
+def _all_pairs(members: DataFrame, roots: DataFrame | None, t: int) -> DataFrame:
+    """Every pair of nodes in two components that a shingle of both prefixes, their sizes
+    and its places in them let link. What the filters refuse is no row of the join."""
+    left = _with_roots(members, roots)
+    x, y = (left.select("token", F.col("u").alias(c), F.col("n").alias(f"{c}_n"), F.col("pos").alias(f"{c}_pos"), F.col("root").alias(f"{c}_root")) for c in "ab")
+    most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+    return x.join(y, "token").where((F.col("a_root") < F.col("b_root")) & _long_enough(t) & (most >= _need(t))).select("a", "b", "a_n", "b_n").distinct()
+
+
 def ngram_join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id (the
     smallest doc_id that links of at least threshold / 100 reach)."""
     width = common.tune(spark)
+    buckets = 4 * width
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequency = _frequencies(docs, k, SLOTS_LOG2)
-    dealt = _prefixes(docs, frequency, k, threshold, 4 * width).groupBy("bucket").applyInArrow(_groups(threshold), _OUT_SQL)
-    base = common.store(spark, dealt, "prefixes")
-    a, b = F.struct(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")), F.struct(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"))
-    members = base.where("kind = 'g'").select("token", a.alias("u"), F.col("a_n").alias("n"), "pos")
-    first = base.where("kind = 'e'").select(a.alias("a"), b.alias("b"), "a_n", "b_n").distinct()
-
-    wanted = common.bloom_of(base.where("kind = 'g'"), ["a_hi"], FILTER_LOG2)
-    sets = common.store(spark, _sets(docs, wanted, k), "sets") if len(wanted) else None
-    if sets is None or not base.where("kind = 'g'").head(1):
-        roots = None
-    else:
-        links = common.store(spark, _verified(first, sets, threshold), "links")
-        roots = common.store(spark, components(spark, links), "roots")
-        known = members.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-        known = common.store(spark, known, "members")
-        open_tokens = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        left = known.join(open_tokens, "token", "left_semi")
-        x = left.select("token", F.col("u").alias("a"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.col("root").alias("a_root"))
-        y = left.select("token", F.col("u").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("root").alias("b_root"))
-        # Length and positional filters are part of the join's condition: what they refuse is no row.
-        may = (100 * F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")) & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _need(threshold))
-        second = x.join(y, "token").where((F.col("a_root") < F.col("b_root")) & may).select("a", "b", "a_n", "b_n").distinct()
-        more = common.store(spark, _verified(second, sets, threshold), "links")
-        if more.head(1):
-            roots = common.store(spark, components(spark, links.unionByName(more)), "roots")
-
-    own = base.where("kind = 'd'").select("doc_id", F.col("a_n").cast("long").alias("n_shingles"), a.alias("u"))
+    dealt = _prefixes(docs, frequency, k, threshold, buckets).groupBy("bucket").applyInArrow(_by_node(buckets), _BLOB)
+    dealt = dealt.groupBy("bucket").applyInArrow(_by_shingle(threshold, buckets), _BLOB)
+    base = common.store(spark, dealt.groupBy("bucket").applyInArrow(_members(threshold), _OUT_SQL), "prefixes")
+    u = F.struct("hi", "lo", "n").alias("u")
+    members = base.where("kind = 'g'").select("token", u, "n", "pos")
+
+    roots = None
+    if members.head(1):
+        wanted = common.bloom_of(base.where("kind = 'g'"), ["hi"], FILTER_LOG2)
+        sets = common.store(spark, _sets(docs, wanted, k), "sets")
+        members = common.store(spark, _scored(members), "members")
+        links = None
+        for first in (True, False):
+            pairs = _star_pairs(members, threshold) if first else _all_pairs(members, roots, threshold)
+            found = common.store(spark, _verified(common.store(spark, pairs, "pairs"), sets, threshold), "links")
+            if found.head(1):
+                links = found if links is None else links.unionByName(found)
+                roots = common.store(spark, components(spark, links), "roots")
+
+    own = base.where("kind = 'd'").select("doc_id", F.col("n").cast("long").alias("n_shingles"), u)
     if roots is not None:
         own = own.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     else:
         own = own.withColumn("root", F.col("u"))
     own = common.store(spark, own.drop("u"), "own")
-    smallest = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join deals both sides out anew and can split a large component.
+    smallest = common.store(spark, own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     linked = own.where("n_shingles > 0").join(smallest, "root").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
