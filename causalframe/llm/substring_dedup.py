@@ -226,9 +226,11 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 def _removals(hi: np.ndarray, lo: np.ndarray, start: np.ndarray) -> list[tuple]:
     """Rows (bucket, k, starts) of windows to remove, one for each document."""
+    if not len(hi):
+        return []
     order = np.lexsort((start, lo, hi))
     hi, lo, start = hi[order], lo[order], start[order]
-    edge = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])) if len(hi) else np.zeros(0, int)
+    edge = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
     ends = np.append(edge[1:], len(hi))
     return [(int(lo[a] & U64(0x3FFFFFFF)), int(hi[a]).to_bytes(8, "big") + int(lo[a]).to_bytes(8, "big"), start[a:b].astype("<i4").tobytes(), None, None) for a, b in zip(edge, ends, strict=True)]
 
