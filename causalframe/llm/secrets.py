@@ -40,6 +40,7 @@ HINTS = {
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
     "run": r"[A-Za-z0-9+/_-]{%d}" % LEAST_RUN,
+    "signed": r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.",
     "armour": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
 
@@ -141,8 +142,9 @@ def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
             data = decode("".join(m[2].split()))
             if data and (der_key(data) or ssh_key(data)):
                 confirmed.append(("armoured_key", *m.span()))
-    if hint["run"]:
+    if hint["signed"]:
         confirmed += [("signed_token", *m.span()) for m in _SIGNED.finditer(text) if signed_header(m[0])]
+    if hint["run"]:
         for m in _RUN.finditer(text):
             data = decode(m[0])
             if data and der_key(data):
