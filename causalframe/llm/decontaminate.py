@@ -73,7 +73,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
         if parts:
             yield _segment(parts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SEGMENT)
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _SEGMENT)
 
 
 class Windows:
@@ -182,39 +182,48 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                         hits[d].append(int(p - first[d]))
                 yield common.batch(schema, segment["doc_ids"], np.diff(first).astype(np.int64), (sums[first[1:]] - sums[first[:-1]]).astype(np.int64), items, n_near.astype(np.int64), hits)
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, n_near long, hits array<int>")
+    return common.map_arrow(index, run, "doc_id long, n_words long, n_hit long, items array<string>, n_near long, hits array<int>")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, slop: int = 0, min_items: int = 2, window_words: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, items, n_near, hits (positions of
     hit words), contaminated (at least min_items items have occurring windows)."""
     common.tune(spark)
-    blocks, held, size = [], [], 0
-    # The test set is streamed to the driver block by block; one block is held at a time.
-    index = None
-    for r in benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1] or "") // 2 + 1
-        if size >= block_windows:
-            blocks.append(Windows(held, window_words))
-            held, size = [], 0
-    blocks.append(Windows(held, window_words))
     index = common.store(spark, build_index(docs), "postings")
-    if len(blocks) == 1:
-        found = search(index, blocks[0], slop)
-    else:
-        # Every block meets every segment; a document's rows are numbered by segment and place.
-        parts = [search(index, w, slop).withColumn("rid", F.monotonically_increasing_id()) for w in blocks]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        found = every.groupBy("rid").agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.sum("n_near").alias("n_near"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        ).withColumn("n_hit", F.size("hits").cast("long"))
+
+    def blocks():
+        """The test set comes to the driver row by row; one block is held at a time."""
+        held, size = [], 0
+        for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
+            held.append((r[0], r[1]))
+            size += len(r[1] or "") // 2 + 1
+            if size >= block_windows:
+                yield Windows(held, window_words)
+                held, size = [], 0
+        yield Windows(held, window_words)
+
+    every = None
+    source = blocks()
+    block = next(source)
+    while True:
+        part = search(index, block, slop)
+        block = next(source, None)
+        if block is None and every is None:
+            found = part
+            break
+        # With more than one block results are stored block by block. A document's rows are
+        # told by their place in the index, which is the same for every block.
+        part = common.store(spark, part.withColumn("rid", F.monotonically_increasing_id()), "hits")
+        every = part if every is None else every.unionByName(part)
+        if block is None:
+            found = every.groupBy("rid").agg(
+                F.max("doc_id").alias("doc_id"),
+                F.max("n_words").alias("n_words"),
+                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+                F.sum("n_near").alias("n_near"),
+                F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
+            ).withColumn("n_hit", F.size("hits").cast("long"))
+            break
     return found.withColumn("contaminated", F.size("items") >= min_items)
 
 
