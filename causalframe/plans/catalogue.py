@@ -79,21 +79,23 @@ def range_from_data(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.min("ts").alias("first_ts"), (F.max("ts") + F.expr("INTERVAL '0.000001' SECOND")).alias("end_ts"))
 
 
+def _span_sql(kind: str) -> str:
+    return f"(SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 1 MICROSECOND AS e FROM events WHERE event_type = '{kind}' GROUP BY user_id)"
+
+
 @query(
-    """WITH r AS (SELECT user_id, min(ts) AS s, max(ts) + INTERVAL 1 MICROSECOND AS e FROM events WHERE user_id % 10 = 3 AND event_type = 'error' GROUP BY user_id)
-SELECT a.user_id AS a, b.user_id AS b, a.s < b.e AND b.s < a.e AS intersects, a.s <= b.s AND b.e <= a.e AS contains,
+    f"""SELECT a.user_id, a.s < b.e AND b.s < a.e AS intersects, a.s <= b.s AND b.e <= a.e AS contains,
  greatest(a.s, b.s) AS both_start, least(a.e, b.e) AS both_end, least(a.s, b.s) AS either_start, greatest(a.e, b.e) AS either_end
-FROM r a JOIN r b ON a.user_id < b.user_id AND a.s < b.e AND b.s < a.e"""
+FROM {_span_sql("view")} a JOIN {_span_sql("error")} b ON a.user_id = b.user_id"""
 )
 def interval_algebra(spark, sf_dir):
-    """Ranges of a fixed set of users against each other."""
-    df = table(spark, sf_dir, "events").where("user_id % 10 = 3 and event_type = 'error'")
-    r = df.groupBy("user_id").agg(F.min("ts").alias("s"), (F.max("ts") + F.expr("INTERVAL '0.000001' SECOND")).alias("e"))
-    a, b = r.alias("a"), r.alias("b")
-    meets = (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e"))
-    both = a.join(b, (F.col("a.user_id") < F.col("b.user_id")) & meets)
-    return both.select(
-        F.col("a.user_id").alias("a"), F.col("b.user_id").alias("b"), meets.alias("intersects"),
+    """Every user's range of views against the range of errors."""
+    e = table(spark, sf_dir, "events")
+    spans = (F.min("ts").alias("s"), (F.max("ts") + F.expr("INTERVAL '0.000001' SECOND")).alias("e"))
+    a, b = (e.where(F.col("event_type") == t).groupBy("user_id").agg(*spans).alias(n) for t, n in (("view", "a"), ("error", "b")))
+    return a.join(b, "user_id").select(
+        "user_id",
+        ((F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e"))).alias("intersects"),
         ((F.col("a.s") <= F.col("b.s")) & (F.col("b.e") <= F.col("a.e"))).alias("contains"),
         F.greatest("a.s", "b.s").alias("both_start"), F.least("a.e", "b.e").alias("both_end"),
         F.least("a.s", "b.s").alias("either_start"), F.greatest("a.e", "b.e").alias("either_end"),
@@ -341,27 +343,22 @@ def _macd_sql(fast: int, slow: int, vol: int) -> str:
     return f"({e[0]} - {e[1]}) / (sqrt({e[2]}) * {fin.ou_factor(fast, slow)!r})"
 
 
-@query(f"WITH {_PXR} SELECT k, ts, round({_macd_sql(10, 20, 20)}, 4) AS macd FROM r2 WHERE rn <= 700")
+@query(f"WITH {_PXR} SELECT k, ts, round({_macd_sql(10, 20, 20)}, 4) AS macd FROM r2")
 def macd_10_20(spark, sf_dir):
-    """Over the first 700 days: the oracle's closed form overflows in longer series, the
-    operator does not."""
-    days = win.rows_between(prices(spark, sf_dir), 0, 700, ["k"])
-    return rounded(fin.macd(days, 10, 20, 20, keys=["k"]).select("k", "ts", "macd"), "macd")
+    return rounded(fin.macd(prices(spark, sf_dir), 10, 20, 20, keys=["k"]).select("k", "ts", "macd"), "macd")
 
 
 @query(
-    f"WITH {_PXR}, f AS (SELECT * FROM r2 WHERE rn <= 700) SELECT k, ts, 8 AS fast, 16 AS slow, round({_macd_sql(8, 16, 20)}, 4) AS macd FROM f"
+    f"WITH {_PXR}, f AS (SELECT * FROM r2) SELECT k, ts, 8 AS fast, 16 AS slow, round({_macd_sql(8, 16, 20)}, 4) AS macd FROM f"
     f" UNION ALL SELECT k, ts, 16 AS fast, 32 AS slow, round({_macd_sql(16, 32, 20)}, 4) AS macd FROM f"
 )
 def macd_multi(spark, sf_dir):
-    days = win.rows_between(prices(spark, sf_dir), 0, 700, ["k"])
-    return rounded(fin.macd_multi_horizon(days, [(8, 16), (16, 32)], 20, keys=["k"]), "macd")
+    return rounded(fin.macd_multi_horizon(prices(spark, sf_dir), [(8, 16), (16, 32)], 20, keys=["k"]), "macd")
 
 
-@query(f"WITH {_PXR}, f AS (SELECT * FROM r2 WHERE rn <= 700), v AS (SELECT k, ts, rn, move, sqrt({_ewma_sql('sq', 30, 'r2', 'k')}) AS vol FROM f) SELECT k, ts, round(move / lag(vol) OVER (PARTITION BY k ORDER BY rn), 4) AS risk_adjusted FROM v")
+@query(f"WITH {_PXR}, f AS (SELECT * FROM r2), v AS (SELECT k, ts, rn, move, sqrt({_ewma_sql('sq', 30, 'r2', 'k')}) AS vol FROM f) SELECT k, ts, round(move / lag(vol) OVER (PARTITION BY k ORDER BY rn), 4) AS risk_adjusted FROM v")
 def risk_adj_returns(spark, sf_dir):
-    days = win.rows_between(prices(spark, sf_dir), 0, 700, ["k"])
-    moves = days.withColumn("ret", win.diff("price", win.ordered(["k"])))
+    moves = prices(spark, sf_dir).withColumn("ret", win.diff("price", win.ordered(["k"])))
     return rounded(fin.risk_adjusted_returns(moves, keys=["k"]).select("k", "ts", "risk_adjusted"), "risk_adjusted")
 
 
@@ -493,9 +490,9 @@ def catalog_closure(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ shape, set algebra
-@query("SELECT l_orderkey, l_linenumber, variable, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem WHERE l_orderkey % 50 = 0) ON q, d, t INTO NAME variable VALUE value)")
+@query("SELECT l_orderkey, l_linenumber, variable, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem) ON q, d, t INTO NAME variable VALUE value)")
 def unpivot_long(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
     return reshape.stack(df, ["l_orderkey", "l_linenumber"], ["q", "d", "t"])
 
 
@@ -580,16 +577,19 @@ def vec_hadamard(spark, sf_dir):
 
 
 def _long(spark, sf_dir):
-    """Vectors of four elements with gaps, and a 3 by 4 matrix for each."""
+    """Vectors with gaps, and for each a matrix of three rows: the vector reversed, the
+    vector, and their products."""
     arr = _arrays(spark, sf_dir)
-    v = arr.select("vec_id", F.posexplode(F.slice("l", 1, 4)).alias("col", "v"))
+    v = arr.select("vec_id", F.posexplode("l").alias("col", "v"))
     v = v.withColumn("v", F.when(~((F.col("vec_id") % 7 == 0) & (F.col("col") == 2)), F.col("v")))
-    m = arr.select("vec_id", F.posexplode(F.slice("r", 1, 12)).alias("p", "m"))
-    return v, m.select("vec_id", F.floor(F.col("p") / 4).cast("int").alias("row"), (F.col("p") % 4).alias("col"), "m")
+    rows = F.array(F.col("r"), F.col("l"), linalg.hadamard_array(F.col("l"), F.col("r")))
+    m = arr.select("vec_id", F.posexplode(rows).alias("row", "x")).select("vec_id", "row", F.posexplode("x").alias("col", "m"))
+    return v, m
 
 
-_LONG = _E + """, v AS (SELECT vec_id, i AS col, CASE WHEN NOT (vec_id % 7 = 0 AND i = 2) THEN l[i + 1] END AS v FROM (SELECT *, unnest(range(0, 4)) AS i FROM e)),
-m AS (SELECT vec_id, CAST(i // 4 AS INTEGER) AS row, CAST(i % 4 AS INTEGER) AS col, r[i + 1] AS m FROM (SELECT *, unnest(range(0, 12)) AS i FROM e)),
+_LONG = _E + """, v AS (SELECT vec_id, CAST(i AS INTEGER) AS col, CASE WHEN NOT (vec_id % 7 = 0 AND i = 2) THEN l[i + 1] END AS v FROM (SELECT *, unnest(range(0, len(l))) AS i FROM e)),
+m AS (SELECT vec_id, CAST(k AS INTEGER) AS row, CAST(i AS INTEGER) AS col, CASE k WHEN 0 THEN r[i + 1] WHEN 1 THEN l[i + 1] ELSE l[i + 1] * r[i + 1] END AS m
+ FROM (SELECT *, unnest(range(0, len(l))) AS i FROM e), (SELECT unnest(range(0, 3)) AS k)),
 mv AS (SELECT m.vec_id, m.row AS col, CASE WHEN count(m * v) = count(*) THEN sum(m * v) END AS v FROM m LEFT JOIN v ON m.vec_id = v.vec_id AND m.col = v.col GROUP BY ALL)"""
 
 
