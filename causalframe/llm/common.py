@@ -9,6 +9,7 @@ bytes is the same as splitting characters.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ U64 = np.uint64
 #: Odd multipliers for mixing; any odd constants do.
 K1, K2, K3, K4 = (U64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 #: Most bytes of text that a task holds decoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _local_root: list[str] = []
 _stored: list[str] = []
@@ -60,17 +61,41 @@ def release(spark: SparkSession) -> None:
 def tune(spark: SparkSession) -> int:
     """Small Arrow batches, since texts can be long; returns the shuffle width."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """mapInArrow with state for each task: make() gives the function over batches."""
+def trim() -> None:
+    """Gives freed memory back to the system. Workers are used again, and each executor
+    has a few: what one task's arrays took would be missing in the next stage."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from make()(batches)
 
-    return df.mapInArrow(run, schema)
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow that gives memory back after each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(task, schema)
+
+
+def apply_arrow(df: DataFrame, by: str, run: Callable, schema: str) -> DataFrame:
+    """applyInArrow by one column that gives memory back after each group."""
+
+    def group(key, table):
+        try:
+            return run(key, table)
+        finally:
+            trim()
+
+    return df.groupBy(by).applyInArrow(group, schema)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -221,8 +246,8 @@ def merge_tables(df: DataFrame, dtype: str, op: str, parts: int = 16) -> np.ndar
 
     # Two levels, so that no task gets the slices of more than a few dozen others.
     split = df.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)).cast("int")).withColumn("both", F.col("part") * 16 + F.col("salt"))
-    once = split.groupBy("both").applyInArrow(lambda key, t: merge((pa.scalar(key[0].as_py() // 16, pa.int32()),), t), "part int, blob binary")
-    rows = once.groupBy("part").applyInArrow(merge, "part int, blob binary").collect()
+    once = apply_arrow(split, "both", lambda key, t: merge((pa.scalar(key[0].as_py() // 16, pa.int32()),), t), "part int, blob binary")
+    rows = apply_arrow(once, "part", merge, "part int, blob binary").collect()
     found = {r["part"]: np.frombuffer(zstandard.decompress(r["blob"]), kind) for r in rows}
     return np.concatenate([found[p] for p in sorted(found)]) if found else np.zeros(0, kind)
 
@@ -272,7 +297,7 @@ def bloom_of(df: DataFrame, columns: list[str], log2_bits: int) -> np.ndarray:
                 filled.add(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
         yield table_slices(filled.bits)
 
-    return merge_tables(df.select(*columns).mapInArrow(run, "part int, blob binary"), "uint8", "or")
+    return merge_tables(map_arrow(df.select(*columns), run, "part int, blob binary"), "uint8", "or")
 
 
 # --------------------------------------------------------------------- digests

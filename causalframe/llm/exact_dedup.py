@@ -84,7 +84,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_B
     its group), group_size, kept, text_sha256. A-Z count as a-z."""
     width = common.tune(spark)
     buckets = 8 * width
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cutter(block_bytes, buckets), _SCHEMA)
+    cut = common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _cutter(block_bytes, buckets), _SCHEMA)
     dealt = cut.repartition(width, "bucket")
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("block"))
     first = common.store(spark, dealt.withColumn("name", F.when(F.col("block").isNotNull(), F.col("bucket").cast("long") * (1 << 40) + rank)).drop("block", "bucket"), "blocks")

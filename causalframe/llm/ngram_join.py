@@ -99,7 +99,7 @@ def _frequencies(docs: DataFrame, k: int, log2: int) -> np.ndarray:
             table += np.bincount((every & mask).astype(np.int64), minlength=1 << log2).astype(np.uint32)
         yield common.table_slices(table)
 
-    return common.merge_tables(docs.mapInArrow(run, "part int, blob binary"), "uint32", "add")
+    return common.merge_tables(common.map_arrow(docs, run, "part int, blob binary"), "uint32", "add")
 
 
 def _dealt(r: np.ndarray, by: str, buckets: int) -> list[tuple]:
@@ -196,7 +196,7 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, k: int, t: int, buckets: i
         if records:
             yield blobs(parts, records)
 
-    return docs.mapInArrow(run, _BLOB)
+    return common.map_arrow(docs, run, _BLOB)
 
 
 _OUT = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("token", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -243,7 +243,7 @@ def _sets(docs: DataFrame, wanted: np.ndarray, k: int) -> DataFrame:
             bins = [np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=BINS), 127).astype(np.int8) for s in fresh.values()]
             yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), n, pa.array(bins, pa.list_(pa.int8())), pa.array([s.view(np.int64) for s in fresh.values()], pa.list_(pa.int64()))], names=["hi", "lo", "n", "bins", "grams"])
 
-    rows = docs.mapInArrow(run, "hi long, lo long, n int, bins array<tinyint>, grams array<long>")
+    rows = common.map_arrow(docs, run, "hi long, lo long, n int, bins array<tinyint>, grams array<long>")
     return rows.groupBy(F.struct("hi", "lo", "n").alias("u")).agg(F.first("bins").alias("bins"), F.first("grams").alias("grams"))
 
 
@@ -317,9 +317,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, thr
     buckets = 4 * width
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequency = _frequencies(docs, k, SLOTS_LOG2)
-    dealt = _prefixes(docs, frequency, k, threshold, buckets).groupBy("bucket").applyInArrow(_by_node(buckets), _BLOB)
-    dealt = dealt.groupBy("bucket").applyInArrow(_by_shingle(threshold, buckets), _BLOB)
-    base = common.store(spark, dealt.groupBy("bucket").applyInArrow(_members(threshold), _OUT_SQL), "prefixes")
+    dealt = common.apply_arrow(_prefixes(docs, frequency, k, threshold, buckets), "bucket", _by_node(buckets), _BLOB)
+    dealt = common.apply_arrow(dealt, "bucket", _by_shingle(threshold, buckets), _BLOB)
+    base = common.store(spark, common.apply_arrow(dealt, "bucket", _members(threshold), _OUT_SQL), "prefixes")
     u = F.struct("hi", "lo", "n").alias("u")
     members = base.where("kind = 'g'").select("token", u, "n", "pos")
 

@@ -33,7 +33,7 @@ MAX_GAP = 16
 FAN_IN = 32
 END_ID = 1
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -212,14 +212,14 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int
 
         return run
 
-    mapped = common.store(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(first, _SCHEMA), "packed")
+    mapped = common.store(spark, common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), first, _SCHEMA), "packed")
     result, level = mapped.where("part is null"), 1
     open_rows = mapped.where("part is not null")
     parts = (open_rows.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // fan_in)
         group = (F.col("part") / fan_in).cast("int")
-        step = open_rows.withColumn("grp", group).groupBy("grp").applyInArrow(merge(level, parts == 1), _SCHEMA)
+        step = common.apply_arrow(open_rows.withColumn("grp", group), "grp", merge(level, parts == 1), _SCHEMA)
         if parts == 1:
             result = result.unionByName(step)
             break

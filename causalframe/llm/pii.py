@@ -308,7 +308,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield common.batch(schema, [xxhash.xxh3_64_intdigest(t.encode()) >> 1], [t])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.mapInArrow(candidates, "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
+    found = common.map_arrow(docs, candidates, "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
     texts = [r["text"] for r in found.orderBy("h").limit(sample_rows).collect()]
     texts, spans = mentions(texts)
     graph = Graph(texts)

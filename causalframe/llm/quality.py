@@ -196,7 +196,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int, hel
             cut = [(x[a:z].astype(np.float32).tobytes(), size[a:z].astype(np.int64).tobytes()) for a, z in zip(first, first[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary()), b.column(2).cast(pa.int32()), b.column(3).cast(pa.int32())], names=["x", "size", "label", "fold"])
 
-    rows = learning.marked(docs, sample).where("label is not null").mapInArrow(features, "x binary, size binary, label int, fold int").collect()
+    rows = common.map_arrow(learning.marked(docs, sample).where("label is not null"), features, "x binary, size binary, label int, fold int").collect()
 
     def stacked(own: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size = [np.frombuffer(r["size"], np.int64) for r in own]
@@ -234,7 +234,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int
 
     schema = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{f.name}`") for f in others))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
-    scored = schema.mapInArrow(run, f"{kinds}, score double, bad_lines array<int>")
+    scored = common.map_arrow(schema, run, f"{kinds}, score double, bad_lines array<int>")
     return scored.withColumns({"held_out": learning.remainder(parts) == held, "predicted": (F.col("score") >= cutoff).cast("int")})
 
 

@@ -57,4 +57,4 @@ def scan(docs: DataFrame, find: Callable[[str, dict[str, bool]], tuple[list[Span
             yield common.batch(schema, b.column(0), *counts.values(), sha, joined, found)
 
     columns = ", ".join(["doc_id long", *(f"n_{k} long" for k in base), "base_sha256 string", "spans string", "found array<struct<kind:string,start:int,end:int,value:string>>"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, columns)
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, columns)

@@ -119,7 +119,7 @@ def _anchors(docs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
             rows += [(i, twice, x[order[a:b]].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ty) for i, ty in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["bucket", "twice", "anchors"])
 
-    return docs.mapInArrow(run, "bucket int, twice boolean, anchors binary")
+    return common.map_arrow(docs, run, "bucket int, twice boolean, anchors binary")
 
 
 def _repeated(key, table):
@@ -246,7 +246,7 @@ def _segments(docs: DataFrame, wanted: np.ndarray, k: int, m: int, buckets: int)
         if last is not None:
             yield last
 
-    return docs.mapInArrow(run, "bucket int, k binary, starts binary, segments binary, text binary").withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
+    return common.map_arrow(docs, run, "bucket int, k binary, starts binary, segments binary, text binary").withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
 
 
 def _shard(k: int):
@@ -330,11 +330,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     width = common.tune(spark)
     buckets = 4 * width
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    repeated = _anchors(docs, window, anchor, buckets).groupBy("bucket").applyInArrow(_repeated, "h long")
+    repeated = common.apply_arrow(_anchors(docs, window, anchor, buckets), "bucket", _repeated, "h long")
     wanted = common.bloom_of(repeated, ["h"], FILTER_LOG2)
     if not len(wanted):
         wanted = common.Bloom.empty(FILTER_LOG2).bits
-    found = _segments(docs, wanted, window, anchor, buckets).groupBy("bucket").applyInArrow(_shard(window), "k binary, starts binary")
+    found = common.apply_arrow(_segments(docs, wanted, window, anchor, buckets), "bucket", _shard(window), "k binary, starts binary")
     removals = common.store(spark, found, "removals").withColumn("h", F.conv(F.hex(F.substring("k", 1, 7)), 16, 10).cast("long"))
     touched = common.bloom_of(removals.select("h").distinct(), ["h"], FILTER_LOG2)
     if not len(touched):
@@ -359,11 +359,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
             for part in common.text_slices([b]):
                 yield _result(part.column(0), part.column(1), part.column(2).to_pylist(), window)
 
-    parted = docs.mapInArrow(split, f"{_RESULT}, k binary, text string")
+    parted = common.map_arrow(docs, split, f"{_RESULT}, k binary, text string")
     starts = removals.groupBy("k").agg(F.collect_list("starts").alias("starts"))
     # Two scans of the documents, so that finished rows need not be stored.
     joined = parted.where("k is not null").select("doc_id", "text", "k").join(starts, "k", "left").select("doc_id", "text", "starts")
-    return parted.where("k is null").drop("k", "text").unionByName(joined.mapInArrow(finish, _RESULT))
+    return parted.where("k is null").drop("k", "text").unionByName(common.map_arrow(joined, finish, _RESULT))
 
 
 def _with_text(rows: pa.RecordBatch, k: pa.Array, text: pa.Array) -> pa.RecordBatch:

@@ -209,8 +209,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int, hel
     """The ratio table and the calibration."""
     width = common.tune(spark)
     sample = common.store(spark, learning.labelled_sample(labels, "toxic", parts, held, sample_rows), "sample")
-    rows = learning.marked(docs, sample).mapInArrow(lambda b: _partial(b, 4 * width), "bucket int, kind int, keys binary, n binary")
-    ratios = Ratios(rows.groupBy("bucket").applyInArrow(_ratios, "kind int, keys binary, value binary").collect())
+    rows = common.map_arrow(learning.marked(docs, sample), lambda b: _partial(b, 4 * width), "bucket int, kind int, keys binary, n binary")
+    ratios = Ratios(common.apply_arrow(rows, "bucket", _ratios, "kind int, keys binary, value binary").collect())
 
     def calibrate(batches):
         for b in common.text_slices(batches):
@@ -218,7 +218,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int, hel
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column(2).cast(pa.int32())], names=["a", "b", "y"])
 
     kept = learning.marked(docs, sample).where("fold = 0")
-    seen = np.array([tuple(r) for r in kept.mapInArrow(calibrate, "a double, b double, y int").collect()]).reshape(-1, 3)
+    seen = np.array([tuple(r) for r in common.map_arrow(kept, calibrate, "a double, b double, y int").collect()]).reshape(-1, 3)
     return ratios, learning.fit_logistic(seen[:, :2], seen[:, 2])
 
 
@@ -233,7 +233,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int
             x = ratios.features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(learning.logistic(calibration, x)), pa.array(x[:, 0])], names=["doc_id", "score", "log_ratio"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, log_ratio double")
+    scored = common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double, log_ratio double")
     return scored.select("doc_id", (learning.remainder(parts) == held).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"), "log_ratio")
 
 
