@@ -42,8 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of two or more benchmark items."""
-    leaks = decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("leak_id")).distinct()
+    """Documents without a passage of any benchmark item."""
+    leaks = decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1).where("contaminated").select(F.col("doc_id").alias("leak_id")).distinct()
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti").select(docs.columns)
 
 

@@ -221,7 +221,7 @@ def test_pipeline_stages(spark):
         assert out.exceptAll(docs).count() == 0
         docs = out
         n.append(docs.count())
-    assert n == sorted(n, reverse=True) and n[0] > n[1] > n[2] > n[3] >= n[4] > 0.5 * n[0]
+    assert n == sorted(n, reverse=True) and n[0] > n[1] > n[2] > n[3] > n[4] > 0.5 * n[0]
     texts = [r.text.lower() for r in docs.collect()]
     assert len(set(texts)) == len(texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
