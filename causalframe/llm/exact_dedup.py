@@ -121,6 +121,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, block_bytes: int = BLOCK_B
     heads = first.where("pos = 0").select("rid", "doc_id", "text_sha256")
     named = common.store(spark, heads.join(done, "rid"), "identity")
     groups = named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("top"))
+    # Stored, so that the join deals both sides out anew and can split a large group.
+    groups = common.store(spark, groups, "groups")
     return named.join(groups, ["n_blocks", "name"]).select(
         "doc_id",
         F.col("top.doc_id").alias("keep_id"),
