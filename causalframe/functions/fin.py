@@ -8,7 +8,7 @@ from enum import Enum
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causalframe.operators.windows import Keys, alpha_from_span, bfill, diff, ewm_volatility, ewma, ffill, ordered
+from causalframe.operators.windows import Keys, alpha_from_span, bfill, diff, ewm_volatility, ffill, momentum, ordered
 
 
 class ReturnType(str, Enum):
@@ -48,21 +48,13 @@ def ou_factor(fast_span: float, slow_span: float) -> float:
 def macd(prices: DataFrame, fast_span: float, slow_span: float, vol_span: float, column: str = "price", keys: Keys = (), on: str = "ts", out: str = "macd") -> DataFrame:
     """Difference of a fast and a slow mean, in units of its deviation for a random walk of
     the price's volatility. Adds one column."""
-    w = ordered(keys, on)
-    df = ewma(prices, column, fast_span, "__fast", keys, on)
-    df = ewma(df, column, slow_span, "__slow", keys, on)
-    df = df.withColumn("__ff", ffill(column, w)).withColumn("__move", F.when(F.col(column).isNotNull(), diff("__ff", w)))
-    df = ewm_volatility(df, "__move", vol_span, "__vol", keys, on)
-    signal = F.try_divide(F.col("__fast") - F.col("__slow"), F.col("__vol") * ou_factor(fast_span, slow_span))
-    return df.withColumn(out, signal).drop("__fast", "__slow", "__ff", "__move", "__vol")
+    return momentum(prices, column, [(fast_span, slow_span, out)], vol_span, ou_factor, keys, on)
 
 
 def macd_multi_horizon(prices: DataFrame, horizons: list[tuple[int, int]], vol_span: float, column: str = "price", keys: Keys = (), on: str = "ts") -> DataFrame:
     """Long form: keys, time, fast, slow, macd."""
-    df, names = prices, []
-    for fast, slow in horizons:
-        names.append((f"__h_{fast}_{slow}", fast, slow))
-        df = macd(df, fast, slow, vol_span, column, keys, on, names[-1][0])
+    names = [(f"__h_{fast}_{slow}", fast, slow) for fast, slow in horizons]
+    df = momentum(prices, column, [(f, s, n) for n, f, s in names], vol_span, ou_factor, keys, on)
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.col(n).alias("macd")) for n, f, s in names]))
     return df.select(*keys, on, rows.alias("__h")).select(*keys, on, "__h.fast", "__h.slow", "__h.macd")
 

@@ -2,15 +2,17 @@
 
 Both put data and target rows of one entity in order of time and carry the last data
 row forward in one window pass: no join on inequality. Windows are partitioned by the
-keys. For series without keys, or with one key that holds most rows, `block` splits
-time into pieces that are windowed on their own; each piece's last data row is carried
-over in a table of one row for each piece.
+keys. For series without keys, or with one key that holds most rows, time is split into
+blocks that are windowed on their own; each block's last data row (or first target
+time) is carried over in a table of one row for each block. Without keys that is the
+default, with a width that makes a few blocks for each shuffle partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,20 @@ def _block(on: str, block: timedelta) -> Column:
     return F.floor(F.unix_micros(F.to_utc_timestamp(F.col(on).cast("timestamp"), F.current_timezone())) / int(block / timedelta(microseconds=1)))
 
 
+def _auto_block(frame: DataFrame, on: str) -> timedelta | None:
+    """Several blocks of time for each shuffle partition; from one aggregate of the target's times."""
+    low, high = frame.agg(F.min(on), F.max(on)).first()
+    if low is None or high == low:
+        return None
+    parts = 4 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max((high - low) / parts, timedelta(microseconds=1))
+
+
+def _by_all(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Equality of these columns, null with null."""
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+
+
 def causal_match(
     data: DataFrame,
     target: DataFrame,
@@ -61,6 +77,7 @@ def causal_match(
         raise ValueError(f"columns of both sides: {', '.join(clash)}")
     if check:
         check_unique(data, *keys, on)
+    block = block or (None if keys else _auto_block(target, on))
     both = _union(data, target, keys, on, values, contemp, block)
     parts = keys + ([_B] if block else [])
     w = Window.partitionBy(*parts).orderBy(on, _O).rowsBetween(Window.unboundedPreceding, 0)
@@ -69,12 +86,8 @@ def causal_match(
         ends = both.groupBy(*parts).agg(F.max_by(_P, F.when(F.col(_P).isNotNull(), F.col(on))).alias(_P))
         earlier = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
         carry = ends.withColumn("__carry", F.last(_P, ignorenulls=True).over(earlier)).drop(_P)
-        # Blocks without a carry need none; null keys meet null keys.
-        same = [rows[c].eqNullSafe(carry[c]) for c in parts]
-        on_all = same[0]
-        for c in same[1:]:
-            on_all = on_all & c
-        rows = rows.join(carry.select(*[F.col(c) for c in parts], "__carry"), on_all, "left").select(rows[on], *[rows[c] for c in keys], rows[_T], F.coalesce(rows[_M], F.col("__carry")).alias(_M))
+        carry = carry.select(*parts, "__carry")
+        rows = rows.join(carry, _by_all(rows, carry, parts), "left").select(rows[on], *[rows[c] for c in keys], rows[_T], F.coalesce(rows[_M], F.col("__carry")).alias(_M))
     if fill_limit is not None:
         run = Window.partitionBy(*keys, F.col(f"{_M}.{on}"))
         others = [F.col(f"{_T}.{c}") for c in target.columns if c != on and c not in keys]
@@ -127,6 +140,7 @@ def causal_resample(
     keys: list[str] | tuple[str, ...] = (),
     contemp: bool = False,
     values: list[str] | None = None,
+    block: timedelta | None = None,
     check: bool = True,
 ) -> DataFrame:
     """Every target row with an aggregate of the data rows between the target time before
@@ -146,9 +160,17 @@ def causal_resample(
     t = target.select(*keys, on).distinct().select(*keys, on, F.lit(0 if contemp else 1).alias(_O), F.col(on).alias("__bucket"))
     # Backward in time, so that the next target time is the last one seen: a running
     # frame costs one pass, one that looks ahead would not.
-    w = Window.partitionBy(*keys).orderBy(F.col(on).desc(), F.col(_O)).rowsBetween(Window.unboundedPreceding, 0)
-    dealt = d.withColumn("__data", F.lit(True)).unionByName(t, allowMissingColumns=True).withColumn("__bucket", F.last("__bucket", ignorenulls=True).over(w))
-    dealt = dealt.where("__data and __bucket is not null")
+    both = d.withColumn("__data", F.lit(True)).unionByName(t, allowMissingColumns=True)
+    block = block or (None if keys else _auto_block(target, on))
+    parts = keys + ([_B] if block else [])
+    both = both.withColumn(_B, _block(on, block)) if block else both
+    w = Window.partitionBy(*parts).orderBy(F.col(on).desc(), F.col(_O)).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = both.withColumn("__bucket", F.last("__bucket", ignorenulls=True).over(w)).where("__data")
+    if block:
+        later = Window.partitionBy(*keys).orderBy(F.col(_B).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carry = both.groupBy(*parts).agg(F.min("__bucket").alias("__first")).withColumn("__carry", F.last("__first", ignorenulls=True).over(later)).select(*parts, "__carry")
+        dealt = dealt.join(carry, _by_all(dealt, carry, parts), "left").select(*[dealt[c] for c in (*keys, on, *methods)], F.coalesce(dealt["__bucket"], F.col("__carry")).alias("__bucket"))
+    dealt = dealt.where("__bucket is not null")
     found = dealt.groupBy(*keys, "__bucket").agg(*[_aggregate(c, on, m).alias(c) for c, m in methods.items()])
     found = found.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__bucket", *methods)
     same = target[on] == found["__bucket"]

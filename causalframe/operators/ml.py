@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalframe.functions.hashing import positive
@@ -57,9 +57,25 @@ def choose_batches(n: int, window_size: int | None, min_periods: int | None = No
     return rolling_steps(n, window_size, step_size, min_periods, strict_step_size)
 
 
-def batches_df(spark: SparkSession, batches: list[Batch]) -> DataFrame:
-    """batch, first_row, end_row: a few rows for each step in time."""
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(batches)], "batch int, first_row long, end_row long")
+def batch_ids(rn: Column, n: int, window_size: int | None, min_periods: int | None = None, step_size: int | None = None, strict_step_size: bool = True) -> Column:
+    """The batches that row rn is part of, by arithmetic: joining rows to a table of batches
+    would compare each with all."""
+    count = len(choose_batches(n, window_size, min_periods, step_size, strict_step_size))
+    none = F.array().cast("array<int>")
+    if window_size is None:
+        return F.array(F.lit(0))
+    if step_size is None:
+        own = F.floor(rn / window_size).cast("int")
+        return F.when(own < count, F.array(own)).otherwise(none)
+    least = window_size if min_periods is None else min_periods
+    regular = len(range(least, n, step_size))
+    first = F.greatest(F.lit(0), F.floor((rn - least) / step_size).cast("int") + 1)
+    last = F.least(F.lit(regular - 1), F.floor((rn + window_size - least) / step_size).cast("int"))
+    ids = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+    if count > regular:
+        # The batch at the end of the data.
+        ids = F.concat(ids, F.when(rn >= n - window_size, F.array(F.lit(regular))).otherwise(none))
+    return ids
 
 
 def numbered(df: DataFrame, on: str = "ts") -> DataFrame:
@@ -78,14 +94,12 @@ def numbered(df: DataFrame, on: str = "ts") -> DataFrame:
 def walk_forward(features: DataFrame, responses: DataFrame, window_size: int | None, min_periods: int | None = None, step_size: int | None = None, strict_step_size: bool = True, on: str = "ts", **match_options) -> DataFrame:
     """Training rows of every batch: batch, rn and the columns of both sides, features
     matched to responses as of their time. One row for each batch that it is part of."""
-    spark = features.sparkSession
     joined = causal_match(features, responses, on, **match_options)
     n = joined.count()
     if not n or not features.head(1):
         raise ValueError("features and responses must have rows")
-    batches = batches_df(spark, choose_batches(n, window_size, min_periods, step_size, strict_step_size))
-    rows = numbered(joined, on)
-    return rows.join(F.broadcast(batches), (F.col("rn") >= F.col("first_row")) & (F.col("rn") < F.col("end_row"))).drop("first_row", "end_row")
+    ids = batch_ids(F.col("rn"), n, window_size, min_periods, step_size, strict_step_size)
+    return numbered(joined, on).withColumn("batch", F.explode(ids))
 
 
 def fit_ols(batches: DataFrame, x: str, y: str, on: str = "ts") -> DataFrame:

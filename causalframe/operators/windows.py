@@ -71,68 +71,119 @@ def alpha_from_span(span: float) -> float:
     return 2 / (1 + span)
 
 
+#: Rows of a block, unless a span needs more or would overflow in as many. One size for
+#: most spans, so that several means of one series share its blocks and their order.
+BLOCK_ROWS = 1024
+_N = "__ew_n"
+
+
 def _block_rows(decay: float) -> int:
-    """Rows after which a weight has fallen under 1e-18."""
-    return max(2, math.ceil(math.log(1e-18) / math.log(decay)))
+    """Rows after which a weight has fallen under 1e-18; BLOCK_ROWS where that is enough and
+    squared weights stay finite."""
+    need = max(2, math.ceil(math.log(1e-18) / math.log(decay)))
+    return BLOCK_ROWS if need <= BLOCK_ROWS and -2 * BLOCK_ROWS * math.log10(decay) < 280 else need
+
+
+def _blocked(df: DataFrame, size: int, keys: Keys, on: str) -> DataFrame:
+    """Adds the row's number, its block and its place in it, once for each size."""
+    if _N not in df.columns:
+        df = df.withColumn(_N, F.row_number().over(ordered(keys, on)) - 1)
+    if f"__ew_b{size}" not in df.columns:
+        df = df.withColumns({f"__ew_b{size}": F.floor(F.col(_N) / size), f"__ew_p{size}": F.col(_N) % size})
+    return df
+
+
+def _by_block(size: int, keys: Keys):
+    """The order of time once more, in a form that all windows of the blocks share: rows are sorted once."""
+    return Window.partitionBy(*keys).orderBy(f"__ew_b{size}", _N)
+
+
+def _unblocked(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("__ew_")])
 
 
 def _weighted(df: DataFrame, x: Column, decay: float, keys: Keys, on: str, powers: tuple[int, ...], tag: str) -> DataFrame:
-    """Adds, for p in powers, {tag}x{p} and {tag}w{p}: sums over all rows up to each of
-    decay**(p * age) times x (and x squared), and of the weights where x is there.
+    """Adds, for p in powers, {tag}x{p}, {tag}y{p} and {tag}w{p}: sums over all rows up to each of
+    decay**(p * age) times x, times x squared, and of the weights where x is there.
 
     A closed form would need decay**-row, which overflows in long series. Rows are cut
     into blocks within which it cannot; older blocks than the one before weigh nothing
     at double precision."""
     size = _block_rows(decay)
-    w = ordered(keys, on)
-    n, block, place = f"{tag}n", f"{tag}b", f"{tag}p"
-    df = df.withColumn(n, F.row_number().over(w) - 1).withColumn(block, F.floor(F.col(n) / size)).withColumn(place, F.col(n) % size)
-    inside = Window.partitionBy(*keys, block).orderBy(n).rowsBetween(Window.unboundedPreceding, 0)
+    df = _blocked(df, size, keys, on)
+    block, place = f"__ew_b{size}", f"__ew_p{size}"
+    inside = Window.partitionBy(*keys, block).orderBy(_N).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(block).rangeBetween(-1, -1)
-    columns = {}
+    terms = {}
     for p in powers:
-        lam = decay**p
-        up = F.pow(F.lit(lam), -F.col(place))
-        for name, term in ((f"{tag}x{p}", x * up), (f"{tag}y{p}", x * x * up), (f"{tag}w{p}", F.when(x.isNotNull(), up))):
-            here, there = F.coalesce(F.sum(term).over(inside), F.lit(0.0)), F.coalesce(F.sum(term).over(before), F.lit(0.0))
-            columns[name] = here * F.pow(F.lit(lam), F.col(place)) + there * F.pow(F.lit(lam), F.col(place) + size)
-    return df.withColumns(columns).drop(block, place)
+        up = F.pow(F.lit(decay**p), -F.col(place))
+        terms |= {(f"{tag}x{p}", p): x * up, (f"{tag}y{p}", p): x * x * up, (f"{tag}w{p}", p): F.when(x.isNotNull(), up)}
+    # Within blocks first: that order of rows is also one of the blocks, so nothing is sorted again.
+    df = df.withColumns({name: F.coalesce(F.sum(term).over(inside), F.lit(0.0)) * F.pow(F.lit(decay**p), F.col(place)) for (name, p), term in terms.items()})
+    return df.withColumns({name: F.col(name) + F.coalesce(F.sum(term).over(before), F.lit(0.0)) * F.pow(F.lit(decay**p), F.col(place) + size) for (name, p), term in terms.items()})
 
 
-def ewma(df: DataFrame, column: str, span: float, out: str, keys: Keys = (), on: str = "ts", min_periods: int | None = None) -> DataFrame:
-    """Exponentially weighted mean over all rows so far (weights adjusted, nulls age the
-    weights), null until min_periods values (3 * span) are there."""
-    decay, t = 1 - alpha_from_span(span), f"__{out}_"
+def _settled(df: DataFrame, value: Column, x: Column, least: int, size: int, keys: Keys, out: str, tag: str) -> DataFrame:
+    """The value where `least` values are there so far; with nothing new a ratio stays what it was."""
+    w = _by_block(size, keys).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(f"{tag}v", value)
+    df = df.withColumn(out, F.when(F.count(x).over(w) >= least, F.last(f"{tag}v", ignorenulls=True).over(w)))
+    return df.drop(*[c for c in df.columns if c.startswith(tag)])
+
+
+def _mean(df: DataFrame, column: str, span: float, out: str, keys: Keys, on: str, min_periods: int | None = None) -> DataFrame:
+    decay, tag = 1 - alpha_from_span(span), f"__{out}_"
     least = math.ceil(3 * span) if min_periods is None else min_periods
     x = F.col(column).cast("double")
-    w = ordered(keys, on)
-    df = _weighted(df, x, decay, keys, on, (1,), t)
-    value = F.when(F.col(f"{t}w1") > 0, F.col(f"{t}x1") / F.col(f"{t}w1"))
-    # With nothing new the ratio stays what it was.
-    df = df.withColumn(f"{t}v", value).withColumn(f"{t}v", F.coalesce(f"{t}v", F.last(f"{t}v", ignorenulls=True).over(w)))
-    df = df.withColumn(out, F.when(F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)) >= least, F.col(f"{t}v")))
-    return df.drop(*[c for c in df.columns if c.startswith(t)])
+    df = _weighted(df, x, decay, keys, on, (1,), tag)
+    value = F.when(F.col(f"{tag}w1") > 0, F.col(f"{tag}x1") / F.col(f"{tag}w1"))
+    return _settled(df, value, x, least, _block_rows(decay), keys, out, tag)
 
 
-def ewm_volatility(df: DataFrame, column: str, span: float, out: str, keys: Keys = (), on: str = "ts", centered: bool = False) -> DataFrame:
-    """Root of the weighted mean square, or with centered the weighted deviation without bias."""
-    t = f"__{out}_"
+def _volatility(df: DataFrame, column: str, span: float, out: str, keys: Keys, on: str, centered: bool = False) -> DataFrame:
+    decay, tag = 1 - alpha_from_span(span), f"__{out}_"
     if not centered:
-        df = df.withColumn(f"{t}sq", F.pow(F.col(column), 2))
-        return ewma(df, f"{t}sq", span, out, keys, on).withColumn(out, F.sqrt(out)).drop(f"{t}sq")
-    decay = 1 - alpha_from_span(span)
+        df = df.withColumn(f"__sq_{out}", F.pow(F.col(column), 2))
+        return _mean(df, f"__sq_{out}", span, out, keys, on).withColumn(out, F.sqrt(out)).drop(f"__sq_{out}")
+    size = _block_rows(decay)
     x = F.col(column).cast("double")
+    df = _blocked(df, size, keys, on)
     # Around the series' first value: squares of large levels would cancel.
-    w = ordered(keys, on)
-    df = df.withColumn(f"{t}c", x - F.first(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = _weighted(df, F.col(f"{t}c"), decay, keys, on, (1, 2), t)
-    s, mean = F.col(f"{t}w1"), F.col(f"{t}x1") / F.col(f"{t}w1")
-    variance = (F.col(f"{t}y1") / s - mean * mean) * s * s / (s * s - F.col(f"{t}w2"))
-    count = F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    value = F.when((s > 0) & (s * s > F.col(f"{t}w2")), F.sqrt(F.greatest(variance, F.lit(0.0))))
-    df = df.withColumn(f"{t}v", value).withColumn(f"{t}v", F.coalesce(f"{t}v", F.last(f"{t}v", ignorenulls=True).over(w)))
-    df = df.withColumn(out, F.when(count >= math.ceil(3 * span), F.col(f"{t}v")))
-    return df.drop(*[c for c in df.columns if c.startswith(t)])
+    first = F.first(x, ignorenulls=True).over(_by_block(size, keys).rowsBetween(Window.unboundedPreceding, 0))
+    df = df.withColumn(f"{tag}c", x - first)
+    df = _weighted(df, F.col(f"{tag}c"), decay, keys, on, (1, 2), tag)
+    s, mean = F.col(f"{tag}w1"), F.col(f"{tag}x1") / F.col(f"{tag}w1")
+    variance = (F.col(f"{tag}y1") / s - mean * mean) * s * s / (s * s - F.col(f"{tag}w2"))
+    value = F.when((s > 0) & (s * s > F.col(f"{tag}w2")), F.sqrt(F.greatest(variance, F.lit(0.0))))
+    return _settled(df, value, x, math.ceil(3 * span), size, keys, out, tag)
+
+
+def ewma(df: DataFrame, column: str, span: float, out: str, keys: Keys = (), on: str = "ts", min_periods: int | None = None) -> DataFrame:
+    """Exponentially weighted mean over all rows so far (weights adjusted, nulls age the
+    weights), null until min_periods values (3 * span) are there."""
+    return _unblocked(_mean(df, column, span, out, keys, on, min_periods))
+
+
+def ewm_volatility(df: DataFrame, column: str, span: float, out: str, keys: Keys = (), on: str = "ts", centered: bool = False) -> DataFrame:
+    """Root of the weighted mean square, or with centered the weighted deviation without bias."""
+    return _unblocked(_volatility(df, column, span, out, keys, on, centered))
+
+
+def momentum(df: DataFrame, column: str, horizons: list[tuple[float, float, str]], vol_span: float, scale, keys: Keys = (), on: str = "ts") -> DataFrame:
+    """For each (fast, slow, out): the difference of two weighted means by the volatility of
+    moves and scale(fast, slow). All means share one sorted pass where their blocks agree."""
+    size = _block_rows(1 - alpha_from_span(vol_span))
+    df = _blocked(df, size, keys, on)
+    w = _by_block(size, keys)
+    df = df.withColumn("__ff", ffill(column, w)).withColumn("__move", F.when(F.col(column).isNotNull(), diff("__ff", w)))
+    df = _volatility(df, "__move", vol_span, "__vol", keys, on)
+    means = sorted({span for fast, slow, _ in horizons for span in (fast, slow)})
+    for i, span in enumerate(means):
+        df = _mean(df, column, span, f"__m{i}", keys, on)
+    for fast, slow, out in horizons:
+        gap = F.col(f"__m{means.index(fast)}") - F.col(f"__m{means.index(slow)}")
+        df = df.withColumn(out, F.try_divide(gap, F.col("__vol") * scale(fast, slow)))
+    return _unblocked(df).drop("__ff", "__move", "__vol", *[f"__m{i}" for i in range(len(means))])
 
 
 def ewma_exact(df: DataFrame, column: str, span: float, out: str, keys: Keys, on: str = "ts") -> DataFrame:

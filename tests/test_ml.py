@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from causalframe.operators import ml
 
@@ -32,6 +33,14 @@ def test_batch_errors():
     assert ml.choose_batches(8, 4) == [(0, 4)] and ml.choose_batches(8, None) == [(0, 8)]
 
 
+@pytest.mark.parametrize("options", [(None,), (4,), (4, 1), (5, 3, 2), (5, 3, 2, False), (8, 6, 3, False), (3, 2, 5, False), (4, None, 3, False)])
+def test_batch_ids_by_arithmetic(spark, options):
+    for n in (9, 13, 14):
+        want = {(i, r) for i, (a, b) in enumerate(ml.choose_batches(n, *options)) for r in range(a, b)}
+        ids = spark.range(n).select("id", F.explode(ml.batch_ids(F.col("id"), n, *options)).alias("b"))
+        assert {(r.b, r.id) for r in ids.collect()} == want
+
+
 def frame(spark, values, name, shift=0):
     return spark.createDataFrame([(T0 + timedelta(days=i + shift), float(v)) for i, v in enumerate(values)], f"ts timestamp_ntz, {name} double")
 
