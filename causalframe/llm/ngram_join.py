@@ -278,10 +278,11 @@ def _long_enough(t: int) -> Column:
     return 100 * F.least("a_n", "b_n") >= t * F.greatest("a_n", "b_n")
 
 
-def _scored(members: DataFrame) -> DataFrame:
+def _scored(spark: SparkSession, members: DataFrame) -> DataFrame:
     """Adds score: how often a node's shingles are shared. The original of many copies scores
     above them, and links with most."""
-    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    # Stored, so that the join deals both sides out anew and can split a frequent shingle.
+    sizes = common.store(spark, members.groupBy("token").agg(F.count(F.lit(1)).alias("c")), "sizes")
     return members.join(members.join(sizes, "token").groupBy("u").agg(F.sum("c").alias("score")), "u")
 
 
@@ -327,7 +328,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, thr
     if members.head(1):
         wanted = common.bloom_of(base.where("kind = 'g'"), ["hi"], FILTER_LOG2)
         sets = common.store(spark, _sets(docs, wanted, k), "sets")
-        members = common.store(spark, _scored(members), "members")
+        members = common.store(spark, _scored(spark, members), "members")
         links = None
         for first in (True, False):
             pairs = _star_pairs(members, threshold) if first else _all_pairs(members, roots, threshold)
