@@ -23,28 +23,31 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 1").select(docs.columns)
+    # Other columns go through under names that the classifier's results do not have.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    renamed = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(others)})
+    scored = quality(spark, renamed, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1")
+    return scored.select("doc_id", "text", *[F.col(f"__{i}").alias(c) for i, c in enumerate(others)]).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    kept = exact_dedup(spark, docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("sha"))
-    known = docs.withColumn("sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), 256))
-    found = known.join(kept, (known["sha"] == kept["sha"]) & known["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "sha"]).select(docs.columns)
+    kept = exact_dedup(spark, docs).where("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_sha"))
+    known = docs.withColumn("__sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), 256))
+    found = known.join(kept, (known["__sha"] == kept["__kept_sha"]) & known["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that n-gram similarity links, the document with the smallest doc_id."""
-    named = ngram_join(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["kept_id"]), "left_semi").select(docs.columns)
+    named = ngram_join(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(named, docs["doc_id"].eqNullSafe(named["__kept"]), "left_semi")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of any benchmark item."""
-    leaks = decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1).where("contaminated").select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti").select(docs.columns)
+    leaks = decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1).where("contaminated").select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["__leak"]), "left_anti")
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

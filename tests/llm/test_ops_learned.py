@@ -234,11 +234,17 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
 
     rows, labels = toy("quality", 200)
     rows += [(None, "stray", None, None, None), rows[4], rows[4]]
-    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t, *_ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    schema = "doc_id long, text string, lang string, score string, predicted long, held_out string, kept boolean, sha string, label string, bad_lines int, rid int"
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", i, None, True, "x", "y", 3, 4) for i, t, *_ in rows], schema)
     root = f"file://{tmp_path}"
     docs.write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([(1, "not there at all")], "item_id int, text string").write.parquet(f"{root}/benchmark.parquet")
+    own = set(docs.collect())
+    for f in (corpus_pipeline.keep_good, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_leaks):
+        assert (out := f(spark, docs, root)).dtypes == docs.dtypes and set(out.collect()) <= own
+    n, distinct = corpus_pipeline.drop_copies(spark, docs, root).selectExpr("count(*)", "count(distinct lower(coalesce(text, '')))").first()
+    assert n == distinct == docs.selectExpr("count(distinct lower(coalesce(text, '')))").first()[0]
     found = corpus_pipeline.run(spark, root)
     good = {i for i, q in labels if q == 1 and i is not None}
     assert good <= {r.doc_id for r in found.select("doc_id").distinct().collect()}
