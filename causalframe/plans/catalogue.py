@@ -202,6 +202,25 @@ _resample_query("resample_count", "count", "count(v)", digits=None)
 _resample_query("resample_sum_strict", "sum", "coalesce(sum(v), 0)", contemp=False)
 
 
+@query(_resample_sql("2 * sum(v)").replace("g.v FROM", "round(g.v, 4) AS v FROM"))
+def resample_callable(spark, sf_dir):
+    """An aggregate of one's own."""
+    return rounded(_resampled(spark, sf_dir, lambda c: F.sum(F.col(c) * 2)), "v")
+
+
+@query(
+    f"""WITH {H_SQL}, d AS (SELECT ts, avg(v) AS v FROM h GROUP BY ts),
+t AS (SELECT ts FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(ts)),
+b AS (SELECT t.ts AS bucket, d.v FROM d ASOF JOIN t ON d.ts <= t.ts)
+SELECT t.ts, round(m, 4) AS v FROM t LEFT JOIN (SELECT bucket, avg(v) AS m FROM b GROUP BY bucket) ON ts = bucket"""
+)
+def resample_calendar(spark, sf_dir):
+    """One series without keys onto the days of a calendar."""
+    data = hourly(spark, sf_dir).groupBy("ts").agg(F.avg("v").alias("v"))
+    days = OffsetCalendar(timedelta(days=1)).to_df(spark, TimeRange(timestamp("2023-12-31 12:00:00"), timestamp("2024-01-31 12:00:00")))
+    return rounded(causal_resample(data, days, "mean", contemp=True, check=False), "v")
+
+
 # ----------------------------------------------------------------------- calendars
 _BDAYS = """days AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5)"""
 _NY = "timezone('UTC', timezone('America/New_York', d + TIME '15:45:00'))"
@@ -398,6 +417,12 @@ def tail_3(spark, sf_dir):
     return win.tail(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), 3, ["user_id"])
 
 
+@query(f"WITH {H_SQL}, r AS (SELECT *, row_number() OVER ({_W}) - 1 AS rn FROM h) SELECT event_type, ts, round(v, 4) AS v FROM r WHERE rn >= 10 AND rn < 20")
+def rows_slice(spark, sf_dir):
+    """Rows 10 to 19 of every series, by place."""
+    return rounded(win.rows_between(hourly(spark, sf_dir), 10, 20, KEY), "v")
+
+
 # ------------------------------------------------------------------------- upserts
 _OLD = "old AS (SELECT event_id, ts, CASE WHEN value <= 60 THEN value END AS value FROM events WHERE ts < TIMESTAMP '2024-01-16')"
 _NEW = "new AS (SELECT event_id, ts, value, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-20')"
@@ -421,6 +446,32 @@ def append_new_rows(spark, sf_dir):
     return first.metadata.read()
 
 
+@query(f"WITH {_OLD}, {_NEW} SELECT event_id, ts, value, NULL::VARCHAR AS event_type FROM old UNION ALL SELECT event_id, ts, value, event_type FROM new WHERE ts > (SELECT max(ts) FROM old)")
+def append_parquet_store(spark, sf_dir):
+    """The same in a store of Parquet snapshots partitioned by day."""
+    from causalframe.sources.dataset import Dataset
+    from causalframe.sources.store import ParquetStore, scratch_root
+
+    old, new = _old_new(spark, sf_dir)
+    first = Dataset.build("events", old, store=ParquetStore(spark, scratch_root(spark)))
+    first.metadata.store.replace(first)
+    first.metadata.append(new, TimeRange(timestamp("2024-01-14"), timestamp("2024-01-20")))
+    return first.metadata.read()
+
+
+@query(f"WITH {_OLD}, {_NEW} SELECT event_id, ts, value, NULL::VARCHAR AS event_type FROM old WHERE ts >= TIMESTAMP '2024-01-10' UNION ALL SELECT event_id, ts, value, event_type FROM new WHERE ts > (SELECT max(ts) FROM old) AND ts < TIMESTAMP '2024-01-18'")
+def read_parquet_range(spark, sf_dir):
+    """A slice across two snapshots; days outside are never opened."""
+    from causalframe.sources.dataset import Dataset
+    from causalframe.sources.store import ParquetStore, scratch_root
+
+    old, new = _old_new(spark, sf_dir)
+    first = Dataset.build("events", old, store=ParquetStore(spark, scratch_root(spark)))
+    first.metadata.store.replace(first)
+    first.metadata.append(new, TimeRange(timestamp("2024-01-14"), timestamp("2024-01-20")))
+    return first.metadata.read(TimeRange(timestamp("2024-01-10"), timestamp("2024-01-18")))
+
+
 @query(f"WITH {_OLD}, {_NEW} SELECT coalesce(o.event_id, n.event_id) AS event_id, coalesce(o.ts, n.ts) AS ts, coalesce(o.value, n.value) AS value, n.event_type FROM old o FULL JOIN new n ON o.event_id = n.event_id AND o.ts = n.ts")
 def merge_combine_first(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
@@ -644,6 +695,19 @@ def corr_matrix(spark, sf_dir):
     return rounded(stats.correlations(table(spark, sf_dir, "lineitem"), _CORR), "corr", digits=6)
 
 
+@query("SELECT l_returnflag, 'l_quantity' AS variable, count(l_quantity) AS count, round(avg(l_quantity), 4) AS mean, round(stddev_samp(l_quantity), 4) AS std, min(l_quantity) AS min, round(quantile_cont(l_quantity, 0.25), 4) AS p25, round(quantile_cont(l_quantity, 0.5), 4) AS p50, round(quantile_cont(l_quantity, 0.75), 4) AS p75, max(l_quantity) AS max FROM lineitem GROUP BY l_returnflag")
+def describe_by_key(spark, sf_dir):
+    return rounded(stats.describe(table(spark, sf_dir, "lineitem"), ["l_quantity"], ["l_returnflag"]), "mean", "std", "p25", "p50", "p75")
+
+
+@query("SELECT n.n_name, c.c_name FROM nation n LEFT JOIN customer c ON n.n_nationkey = c.c_nationkey")
+def reindex_left(spark, sf_dir):
+    """Every row of the target with what the data has for it."""
+    target = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    data = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), "c_name")
+    return reshape.reindex(target, data, ["k"]).select("n_name", "c_name")
+
+
 @query("WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM events, e GROUP BY ALL")
 def histogram(spark, sf_dir):
     return stats.histogram(table(spark, sf_dir, "events"), "value", 10)
@@ -713,6 +777,17 @@ def apply_models_strict(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- without an oracle
+@query()
+def walkforward_models(spark, sf_dir):
+    """Models of any kind, fitted batch by batch in parallel and applied point in time."""
+    import pandas as pd
+
+    models = ml.fit_models(_batches(spark, sf_dir), lambda pdf: float(pdf["y"].median()))
+    x, _ = _daily(spark, sf_dir)
+    applied = ml.apply_models(models, x, values=["model"])
+    return ml.apply_pickled(applied, lambda m, pdf: pd.DataFrame({"ts": pdf["ts"], "median": m}), "ts timestamp_ntz, median double")
+
+
 @query()
 def pipeline_linear(spark, sf_dir):
     """A pipeline of a joint filter and a linear estimator, applied to all days."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterable
@@ -333,6 +334,13 @@ class ParquetStore(Store):
         self._fs(folder).delete(self._path(folder), True)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """A new folder for a store that need not last: below the folder that the cluster
+    shares, or a local one where none is set."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared or tempfile.mkdtemp(prefix='causalframe-')}/store-{uuid.uuid4().hex}"
+
+
 def create_store(state: dict, spark: SparkSession) -> Store:
     if state["type"] == "memory":
         return MemoryStore()
