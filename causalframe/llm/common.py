@@ -10,8 +10,10 @@ bytes is the same as splitting characters.
 from __future__ import annotations
 
 import ctypes
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +30,7 @@ SLICE_BYTES = 4 << 20
 
 _local_root: list[str] = []
 _stored: list[str] = []
+_shipped: set[str] = set()
 
 
 # ---------------------------------------------------------------- shared tables
@@ -58,8 +61,26 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, unless they are set up to
+    find it themselves (PYTHONPATH, or an installed package)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    context = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in root or context.applicationId in _shipped:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="causalframe-"), "causalframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "causalframe")):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def tune(spark: SparkSession) -> int:
     """Small Arrow batches, since texts can be long; returns the shuffle width."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
