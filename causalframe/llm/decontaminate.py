@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from causalframe.llm import common
 
 WINDOW_WORDS = 8
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 400_000
 BLOCK_WINDOWS = 200_000
 
 #: terms, their sizes in bytes and numbers of postings, all positions (delta-coded
