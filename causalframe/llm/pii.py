@@ -9,7 +9,7 @@ from loopy belief propagation on each text's whole graph; runs of tokens with a
 label that the patterns did not report are added.
 
 Weights are learnt by pseudo-likelihood from what the patterns label in at most
-`SAMPLE_ROWS` texts (a parameter). So that the skip edges learn to carry a label,
+`SAMPLE_ROWS` texts and `SAMPLE_TOKENS` tokens (parameters). So that the skip edges learn to carry a label,
 every such text is also learnt with its findings mentioned once more without their
 leading part, as what they are, and with look-alikes of other digits, as none; and
 some tied tokens' own features are left out.
@@ -23,6 +23,8 @@ in the same digits, so edges grow with the text, not with its square.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from causalframe.llm.scan_rows import Span, scan
 
 BASE = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 1500
+#: Tokens to learn from at most; texts with more than a twentieth of them are left out of learning.
+SAMPLE_TOKENS = 60_000
 SURE = 0.9
 ROUNDS = 12
 #: Digits at the end that make two tokens alike.
@@ -97,7 +101,8 @@ def base_spans(text: str, hint: dict[str, bool]) -> list[Span]:
 
 
 # ------------------------------------------------------------------- the graph
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
+_MARK = re.compile(r"[0-9@]")
 _EDGE = ".,;:!?\"'*#$%&|<>[]{}"
 OWN = 22
 #: A token's own features and those of its neighbours.
@@ -109,6 +114,8 @@ def tokens(text: str) -> list[tuple[int, int]]:
     found = []
     for m in _TOKEN.finditer(text):
         body = m[0]
+        if not _MARK.search(body):
+            continue
         a = len(body) - len(body.lstrip(_EDGE))
         b = len(body.rstrip(_EDGE))
         if b > a:
@@ -235,8 +242,15 @@ class Field:
 def _labels(graph: Graph, spans: list[list[Span]]) -> np.ndarray:
     """The kind of the base span that covers most of a token; 0 without one."""
     y = np.zeros(len(graph.spans), int)
+    now, todo, near = -1, [], []
     for k, (row, s, e) in enumerate(graph.spans):
-        for kind, a, b in spans[row]:
+        if row != now:
+            now, todo, near = row, sorted(spans[row], key=lambda x: -x[1]), []
+        # Tokens come in order: spans that ended before one are done.
+        while todo and todo[-1][1] < e:
+            near.append(todo.pop())
+        near = [x for x in near if x[2] > s]
+        for kind, a, b in near:
             if min(e, b) - max(s, a) > (e - s) / 2:
                 y[k] = 1 + BASE.index(kind)
     return y
@@ -250,12 +264,19 @@ def _plausible(kind: str, text: str) -> bool:
 def added_spans(text: str, graph: Graph, at: range, p: np.ndarray, base: list[Span]) -> list[Span]:
     """Runs of neighbouring tokens with one sure kind that no base span touches."""
     out, run = [], None
+    starts = sorted((a, b) for _, a, b in base)
+    furthest = list(accumulate((b for _, b in starts), max))
+
+    def touched(s: int, e: int) -> bool:
+        before = bisect_left(starts, (e, 0))
+        return before > 0 and furthest[before - 1] > s
+
     for k in [*at, None]:
         label = int(p[k].argmax()) if k is not None else 0
         sure = k is not None and label > 0 and p[k, label] >= SURE
         if sure:
             _, s, e = graph.spans[k]
-            sure = not any(a < e and s < b for _, a, b in base)
+            sure = not touched(s, e)
         if run and (not sure or run[0] != label or graph.spans[k][1] - run[2] > 1):
             if _plausible(BASE[run[0] - 1], text[run[1] : run[2]]):
                 out.append((BASE[run[0] - 1], run[1], run[2]))
@@ -275,17 +296,15 @@ def mentions(texts: list[str], seed: int = 5) -> tuple[list[str], list[list[Span
         out.append(text)
         spans.append(base)
         if base:
-            more, own = text, list(base)
+            more, size, own = [text], len(text), list(base)
             for kind, s, e in base:
                 bare = text[s:e].lstrip("+").split(" ", 1)[-1] if kind != "card" else text[s:e]
                 other = "".join(str(rng.integers(10)) if c.isdigit() else c for c in bare)
-                if kind in ("phone", "card"):
-                    more += f"\n \n{other} and \n \n"
-                else:
-                    more += "\n \n"
-                own.append((kind, len(more), len(more) + len(bare)))
-                more += bare
-            out.append(more)
+                gap = f"\n \n{other} and \n \n" if kind in ("phone", "card") else "\n \n"
+                more += [gap, bare]
+                own.append((kind, size + len(gap), size + len(gap) + len(bare)))
+                size += len(gap) + len(bare)
+            out.append("".join(more))
             spans.append(own)
     return out, spans
 
@@ -310,7 +329,10 @@ def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = common.map_arrow(docs, candidates, "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
     texts = [r["text"] for r in found.orderBy("h").limit(sample_rows).collect()]
-    texts, spans = mentions(texts)
+    sizes = [len(tokens(t)) for t in texts]
+    fit_in = [t for t, n in zip(texts, sizes, strict=True) if n <= SAMPLE_TOKENS // 20]
+    left = accumulate(n for n in sizes if n <= SAMPLE_TOKENS // 20)
+    texts, spans = mentions([t for t, n in zip(fit_in, left, strict=True) if n <= SAMPLE_TOKENS])
     graph = Graph(texts)
     return Field.fit(graph, _labels(graph, spans))
 

@@ -61,14 +61,23 @@ def _listed(pages: DataFrame, rules: list[tuple[str, str, str]], spark: SparkSes
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host suffixes, path parts without their digits, query keys, fragment."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    parts = F.transform(F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "0"), "/"), lambda x: x != ""), lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), x))
+    """At most a dozen distinct tokens of a URL, however long it is: scheme, the last one to
+    three labels of the host, the first two parts of the path without their digits, its
+    depth and ending, the first query key, whether there is a query or a fragment. Itemsets
+    are subsets of these, so mining stays bounded for any URLs."""
+    labels, n = F.split(host, r"\."), F.size(F.split(host, r"\."))
+    ends = [F.when(n >= k, F.concat(F.lit("h:"), F.array_join(F.slice(labels, -k, k), "."))) for k in (1, 2, 3)]
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    first = [F.when(F.size(parts) > k, F.concat(F.lit(f"p{k}:"), F.regexp_replace(F.get(parts, F.lit(k)), "[0-9]+", "0"))) for k in (0, 1)]
+    depth = F.concat(F.lit("d:"), F.least(F.size(parts), F.lit(9)).cast("string"))
+    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.split(x, "=")[0]))
-    scheme = F.concat(F.lit("s:"), F.substring_index(url, "://", 1))
-    return F.array_distinct(F.concat(F.array(scheme), suffixes, parts, keys, F.when(F.contains(url, F.lit("#")), F.array(F.lit("f:"))).otherwise(F.array().cast("array<string>"))))
+    more = [
+        F.when(ending != "", F.concat(F.lit("e:"), F.lower(ending))),
+        F.when(query != "", F.concat(F.lit("q:"), F.regexp_extract(query, "^([^=&]*)", 1))),
+        F.when(F.contains(url, F.lit("#")), F.lit("f:")),
+    ]
+    return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("s:"), F.substring_index(url, "://", 1)), *ends, *first, depth, *more)))
 
 
 def mine_rules(spark: SparkSession, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
