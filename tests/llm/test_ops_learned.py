@@ -253,3 +253,21 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{root}/{t}.parquet").write.parquet(f"{empty}/{t}.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_long_urls_stay_bounded(spark):
+    urls = ["https://a.org/" + "x/" * 20_000, "b://" + "c." * 3000, "https://a.org/" + "y/" * 20_000 + "?" + "k=1&" * 5000 + "#f"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    labels = spark.createDataFrame([(u, "block") for u in urls] * 3, "url string, label string")
+    found = url_filter.url_filter(spark, pages, url_filter.RULES, labels).collect()
+    assert [r.verdict for r in found] == ["block"] * 3
+
+
+def test_long_texts_take_linear_time():
+    hint = dict.fromkeys(pii.HINTS, True)
+    for text in ("1.2." * 40_000, "a@" + "b." * 40_000, "x@" * 40_000, "+1 " * 40_000, "1 " * 40_000, "a" * 400_000 + " 1.2.3.4", "+1 (743) 555-3824 " * 3000):
+        base = pii.base_spans(text, hint)
+        assert sorted(base) == pii_base(text) if len(text) < 200_000 else base
+        graph = pii.Graph([text])
+        assert len(pii._labels(graph, [base])) == len(graph.spans)
+        assert len(graph.skip) <= 2 * len(graph.spans)
