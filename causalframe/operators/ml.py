@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from causalframe.functions.hashing import positive
 from causalframe.operators.asof import causal_match
+from causalframe.operators.stats import range_bounds, range_of
 
 Batch = tuple[int, int]
 
@@ -79,15 +80,17 @@ def batch_ids(rn: Column, n: int, window_size: int | None, min_periods: int | No
 
 
 def numbered(df: DataFrame, on: str = "ts") -> DataFrame:
-    """Adds rn, the row's place in time, without one task that sees all rows: each
-    range partition is numbered on its own and then moved by the sizes of those before it."""
-    # A fixed number of partitions: adaptive execution must not merge them differently below.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, on).withColumn("__part", F.spark_partition_id())
-    parts = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(on)))
+    """Adds rn, the row's place in time, without one task that sees all rows: each range
+    of times is numbered on its own and then moved by the sizes of those before it. The
+    ranges are literals, so both branches of the plan cut alike."""
+    moment = F.unix_micros(F.to_utc_timestamp(F.col(on).cast("timestamp"), F.current_timezone()))
+    n = max(2, min(128, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    (bounds,) = range_bounds(df, [moment], n)
+    parts = df.withColumn("__part", range_of(moment, bounds))
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    # One row for each partition.
+    # One row for each range.
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    parts = parts.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(on)))
     return parts.join(F.broadcast(before), "__part").withColumn("rn", F.col("__before") + F.col("__k") - 1).drop("__part", "__k", "__before")
 
 

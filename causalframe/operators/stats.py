@@ -4,22 +4,71 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_bounds(df: DataFrame, columns: list[Column], parts: int) -> list[list]:
+    """For each column, inner bounds of about `parts` equally full ranges: one aggregate with
+    sketches of fixed size, whose result is a few numbers."""
+    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = df.agg(*[F.percentile_approx(c, probs, F.lit(10 * parts)).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    return [sorted(set(x or [])) for x in found]
+
+
+def range_of(value: Column, bounds: list) -> Column:
+    """The number of the range that a value lies in. The bounds are literals, so the same row
+    is in the same range in every branch of a plan."""
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= value)) if bounds else F.lit(0)
+
+
+def _parts(df: DataFrame) -> int:
+    return max(2, min(128, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _quantiles(values: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """keys, q of (keys, x, __part): exact quantiles with linear interpolation. Equal values
+    are counted first; each range of values is ranked on its own and moved by the sizes of
+    those below, so no task holds all values of a key."""
+    counted = values.where("x is not null").groupBy(*keys, "__part", "x").agg(F.count(F.lit(1)).alias("__c"))
+    inside = Window.partitionBy(*keys, "__part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("__cum", F.sum("__c").over(inside))
+    # One row for each key and range.
+    sizes = counted.groupBy(*keys, "__part").agg(F.sum("__c").alias("__s"))
+    below, all_ = Window.partitionBy(*keys).orderBy("__part"), Window.partitionBy(*keys)
+    sizes = sizes.select(*keys, "__part", (F.sum("__s").over(below) - F.col("__s")).alias("__off"), F.sum("__s").over(all_).alias("__n"))
+    same = reduce(lambda a, b: a & b, [ranked[c].eqNullSafe(sizes[c]) for c in (*keys, "__part")])
+    rows = ranked.join(sizes, same).select(*[ranked[c] for c in keys], "x", (F.col("__off") + F.col("__cum") - F.col("__c")).alias("__first"), (F.col("__off") + F.col("__cum") - 1).alias("__last"), "__n")
+    found = []
+    for p in probs:
+        at = F.lit(p) * (F.col("__n") - 1)
+        low, high = (F.max(F.when((F.col("__first") <= f(at)) & (F.col("__last") >= f(at)), F.col("x"))) for f in (F.floor, F.ceil))
+        found.append(low + (high - low) * F.max(at - F.floor(at)))
+    return rows.groupBy(*keys).agg(F.array(*found).alias("q"))
+
+
 def describe(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """One row for each column (and key): count, mean, std, min, quartiles, max. Columns
-    become rows before the aggregation, so it is one pass."""
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), columns, "variable", "x")
-    quartiles = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = long.groupBy(*keys, "variable").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), quartiles.alias("q"), F.max("x").alias("max"))
-    return found.select(*keys, "variable", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    become rows before the aggregation."""
+    keys = list(keys)
+    wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    long = wide.unpivot(keys, columns, "variable", "x")
+    found = long.groupBy(*keys, "variable").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    part = F.lit(0)
+    for c, bounds in zip(columns, range_bounds(wide, [F.col(c) for c in columns], _parts(df)), strict=True):
+        part = F.when(F.col("variable") == c, range_of(F.col("x"), bounds)).otherwise(part)
+    q = _quantiles(long.withColumn("__part", part), [*keys, "variable"], [0.25, 0.5, 0.75])
+    same = reduce(lambda a, b: a & b, [found[c].eqNullSafe(q[c]) for c in (*keys, "variable")])
+    rows = found.join(q, same, "left").select(*[found[c] for c in found.columns], q["q"])
+    return rows.select(*keys, "variable", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def quantile_edges(df: DataFrame, column: str, parts: int = 10, keys: list[str] = ()) -> DataFrame:
     """keys, edges: the quantiles 0, 1/parts, ... short of 1."""
-    return df.groupBy(*keys).agg(F.percentile(column, F.array(*[F.lit(i / parts) for i in range(parts)])).alias("edges"))
+    x = F.col(column).cast("double")
+    (bounds,) = range_bounds(df, [x], _parts(df))
+    values = df.select(*keys, x.alias("x")).withColumn("__part", range_of(F.col("x"), bounds))
+    return _quantiles(values, list(keys), [i / parts for i in range(parts)]).withColumnRenamed("q", "edges")
 
 
 def bucket(value: Column, edges: Column) -> Column:

@@ -84,3 +84,9 @@ def test_pipeline(spark):
     assert weights[0][0] == pytest.approx(3.0) and weights[1] == pytest.approx(2.0)
     only_x = ml.Univariate(lambda df: df.limit(3), on_y=False).transform(ml.Bivariate(x, y))
     assert only_x.x.count() == 3 and only_x.y.count() == 10
+
+
+def test_numbering_by_ranges(spark):
+    df = spark.range(5000).selectExpr("timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, 0, pmod(id * 7919, 5000)) as ts", "pmod(id * 7919, 5000) as want")
+    rows = ml.numbered(df.repartition(7)).collect()
+    assert len(rows) == 5000 and all(r.rn == r.want for r in rows)

@@ -102,3 +102,19 @@ def test_reshape_and_stats(spark):
     assert sorted(map(tuple, reshape.combine_first(df, new, ["id"]).collect())) == [(1, 1.0, 7.0, "x"), (2, 3.0, 4.0, None), (3, 5.0, 5.0, "y")]
     assert {(r.row, r.col): round(r.corr, 6) for r in stats.correlations(new, ["a", "b"]).collect()}[("a", "b")] == 1.0
     assert stats.histogram(spark.range(10).selectExpr("double(id) as x"), "x", 3).groupBy().sum("n").first()[0] == 10
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None], 3000), "small": rng.normal(size=3000) / 1e6, "ties": rng.integers(0, 5, 3000).astype(float)})
+    pdf.loc[rng.random(3000) < 0.1, "small"] = np.nan
+    rows = [(r.k, None if np.isnan(r.small) else float(r.small), float(r.ties)) for r in pdf.itertuples()] + [("empty", None, None)]
+    df = spark.createDataFrame(rows, "k string, small double, ties double")
+    found = {(r.k, r.variable): r for r in stats.describe(df, ["small", "ties"], ["k"]).collect()}
+    assert found["empty", "small"]["count"] == 0 and found["empty", "small"].p50 is None
+    for (k, c), r in found.items():
+        if k != "empty":
+            x = pdf[pdf["k"].isna() if k is None else pdf["k"] == k][c].dropna()
+            assert (r.p25, r.p50, r.p75) == tuple(pytest.approx(v) for v in np.quantile(x, [0.25, 0.5, 0.75])) and r["count"] == len(x)
+    edges = stats.quantile_edges(df, "small").first().edges
+    np.testing.assert_allclose(edges, np.quantile(pdf["small"].dropna(), np.arange(10) / 10))
