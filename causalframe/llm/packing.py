@@ -33,7 +33,7 @@ MAX_GAP = 16
 FAN_IN = 32
 END_ID = 1
 #: Distinct pieces of text whose ids a worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, *range(0x09, 0x0E)]] = True
