@@ -15,6 +15,8 @@ no labelled URLs nothing is mined; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,10 @@ MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.9
 #: A list of up to this many rules is a literal of the plan; a longer one is joined.
 LITERAL_RULES = 200
+#: Labels of the longest host name (253 characters).
+HOST_LABELS = 127
+#: Items of a row up to which FP-growth mines all their subsets.
+FP_ITEMS = 12
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -61,36 +67,82 @@ def _listed(pages: DataFrame, rules: list[tuple[str, str, str]], spark: SparkSes
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """At most a dozen distinct tokens of a URL, however long it is: scheme, the last one to
-    three labels of the host, the first two parts of the path without their digits, its
-    depth and ending, the first query key, whether there is a query or a fragment. Itemsets
-    are subsets of these, so mining stays bounded for any URLs."""
-    labels, n = F.split(host, r"\."), F.size(F.split(host, r"\."))
-    ends = [F.when(n >= k, F.concat(F.lit("h:"), F.array_join(F.slice(labels, -k, k), "."))) for k in (1, 2, 3)]
+    """Distinct tokens of a URL: scheme, every label and suffix of the host, every part of
+    the path without its digits, its depth and ending, every query key, whether there is a
+    fragment. Suffixes go up to `HOST_LABELS` labels, more than a host name can have."""
+    labels = F.split(host, r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(HOST_LABELS))), lambda k: F.concat(F.lit("h:"), F.array_join(F.slice(labels, -k, k), ".")))
+    each = F.transform(labels, lambda x: F.concat(F.lit("l:"), x))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    first = [F.when(F.size(parts) > k, F.concat(F.lit(f"p{k}:"), F.regexp_replace(F.get(parts, F.lit(k)), "[0-9]+", "0"))) for k in (0, 1)]
+    places = F.transform(parts, lambda x, i: F.concat(F.lit("p"), i.cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "0")))
     depth = F.concat(F.lit("d:"), F.least(F.size(parts), F.lit(9)).cast("string"))
     ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    more = [
-        F.when(ending != "", F.concat(F.lit("e:"), F.lower(ending))),
-        F.when(query != "", F.concat(F.lit("q:"), F.regexp_extract(query, "^([^=&]*)", 1))),
-        F.when(F.contains(url, F.lit("#")), F.lit("f:")),
-    ]
-    return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("s:"), F.substring_index(url, "://", 1)), *ends, *first, depth, *more)))
-
-
-def mine_rules(spark: SparkSession, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Association rules of labelled (tokens, label): antecedent, verdict, confidence, support.
-    A rule that adds tokens to one of the same verdict without more confidence is pruned."""
+    query = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != "")
+    keys = F.transform(query, lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
+    more = F.array_compact(F.array(F.when(ending != "", F.concat(F.lit("e:"), F.lower(ending))), F.when(F.contains(url, F.lit("#")), F.lit("f:"))))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("s:"), F.substring_index(url, "://", 1)), depth), ends, each, places, keys, more))
+
+
+def frequent_items(spark: SparkSession, labelled: DataFrame, min_support: float) -> tuple[DataFrame, DataFrame]:
+    """Of labelled (tokens, label): (token, item) of the tokens that reach min_support, and
+    (items, label), one row for each row. Tokens of exactly the same rows are one item, named
+    by the smallest: rules with either have the same figures, and rules with both are pruned.
+    Same rows are told by their number and 128 bits."""
+    rows = common.store(spark, labelled.withColumn("rid", F.monotonically_increasing_id()), "labelled")
+    least = max(1, math.ceil(min_support * rows.count()))
+    each = rows.select("rid", F.explode("tokens").alias("token"))
+    place = [F.bit_xor(F.xxhash64("rid", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    tokens = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *place).where(F.col("n") >= least)
+    known = common.store(spark, tokens.select("token", F.min("token").over(Window.partitionBy("n", "x0", "x1")).alias("item")), "items")
+    held = each.join(known, "token").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    return known, common.store(spark, rows.select("rid", "label").join(held, "rid", "left").select(F.coalesce("items", none).alias("items"), "label"), "baskets")
+
+
+def mine_rules(spark: SparkSession, rows: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Association rules of rows (items, label): antecedent, verdict, confidence, support.
+    A row of more than `FP_ITEMS` items has too many subsets for FP-growth; with one, rules
+    are mined size by size, which leaves out only what `pruned` would drop."""
     width = common.tune(spark)
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
+    if (rows.agg(F.max(F.size("items"))).first()[0] or 0) > FP_ITEMS:
+        return _mine_by_size(spark, rows, min_support, min_confidence)
+    items = rows.select(F.concat("items", F.array(F.concat(F.lit("="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=width).fit(items)
     rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit("="))))
     rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.substr(F.col("consequent")[0], F.lit(2)).alias("verdict"), "confidence", "support")
     return common.store(spark, rules, "rules")
 
 
+def _mine_by_size(spark: SparkSession, rows: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+    """Rules of any size, smaller antecedents first. One grows only while it is in fewer rows
+    than each of its subsets and its rows differ in label: otherwise a smaller antecedent
+    decides all that a larger one could."""
+    total = rows.count()
+    least = max(1, math.ceil(min_support * total))
+    rows = common.store(spark, rows.groupBy("items", "label").agg(F.count(F.lit(1)).alias("w")).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    held = rows.select("rid", "label", "w", F.explode("items").alias("x")).select("rid", "label", "w", F.array("x").alias("items"))
+    rules = smaller = None
+    while True:
+        held = common.store(spark, held, "held")
+        if not held.head(1):
+            return rules if rules is not None else spark.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
+        per = held.groupBy("items", "label").agg(F.sum("w").alias("both"))
+        sizes = per.groupBy("items").agg(F.sum("both").alias("n"), F.max("both").alias("most")).where(F.col("most") >= least)
+        if smaller is not None:
+            less = sizes.select("items", "n", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("less")).join(smaller, "less")
+            whole = less.groupBy("items").agg(F.count(F.lit(1)).alias("k"), F.min("less_n").alias("less_n"))
+            sizes = sizes.join(whole, "items").where("k = size(items) and n < less_n").select("items", "n", "most")
+        sizes = common.store(spark, sizes, "sizes")
+        sure = per.join(sizes, "items").where((F.col("both") >= least) & (F.col("both") / F.col("n") >= min_confidence))
+        found = common.store(spark, sure.select(F.col("items").alias("antecedent"), F.col("label").alias("verdict"), (F.col("both") / F.col("n")).alias("confidence"), (F.col("both") / F.lit(total)).alias("support")), "rules")
+        rules = found if rules is None else rules.unionByName(found)
+        grow = sizes.where("most < n")
+        smaller = grow.select(F.col("items").alias("less"), F.col("n").alias("less_n"))
+        stem = held.join(grow.select("items"), "items").select("rid", "label", "w", F.expr("slice(items, 1, size(items) - 1)").alias("stem"), F.element_at("items", -1).alias("x"))
+        other = stem.select("rid", "stem", F.col("x").alias("y"))
+        held = stem.join(other, ["rid", "stem"]).where("x < y").select("rid", "label", "w", F.concat("stem", F.array("x", "y")).alias("items"))
+
+
 def pruned(rules: DataFrame) -> DataFrame:
     """Drops rules that a subset of one token less already decides as well."""
     smaller = rules.select(F.col("antecedent").alias("less"), "verdict", F.col("confidence").alias("less_confidence"))
@@ -123,7 +175,10 @@ def url_filter(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     known = labels.select("url", "label").where("url is not null and contains(url, '://') and label is not null").withColumns(parts).select(tokens.alias("tokens"), "label")
     # A decided rule list needs no mining; what is open is matched once per distinct URL.
     open_urls = judged.where("listed is null and url is not null and contains(url, '://')").select("url", "host", "path").distinct().select("url", tokens.alias("tokens"))
-    mined = match_rules(open_urls, pruned(mine_rules(spark, known, min_support, min_confidence)))
+    known, rows = frequent_items(spark, known, min_support)
+    # What a URL has of the items; tokens that are in no rule need no look.
+    open_urls = open_urls.select("url", F.explode("tokens").alias("token")).join(known, "token").groupBy("url").agg(F.collect_set("item").alias("tokens"))
+    mined = match_rules(open_urls, pruned(mine_rules(spark, rows, min_support, min_confidence)))
     return judged.join(mined, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"), "mined_rule")
 
 

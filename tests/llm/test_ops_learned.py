@@ -271,3 +271,30 @@ def test_long_texts_take_linear_time():
         graph = pii.Graph([text])
         assert len(pii._labels(graph, [base])) == len(graph.spans)
         assert len(graph.skip) <= 2 * len(graph.spans)
+
+
+@pytest.mark.parametrize("most", [12, 0])
+def test_url_rules_on_any_token(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "FP_ITEMS", most)
+    bad = ["https://a{}.net/x/y/casino/{}", "https://a{}.net/x/y/z/{}?page=2&ref=x", "https://blog.adult-x.a{}.co.uk/x/y/z/{}"]
+    good = ["https://a{}.net/x/y/news/{}", "https://a{}.net/x/y/z/{}?page=2&lang=x", "https://blog.garden.a{}.co.uk/x/y/z/{}"]
+    rows = [(u.format(i % 5, i), label) for label, urls in (("block", bad), ("allow", good * 3)) for u in urls for i in range(20)]
+    labels = spark.createDataFrame(rows, "url string, label string")
+    pages = spark.createDataFrame([(k, u.format("new", 7)) for k, u in enumerate(bad + good)], "page_id long, url string")
+    found = {r.page_id: r for r in url_filter.url_filter(spark, pages, [], labels).collect()}
+    assert [found[k].verdict for k in range(6)] == ["block"] * 3 + ["allow"] * 3
+    assert found[0].mined_rule == "p2:casino" and found[1].mined_rule == "q:ref"
+
+
+def test_url_rules_by_size_are_those_of_fp_growth(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(300):
+        has = rng.random(7) < 0.5
+        rows.append(([x for x, h in zip("abcdefg", has, strict=True) if h], "block" if (has[0] and has[3] and not has[5]) or rng.random() < 0.1 else "allow"))
+    rows = spark.createDataFrame(rows, "items array<string>, label string")
+    mined = []
+    for most in (12, 0):
+        monkeypatch.setattr(url_filter, "FP_ITEMS", most)
+        mined.append({(tuple(r.antecedent), r.verdict, round(r.confidence, 9), round(r.support, 9)) for r in url_filter.pruned(url_filter.mine_rules(spark, rows, 0.01, 0.8)).collect()})
+    assert mined[0] == mined[1] and max(len(a) for a, *_ in mined[0]) > 2
