@@ -51,6 +51,9 @@ HINTS = {
     "phone": r"\+[0-9]",
 }
 
+#: Texts worth a search: those with a token of the field. A pattern's match is one, too.
+NODE = {"node": "[0-9@]"}
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
@@ -238,6 +241,17 @@ class Field:
         np.add.at(total, target, message)
         return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True)) if len(total) else total
 
+    def hopeless(self, graph: Graph) -> bool:
+        """Whether no token can become sure, whatever its edges say: a message tells a label
+        from none by at most the largest difference in its edge's table."""
+        score = graph.x @ self.own
+        reach = score[:, 1:] - score[:, :1]
+        for edges, table in ((graph.chain, self.chain), (graph.skip, self.skip)):
+            for end, t in ((1, table), (0, table.T)):
+                most = np.maximum((t[:, 1:] - t[:, :1]).max(0), 0)
+                reach = reach + np.bincount(edges[:, end], minlength=len(reach))[:, None] * most
+        return not (reach >= np.log(SURE / (1 - SURE)) - 1e-6).any()
+
 
 def _labels(graph: Graph, spans: list[list[Span]]) -> np.ndarray:
     """The kind of the base span that covers most of a token; 0 without one."""
@@ -345,13 +359,12 @@ def pii_scan(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROW
 
     def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
         base = base_spans(text, hint)
-        if not base:
-            # Without a pattern's match no token is sure: nothing pulls others along.
-            return [], []
         graph = Graph([text])
+        if field.hopeless(graph):
+            return base, []
         return base, added_spans(text, graph, range(len(graph.spans)), field.marginals(graph), base)
 
-    return scan(docs, find, BASE, (), HINTS)
+    return scan(docs, find, BASE, (), HINTS | NODE)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

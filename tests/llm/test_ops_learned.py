@@ -298,3 +298,26 @@ def test_url_rules_by_size_are_those_of_fp_growth(spark, monkeypatch):
         monkeypatch.setattr(url_filter, "FP_ITEMS", most)
         mined.append({(tuple(r.antecedent), r.verdict, round(r.confidence, 9), round(r.support, 9)) for r in url_filter.pruned(url_filter.mine_rules(spark, rows, 0.01, 0.8)).collect()})
     assert mined[0] == mined[1] and max(len(a) for a, *_ in mined[0]) > 2
+
+
+def test_pii_field_needs_no_pattern(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"ab e.{i}@mail{i}.example.com cd +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} in {rng.integers(10**6)}", None, None, None) for i in range(300)]
+    odd = "write to müller@exämple.de today"
+    rows += [(1000, odd, None, None, None), (1001, f"{odd} not to 10.0.0.7", None, None, None), (1002, "on 12 May 2020 at 5 pm", None, None, None)]
+    found = {r.doc_id: r for r in pii.pii_scan(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(x.kind, x.value) for x in found[1000].found] == [("email", "müller@exämple.de")]
+    assert [(x.kind, x.value) for x in found[1001].found] == [("email", "müller@exämple.de"), ("ip", "10.0.0.7")]
+    assert found[1000].n_email == 0 and found[1002].spans == ""
+
+
+def test_pii_bound_holds():
+    rng = np.random.default_rng(8)
+    skipped = 0
+    for _ in range(300):
+        g = pii.Graph([" ".join(rng.choice(["a1", "b2", "x", "5551234567", "c3\n\n"], 12))])
+        field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)) - np.eye(1, pii.LABELS) * -0.8, rng.normal(size=(pii.LABELS,) * 2) / 2, rng.normal(size=(pii.LABELS,) * 2) / 2)
+        if field.hopeless(g):
+            skipped += 1
+            assert not len(g.spans) or field.marginals(g)[:, 1:].max() < pii.SURE
+    assert skipped > 10
