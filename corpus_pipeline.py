@@ -18,6 +18,8 @@ from causalframe.llm.ngram_join import ngram_join
 from causalframe.llm.packing import pack
 from causalframe.llm.quality import quality
 
+#: What makes near copies: shingles of five words, 80 of 100 of them shared.
+NEAR_WORDS, NEAR_THRESHOLD = 5, 80
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -40,7 +42,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that n-gram similarity links, the document with the smallest doc_id."""
-    named = ngram_join(spark, docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    named = ngram_join(spark, docs, k=NEAR_WORDS, threshold=NEAR_THRESHOLD).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(named, docs["doc_id"].eqNullSafe(named["__kept"]), "left_semi")
 
 

@@ -321,3 +321,35 @@ def test_pii_bound_holds():
             skipped += 1
             assert not len(g.spans) or field.marginals(g)[:, 1:].max() < pii.SURE
     assert skipped > 10
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    """The stage against brute force: five-word shingles, 80 of 100."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(12):
+        w = [f"t{i}x{k}" for k in range(100)]
+        rows.append(w)
+        for n in (4, 6, 7, 9):
+            at = int(rng.integers(0, 100 - n))
+            rows.append(w[:at] + [f"r{len(rows)}x{k}" for k in range(n)] + w[at + n :])
+    w = [f"s{k}" for k in range(100)]
+    rows += [w, w[:40] + ["o"] * 6 + w[46:]]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
+    assert kept == {i for i in range(len(rows)) if find(i) == i} and len(rows) - 1 not in kept
