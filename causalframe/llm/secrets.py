@@ -31,7 +31,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
+#: How a DER sequence or an OpenSSH key starts in base64, at the start of a run or after
+#: a character of it that may part words.
+_HEAD = re.compile(r"(?:^|(?<=[/+_-]))(?:M[A-I]|b3BlbnNzaC1rZXktdjEA|AAAA(?:[BC]3NzaC|E2VjZHNhL))")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){%d,}(?![0-9A-Fa-f])" % LEAST_RUN)
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
 
@@ -127,6 +130,36 @@ def ssh_key(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0] in _SSH_KINDS
 
 
+def kind_of(data: bytes | None) -> str | None:
+    return None if not data else "der_key" if der_key(data) else "ssh_key" if ssh_key(data) else None
+
+
+def run_keys(run: str) -> list[Span]:
+    """Keys of a base64 run: the whole of it, or else its parts from where a key may start,
+    to the end that a DER length gives or to the end of the run."""
+    kind = kind_of(decode(run))
+    if kind:
+        return [(kind, 0, len(run))]
+    found: list[Span] = []
+    n, last = len(run.rstrip("=")), 0
+    for m in _HEAD.finditer(run):
+        at, stop = m.start(), n
+        if run[at] == "M":
+            head = decode(run[at : at + 8]) or b""
+            long = head[1] & 0x7F if len(head) > 1 and head[1] & 0x80 else 0
+            if len(head) < 6 or long > 4:
+                continue
+            size = 2 + long + int.from_bytes(head[2 : 2 + long], "big") if long else 2 + head[1]
+            stop = at - (-4 * size // 3)
+        if at < last or stop > n or stop - at < LEAST_RUN or (stop < n and run[stop] not in "/+_-"):
+            continue
+        kind = kind_of(decode(run[at:stop]))
+        if kind:
+            last = len(run) if stop == n else stop
+            found.append((kind, at, last))
+    return found
+
+
 def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
     """Base spans of a text and confirmed ones, unordered."""
     spans: list[Span] = []
@@ -146,17 +179,11 @@ def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
         confirmed += [("signed_token", *m.span()) for m in _SIGNED.finditer(text) if signed_header(m[0])]
     if hint["run"]:
         for m in _RUN.finditer(text):
-            data = decode(m[0])
-            if data and der_key(data):
-                confirmed.append(("der_key", *m.span()))
-            elif data and ssh_key(data):
-                confirmed.append(("ssh_key", *m.span()))
+            confirmed += [(kind, m.start() + a, m.start() + b) for kind, a, b in run_keys(m[0])]
         for m in _HEX_RUN.finditer(text):
-            data = bytes.fromhex(m[0])
-            if der_key(data):
-                confirmed.append(("der_key", *m.span()))
-            elif ssh_key(data):
-                confirmed.append(("ssh_key", *m.span()))
+            kind = kind_of(bytes.fromhex(m[0]))
+            if kind:
+                confirmed.append((kind, *m.span()))
     return spans, confirmed
 
 

@@ -353,3 +353,20 @@ def test_pipeline_drops_near_copies_of_five_words(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()}
     assert kept == {i for i in range(len(rows)) if find(i) == i} and len(rows) - 1 not in kept
+
+
+@pytest.mark.parametrize("data, kind", [(RSA, "der_key"), (SSH, "ssh_key"), (b"openssh-key-v1\0" + b"\x05" * 60, "ssh_key")])
+@pytest.mark.parametrize("before", ["private_key=", "cert==", "A" * 45 + "=", "x/", "keys/of/all-", "my_", "private_key: ", "+"])
+def test_secrets_after_any_sign(data, kind, before):
+    hint = dict.fromkeys(secrets.HINTS, True)
+    for key in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("=")):
+        text = f"{before}{key} end"
+        assert [(k, text[a:b]) for k, a, b in secrets.find(text, hint)[1]] == [(kind, key)]
+
+
+def test_secrets_within_a_run():
+    hint = dict.fromkeys(secrets.HINTS, True)
+    key = base64.b64encode(RSA).decode().rstrip("=")
+    text = f"a/{key}/{key}-x {key[:-4]} b/{key[:-4]}"
+    assert [text[a:b] for _, a, b in secrets.find(text, hint)[1]] == [key, key]
+    assert secrets.find("/MIIEvQIBADAN" * 40_000, hint)[1] == []
