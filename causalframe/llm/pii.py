@@ -17,7 +17,9 @@ some tied tokens' own features are left out.
 Defined results: null text is empty and has no spans; rows that repeat are scanned
 each; a null doc_id is kept; extra columns are ignored; texts have no largest length.
 A token is tied to the one before it that is equal and to the one before it that ends
-in the same digits, so edges grow with the text, not with its square.
+in the same digits, and to the first of each group that a pattern's match covers, so edges
+grow with the text, not with its square, and every mention is next to a sure one. What a
+pattern matched is given, not judged. Messages are passed on until they settle.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ SAMPLE_ROWS = 1500
 #: Tokens to learn from at most; texts with more than a twentieth of them are left out of learning.
 SAMPLE_TOKENS = 60_000
 SURE = 0.9
-ROUNDS = 12
+#: Messages have settled when none changes by more; a loop that never does stops after ROUNDS.
+SETTLED = 1e-8
+ROUNDS = 1000
 #: Digits at the end that make two tokens alike.
 ALIKE_DIGITS = 7
 
@@ -145,11 +149,13 @@ class Graph:
     """Tokens of some texts: own features, chain edges (at most one character between
     two tokens), skip edges."""
 
-    def __init__(self, texts: list[str]):
-        feats, chain, skip, self.spans = [], [], [], []
+    def __init__(self, texts: list[str], base: list[list[Span]] | None = None):
+        """base: what patterns matched in each text; `given` has the labels of its tokens."""
+        feats, chain, self.spans = [], [], []
+        groups: list[list[int]] = []
         for row, text in enumerate(texts):
-            equal: dict[str, int] = {}
-            alike: dict[str, int] = {}
+            equal: dict[str, list[int]] = {}
+            alike: dict[str, list[int]] = {}
             end = -9
             for s, e in tokens(text):
                 k, t = len(self.spans), text[s:e]
@@ -158,16 +164,19 @@ class Graph:
                 if s - end <= 1:
                     chain.append((k - 1, k))
                 end = e
-                key = t.lower()
-                if key in equal:
-                    skip.append((equal[key], k))
-                equal[key] = k
+                equal.setdefault(t.lower(), []).append(k)
                 d = _digits(t)
                 if len(d) >= ALIKE_DIGITS:
-                    tail = d[-ALIKE_DIGITS:]
-                    if tail in alike and (alike[tail], k) != (skip[-1] if skip else None):
-                        skip.append((alike[tail], k))
-                    alike[tail] = k
+                    alike.setdefault(d[-ALIKE_DIGITS:], []).append(k)
+            groups += [g for g in (*equal.values(), *alike.values()) if len(g) > 1]
+        self.given = _labels(self, base) if base is not None else np.zeros(len(self.spans), int)
+        skip = set()
+        for g in groups:
+            hub = next((k for k in g if self.given[k]), None)
+            skip.update(zip(g, g[1:], strict=False))
+            # A hub that is itself open would only gather what its own group guesses.
+            skip.update((min(k, hub), max(k, hub)) for k in g if hub not in (None, k))
+        skip = sorted(skip)
         self.chain, self.skip = (np.array(p, int).reshape(-1, 2) for p in (chain, skip))
         own = np.array(feats, float).reshape(-1, OWN)
         before, after = np.zeros_like(own), np.zeros_like(own)
@@ -176,6 +185,8 @@ class Graph:
 
 
 LABELS = 1 + len(BASE)
+#: Score of the labels that a given token does not have.
+NEVER = -1e9
 
 
 class Field:
@@ -221,24 +232,38 @@ class Field:
         return Field(*weights)
 
     def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy belief propagation: messages along both ways of every edge, damped by half."""
+        """Loopy belief propagation: messages along both ways of every edge, damped by half,
+        until they settle."""
         own = graph.x @ self.own
+        known = np.flatnonzero(graph.given)
+        own[known] = NEVER
+        own[known, graph.given[known]] = 0.0
         edges = np.concatenate([graph.chain, graph.skip])
-        tables = np.concatenate([np.repeat(self.chain[None], len(graph.chain), 0), np.repeat(self.skip[None], len(graph.skip), 0)])
         source = np.concatenate([edges[:, 0], edges[:, 1]])
         target = np.concatenate([edges[:, 1], edges[:, 0]])
-        tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+        m, n = len(graph.chain), len(edges)
+        ways = [(slice(0, m), self.chain), (slice(m, n), self.skip), (slice(n, n + m), self.chain.T), (slice(n + m, 2 * n), self.skip.T)]
+        ways = [(at, np.exp(t - t.max())) for at, t in ways]
         message = np.zeros((len(source), LABELS))
+
+        def beliefs() -> np.ndarray:
+            return own + np.stack([np.bincount(target, message[:, s], len(own)) for s in range(LABELS)], 1)
+
         for _ in range(rounds if len(source) else 0):
-            total = own.copy()
-            np.add.at(total, target, message)
-            cavity = total[source] - message[back]
-            new = np.logaddexp.reduce(cavity[:, :, None] + tables, axis=1)
+            cavity = beliefs()[source] - message[back]
+            top = cavity.max(1, keepdims=True)
+            share = np.exp(cavity - top)
+            new = np.empty_like(message)
+            for at, table in ways:
+                new[at] = np.log(share[at] @ table)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
-        total = own.copy()
-        np.add.at(total, target, message)
+            new = 0.5 * (message + new)
+            moved = np.abs(new - message).max()
+            message = new
+            if moved < SETTLED:
+                break
+        total = beliefs()
         return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True)) if len(total) else total
 
     def hopeless(self, graph: Graph) -> bool:
@@ -250,7 +275,7 @@ class Field:
             for end, t in ((1, table), (0, table.T)):
                 most = np.maximum((t[:, 1:] - t[:, :1]).max(0), 0)
                 reach = reach + np.bincount(edges[:, end], minlength=len(reach))[:, None] * most
-        return not (reach >= np.log(SURE / (1 - SURE)) - 1e-6).any()
+        return not (reach[graph.given == 0] >= np.log(SURE / (1 - SURE)) - 1e-6).any()
 
 
 def _labels(graph: Graph, spans: list[list[Span]]) -> np.ndarray:
@@ -347,7 +372,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     fit_in = [t for t, n in zip(texts, sizes, strict=True) if n <= SAMPLE_TOKENS // 20]
     left = accumulate(n for n in sizes if n <= SAMPLE_TOKENS // 20)
     texts, spans = mentions([t for t, n in zip(fit_in, left, strict=True) if n <= SAMPLE_TOKENS])
-    graph = Graph(texts)
+    graph = Graph(texts, spans)
     return Field.fit(graph, _labels(graph, spans))
 
 
@@ -359,7 +384,7 @@ def pii_scan(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROW
 
     def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
         base = base_spans(text, hint)
-        graph = Graph([text])
+        graph = Graph([text], [base])
         if field.hopeless(graph):
             return base, []
         return base, added_spans(text, graph, range(len(graph.spans)), field.marginals(graph), base)

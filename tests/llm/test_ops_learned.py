@@ -370,3 +370,29 @@ def test_secrets_within_a_run():
     text = f"a/{key}/{key}-x {key[:-4]} b/{key[:-4]}"
     assert [text[a:b] for _, a, b in secrets.find(text, hint)[1]] == [key, key]
     assert secrets.find("/MIIEvQIBADAN" * 40_000, hint)[1] == []
+
+
+def test_pii_repetitions_far_from_a_sure_mention(spark):
+    rng = np.random.default_rng(5)
+
+    def number():
+        return f"({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+
+    rows = [(i, f"ab +1 {number()} cd e.{i}@mail{i}.example.com and 10.0.{i % 250}.7 in {rng.integers(10**6)}", None, None, None) for i in range(300)]
+    field = pii.fit(spark, spark.createDataFrame(rows, SCHEMA))
+    bare, full = ["555-3824"] * 60, "+1 (743) 555-3824"
+    for at in (0, 30, 60):
+        text = " and then again ".join([*bare[:at], full, *bare[at:]])
+        base = pii.base_spans(text, dict.fromkeys(pii.HINTS, True))
+        graph = pii.Graph([text], [base])
+        added = {x[1] for x in pii.added_spans(text, graph, range(len(graph.spans)), field.marginals(graph), base)}
+        starts = [m.start() for m in re.finditer(r"555-3824", text)]
+        # All but those at an end or next to the sure one, which have a tie less.
+        assert added >= {s for k, s in enumerate(starts) if 0 < k < 60 and abs(k - at) > 1}
+
+
+def test_pii_messages_settle():
+    graph = pii.Graph([" and ".join(["5551234567 a1 b2"] * 80)])
+    own, tables = np.random.default_rng(3).normal(size=(pii.FEATURES, pii.LABELS)), np.random.default_rng(4).normal(size=(2, pii.LABELS, pii.LABELS)) / 4
+    field = pii.Field(own, *tables)
+    np.testing.assert_allclose(field.marginals(graph), field.marginals(graph, rounds=4000), atol=1e-6)
