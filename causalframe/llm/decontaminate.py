@@ -9,7 +9,8 @@ any size is read segment by segment, without a shuffle.
 from the postings of a window's rarest term, shifts them by the term's offset and
 intersects them with the shifted postings of the next rarest, until all terms are
 done. What is left are exact phrase matches; with `slop` each term may also stand
-that many words off, which gives the proximity matches.
+that many words off from where the rarest puts it, within the same document, which
+gives the proximity matches.
 
 The test set is sent to the tasks in blocks of bounded size (`BLOCK_WINDOWS`), and
 every block meets every segment.
@@ -34,6 +35,8 @@ from causalframe.llm import common
 WINDOW_WORDS = 8
 SEGMENT_WORDS = 400_000
 BLOCK_WINDOWS = 200_000
+#: Words that a term may stand off in the query of proximity matches.
+NEAR_SLOP = 2
 
 #: terms, their sizes in bytes and numbers of postings, all positions (delta-coded
 #: within a term); then each document's id and its first position.
@@ -101,7 +104,7 @@ class Windows:
 
 
 def _matches(segment: dict, windows: Windows, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(window, start) of exact matches and of proximity matches."""
+    """(window, start) of exact matches, (window, place of its rarest term) of proximity matches."""
     import pyarrow.compute as pc
 
     sizes = np.frombuffer(segment["term_bytes"], np.int32)
@@ -130,26 +133,28 @@ def _matches(segment: dict, windows: Windows, slop: int) -> tuple[np.ndarray, np
     term, off = grid[row, rank[:, 0]], rank[:, 0]
     n = counts[term]
     w = np.repeat(row, n)
-    start = positions[np.repeat(heads[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - off[w]
-    doc = np.searchsorted(first, start, side="right") - 1
+    place = positions[np.repeat(heads[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    start = place - off[w]
+    doc = np.searchsorted(first, place, side="right") - 1
     size = windows.sizes[alive]
-    fits = (start >= 0) & (start + size[w] <= first[np.clip(doc + 1, 0, len(first) - 1)])
-    w, start = w[fits], start[fits]
-    exact = np.ones(len(w), bool)
+    exact = (start >= first[doc]) & (start + size[w] <= first[doc + 1])
+    if not slop:
+        w, start, place, doc, exact = w[exact], start[exact], place[exact], doc[exact], exact[exact]
     for k in range(1, grid.shape[1]):
         t, o = grid[w, rank[w, k]], rank[w, k]
         used = t >= 0
-        goal = np.where(used, t, 0) * span + start + o
+        term_key = np.where(used, t, 0) * span
+        goal = term_key + start + o
         if slop:
-            at = np.searchsorted(keys, goal - slop)
-            near = keys[at.clip(max=len(keys) - 1)]
-            ok = ~used | ((at < len(keys)) & (near <= goal + slop) & (near >= goal - slop))
+            # A term of the neighbouring text does not count.
+            at = np.searchsorted(keys, np.maximum(goal - slop, term_key + first[doc]))
+            ok = ~used | ((at < len(keys)) & (keys[at.clip(max=len(keys) - 1)] <= np.minimum(goal + slop, term_key + first[doc + 1] - 1)))
         at = np.searchsorted(keys, goal)
         hit = ~used | ((at < len(keys)) & (keys[at.clip(max=len(keys) - 1)] == goal))
         exact &= hit
         keep = ok if slop else hit
-        w, start, exact = w[keep], start[keep], exact[keep]
-    return alive[w[exact]], start[exact], alive[w], start
+        w, start, place, doc, exact = w[keep], start[keep], place[keep], doc[keep], exact[keep]
+    return alive[w[exact]], start[exact], alive[w], place
 
 
 def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
@@ -227,10 +232,19 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sl
     return found.withColumn("contaminated", F.size("items") >= min_items)
 
 
+def _judged(spark: SparkSession, sf_dir: str, slop: int, *more: str) -> DataFrame:
+    found = decontaminate(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", *more)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
-    found = decontaminate(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    return _judged(spark, sf_dir, 0)
+
+
+def op2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with n_near, the matches in which terms stand up to `NEAR_SLOP` words off."""
+    return _judged(spark, sf_dir, NEAR_SLOP, "n_near")
 
 
 _WORDS = r"list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

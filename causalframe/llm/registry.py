@@ -5,6 +5,7 @@ from causalframe.llm import decontaminate, exact_dedup, ngram_join, packing, pii
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op2_near": decontaminate.op2_near,
     "op3_pack": packing.op3_pack,
     "op4_secrets": secrets.op4_secrets,
     "op5_url_filter": url_filter.op5_url_filter,

@@ -282,3 +282,26 @@ def test_store_uses_the_shared_folder(spark):
     path = common.store(spark, spark.range(3), "x").inputFiles()[0]
     assert common.shared_root(spark) in path
     common.release(spark)
+
+
+def test_proximity_at_the_edges_of_a_text(spark):
+    full = "a b c d e f g h"
+    # The rarest terms, b and g, stand at the edge; texts 5 and 6 have a term only in the text before or after.
+    texts = [(1, "b a c d e f g h"), (2, "a c d e f h"), (3, "a b c d e f h g"), (4, full), (5, "x a"), (6, "x b c d e f g h"), (7, "a b c d e f g x"), (8, "h a c d e f h")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, full)], "item_id int, text string")
+    found = {r.doc_id: (r.n_near, r.n_hit) for r in decontaminate.decontaminate(spark, docs, bench, slop=2).collect()}
+    want = {i: (0, 0) for i, _ in texts} | {1: (1, 0), 3: (1, 0), 4: (1, 8)}
+    assert found == want
+
+
+def test_proximity_is_a_query(spark, tmp_path):
+    from causalframe.llm import registry
+
+    passage = "the quick brown fox jumps over a dog"
+    docs = [(1, f"so {passage} then"), (2, f"so {passage.replace('fox', 'red fox')} then"), (3, "nothing of it")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near, exact = (registry.QUERIES[q](spark, str(tmp_path)) for q in ("op2_near", "op2_decontaminate"))
+    assert {r.doc_id: (r.n_hit, r.n_near) for r in near.collect()} == {1: (8, 1), 2: (0, 1), 3: (0, 0)}
+    assert near.drop("n_near").exceptAll(exact).count() == 0 and "n_near" not in exact.columns
