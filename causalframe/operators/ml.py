@@ -13,70 +13,72 @@ from causalframe.functions.hashing import positive
 from causalframe.operators.asof import causal_match
 from causalframe.operators.stats import range_bounds, range_of
 
-Batch = tuple[int, int]
-
-
-def all_rows(n: int) -> list[Batch]:
-    return [(0, n)]
-
-
-def sequential_steps(n: int, window_size: int, min_periods: int | None = None) -> list[Batch]:
-    """Chunks without overlap. The last one, of whatever size, only if it has more than
-    min_periods rows: so with min_periods = window_size a full last chunk is left out too."""
-    least = min_periods or 0
-    if n < least:
-        raise ValueError("no batches: fewer rows than min_periods")
-    points = list(range(0, n, window_size))
-    if points and n - points[-1] > least:
-        points.append(n)
-    return list(zip(points, points[1:], strict=False))
-
-
-def rolling_steps(n: int, window_size: int, step_size: int, min_periods: int | None = None, strict: bool = False) -> list[Batch]:
-    """Windows that end at min_periods (window_size unless given) and every step after it,
-    growing to window_size. At the end of the data one more: if strict only after a whole step."""
-    positive(window_size, "window_size")
-    positive(step_size, "step_size")
-    least = window_size if min_periods is None else positive(min_periods, "min_periods")
-    if n <= least:
-        raise ValueError("min_periods must be less than the number of rows")
-    if least > window_size:
-        raise ValueError("min_periods must not exceed window_size")
-    ends = list(range(least, n, step_size))
-    if not strict or n - ends[-1] == step_size:
-        ends.append(n)
-    return [(max(e - window_size, 0), e) for e in ends]
-
-
-def choose_batches(n: int, window_size: int | None, min_periods: int | None = None, step_size: int | None = None, strict_step_size: bool = True) -> list[Batch]:
+@dataclass(frozen=True)
+class Batches:
+    """Training batches over n rows in order of time, as an arithmetic progression: batch k
+    ends in front of row `first_end + k * step` and spans the `width` rows before that, as far
+    as they exist. Only the last may end early, with the data; a `sliding` one then still
+    spans width rows, any other starts where it would have."""
+
+    n: int
+    count: int
+    first_end: int
+    step: int
+    width: int
+    sliding: bool = False
+
+    def bounds(self) -> list[tuple[int, int]]:
+        """First row and end of every batch."""
+        found = []
+        for k in range(self.count):
+            due = self.first_end + k * self.step
+            end = min(due, self.n)
+            found.append((max((end if self.sliding else due) - self.width, 0), end))
+        return found
+
+    def holding(self, rn: Column) -> Column:
+        """The batches that row rn is part of, by arithmetic: a join of rows to a table of
+        batches would compare each with all."""
+        low = F.greatest(F.floor((rn - self.first_end) / self.step) + 1, F.lit(0))
+        high = F.least(F.floor((rn + self.width - self.first_end) / self.step), F.lit(self.count - 1))
+        none = F.array().cast("array<int>")
+        ids = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(none)
+        early = self.first_end + (self.count - 1) * self.step - self.n
+        if self.sliding and self.count and early > 0:
+            # The last batch reaches back by as many rows as it ends early.
+            extra = (rn >= self.n - self.width) & (rn < self.n - self.width + early)
+            ids = F.concat(ids, F.when(extra, F.array(F.lit(self.count - 1))).otherwise(none))
+        return ids
+
+
+def plan_batches(n: int, window_size: int | None, min_periods: int | None = None, step_size: int | None = None, strict_step_size: bool = True) -> Batches:
+    """How n rows are cut into training batches.
+
+    Without window_size: one batch of all rows. With window_size alone: chunks without
+    overlap, the last one only if it has more than min_periods rows (window_size if that is
+    not given and steps are strict, so that no last chunk qualifies). With step_size too:
+    windows that move on by it, the first of min_periods rows (window_size if not given),
+    growing to window_size; what is left after the last whole step makes one more window,
+    if strict only when it is a whole step itself."""
     if window_size is None:
-        if min_periods is not None or step_size is not None:
+        if (min_periods, step_size) != (None, None):
             raise ValueError("without window_size there is no min_periods or step_size")
-        return all_rows(n)
-    if step_size is None:
-        return sequential_steps(n, window_size, window_size if min_periods is None and strict_step_size else min_periods)
-    return rolling_steps(n, window_size, step_size, min_periods, strict_step_size)
-
-
-def batch_ids(rn: Column, n: int, window_size: int | None, min_periods: int | None = None, step_size: int | None = None, strict_step_size: bool = True) -> Column:
-    """The batches that row rn is part of, by arithmetic: joining rows to a table of batches
-    would compare each with all."""
-    count = len(choose_batches(n, window_size, min_periods, step_size, strict_step_size))
-    none = F.array().cast("array<int>")
-    if window_size is None:
-        return F.array(F.lit(0))
+        return Batches(n, 1, n, max(n, 1), n)
+    width = positive(window_size, "window_size")
     if step_size is None:
-        own = F.floor(rn / window_size).cast("int")
-        return F.when(own < count, F.array(own)).otherwise(none)
-    least = window_size if min_periods is None else min_periods
-    regular = len(range(least, n, step_size))
-    first = F.greatest(F.lit(0), F.floor((rn - least) / step_size).cast("int") + 1)
-    last = F.least(F.lit(regular - 1), F.floor((rn + window_size - least) / step_size).cast("int"))
-    ids = F.when(first <= last, F.sequence(first, last)).otherwise(none)
-    if count > regular:
-        # The batch at the end of the data.
-        ids = F.concat(ids, F.when(rn >= n - window_size, F.array(F.lit(regular))).otherwise(none))
-    return ids
+        least = min_periods or (width if min_periods is None and strict_step_size else 0)
+        if n < least:
+            raise ValueError("no batches: fewer rows than min_periods")
+        # Every chunk but the last is whole; the last has 1 to width rows.
+        before = max(n - 1, 0) // width
+        return Batches(n, before + (n - before * width > least), width, width, width)
+    step = positive(step_size, "step_size")
+    least = width if min_periods is None else positive(min_periods, "min_periods")
+    if not least <= width or n <= least:
+        raise ValueError("min_periods must not exceed window_size and must be less than the number of rows")
+    whole, rest = divmod(n - least, step)
+    # The window at the end of the data is one of `whole` if no rows are left over.
+    return Batches(n, 1 + whole + (rest > 0 and not strict_step_size), least, step, width, sliding=True)
 
 
 def numbered(df: DataFrame, on: str = "ts") -> DataFrame:
@@ -101,8 +103,8 @@ def walk_forward(features: DataFrame, responses: DataFrame, window_size: int | N
     n = joined.count()
     if not n or not features.head(1):
         raise ValueError("features and responses must have rows")
-    ids = batch_ids(F.col("rn"), n, window_size, min_periods, step_size, strict_step_size)
-    return numbered(joined, on).withColumn("batch", F.explode(ids))
+    plan = plan_batches(n, window_size, min_periods, step_size, strict_step_size)
+    return numbered(joined, on).withColumn("batch", F.explode(plan.holding(F.col("rn"))))
 
 
 def fit_ols(batches: DataFrame, x: str, y: str, on: str = "ts") -> DataFrame:

@@ -10,34 +10,48 @@ from causalframe.operators import ml
 T0 = datetime(2020, 1, 1)
 
 
-@pytest.mark.parametrize(
-    "n, window, least, want",
-    [(8, 4, 4, [(0, 4)]), (9, 4, 0, [(0, 4), (4, 8), (8, 9)]), (9, 4, 1, [(0, 4), (4, 8)]), (10, 4, 1, [(0, 4), (4, 8), (8, 10)]), (8, 4, None, [(0, 4), (4, 8)])],
-)
-def test_sequential(n, window, least, want):
-    assert ml.sequential_steps(n, window, least) == want
+def stepped(n, width, step, least, strict):
+    """Brute force: a window ends where enough rows are behind it, at every step from there on."""
+    ends = [e for e in range(1, n + 1) if e >= least and (e - least) % step == 0]
+    if ends[-1] < n and not strict:
+        ends.append(n)
+    return [(max(0, e - width), e) for e in ends]
 
 
-@pytest.mark.parametrize(
-    "n, window, step, least, strict, want",
-    [(10, 8, 2, 6, False, [(0, 6), (0, 8), (2, 10)]), (10, 8, 2, 7, True, [(0, 7), (1, 9)]), (10, 8, 2, 6, True, [(0, 6), (0, 8), (2, 10)]), (11, 4, 3, None, False, [(0, 4), (3, 7), (6, 10), (7, 11)])],
-)
-def test_rolling(n, window, step, least, strict, want):
-    assert ml.rolling_steps(n, window, step, least, strict) == want
+def chunked(n, width, least):
+    chunks = [list(range(n))[i : i + width] for i in range(0, n, width)]
+    return [(c[0], c[-1] + 1) for i, c in enumerate(chunks) if i + 1 < len(chunks) or len(c) > least]
+
+
+@pytest.mark.parametrize("n", [7, 12, 13, 25])
+@pytest.mark.parametrize("width, least", [(3, 0), (3, 2), (5, 1), (6, 6), (7, 4)])
+def test_chunks(n, width, least):
+    assert ml.plan_batches(n, width, least).bounds() == chunked(n, width, least)
+
+
+@pytest.mark.parametrize("n", [8, 17, 23])
+@pytest.mark.parametrize("width, step, least", [(5, 1, 2), (5, 4, 5), (7, 3, 1), (2, 5, 1), (6, 2, None)])
+@pytest.mark.parametrize("strict", [True, False])
+def test_windows(n, width, step, least, strict):
+    assert ml.plan_batches(n, width, least, step, strict).bounds() == stepped(n, width, step, least or width, strict)
 
 
 def test_batch_errors():
-    for f in (lambda: ml.rolling_steps(5, 8, 2, 6), lambda: ml.rolling_steps(20, 5, 2, 6), lambda: ml.rolling_steps(20, 0, 2), lambda: ml.sequential_steps(2, 4, 3), lambda: ml.choose_batches(9, None, 3)):
+    for options in ((6, 9, 7, 2), (21, 4, 5, 2), (21, 0, None, 2), (21, 4, None, 0), (3, 5, 4), (11, None, 2), (11, None, None, 2)):
         with pytest.raises(ValueError):
-            f()
-    assert ml.choose_batches(8, 4) == [(0, 4)] and ml.choose_batches(8, None) == [(0, 8)]
+            ml.plan_batches(*options)
+    # Strict steps and no min_periods: a chunk that ends with the data does not qualify.
+    assert ml.plan_batches(15, 5).bounds() == [(0, 5), (5, 10)]
+    assert ml.plan_batches(15, 5, strict_step_size=False).bounds() == [(0, 5), (5, 10), (10, 15)]
+    assert ml.plan_batches(11, None).bounds() == [(0, 11)]
 
 
-@pytest.mark.parametrize("options", [(None,), (4,), (4, 1), (5, 3, 2), (5, 3, 2, False), (8, 6, 3, False), (3, 2, 5, False), (4, None, 3, False)])
-def test_batch_ids_by_arithmetic(spark, options):
+@pytest.mark.parametrize("options", [(None,), (4,), (4, 1), (5, 3, 2), (5, 3, 2, False), (8, 6, 3, False), (3, 2, 5, False), (4, None, 3, False), (6, 4, 7, False)])
+def test_batches_that_hold_a_row(spark, options):
     for n in (9, 13, 14):
-        want = {(i, r) for i, (a, b) in enumerate(ml.choose_batches(n, *options)) for r in range(a, b)}
-        ids = spark.range(n).select("id", F.explode(ml.batch_ids(F.col("id"), n, *options)).alias("b"))
+        plan = ml.plan_batches(n, *options)
+        want = {(i, r) for i, (a, b) in enumerate(plan.bounds()) for r in range(a, b)}
+        ids = spark.range(n).select("id", F.explode(plan.holding(F.col("id"))).alias("b"))
         assert {(r.b, r.id) for r in ids.collect()} == want
 
 
@@ -46,11 +60,11 @@ def frame(spark, values, name, shift=0):
 
 
 def test_models_switch_over(spark):
-    models = spark.createDataFrame([(T0 + timedelta(days=2), 1.0, 10.0), (T0 + timedelta(days=4), 1.0, 11.0)], "model_ts timestamp_ntz, slope double, intercept double")
-    data = frame(spark, [1.0] * 9, "x")
+    models = spark.createDataFrame([(T0 + timedelta(days=3), 0.5, 2.0), (T0 + timedelta(days=5), 0.5, 7.0)], "model_ts timestamp_ntz, slope double, intercept double")
+    data = frame(spark, [4.0] * 8, "x")
     strict = [r.prediction for r in ml.predict_line(ml.apply_models(models, data), "x").orderBy("ts").collect()]
     contemp = [r.prediction for r in ml.predict_line(ml.apply_models(models, data, contemp=True), "x").orderBy("ts").collect()]
-    assert strict == [11.0] * 2 + [12.0] * 4 and contemp == [11.0] * 2 + [12.0] * 5
+    assert strict == [4.0] * 2 + [9.0] * 2 and contemp == [4.0] * 2 + [9.0] * 3
 
 
 def test_walk_forward_fits(spark):
