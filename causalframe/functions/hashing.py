@@ -1,62 +1,42 @@
 """Identity of parameters: freezing, normalising, and a hash that is the same in every session.
 
-The hash values are part of stored identities, so the byte forms below are fixed: text
-is UTF-16 with its mark, integers are the shortest signed big-endian bytes, other numbers
-are their hexadecimal text, nothing has a constant of its own, and the MD5 sum is taken
-modulo 2**63 - 1.
+A value is written as text in one canonical form and that text is hashed. In the form
+lists and tuples are alike, mappings and sets do not depend on order, whole numbers and
+other numbers differ even when equal, and what has no form is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Mapping, Sequence
-from numbers import Number
+from collections.abc import Set as AnySet
+from numbers import Integral, Number, Real
 from types import MappingProxyType
 
-#: Fixed value: what None is hashed as.
-NONE_TEXT = "asd423wdfglk"
-MODULUS = 2**63 - 1
-
-
-def int_bytes(n: int) -> bytes:
-    """The shortest signed big-endian form."""
-    size = (n + (n < 0)).bit_length() // 8 + 1
-    return n.to_bytes(size, "big", signed=True)
-
-
-def _feed(digest, value) -> None:
-    match value:
-        case str():
-            digest.update(value.encode("utf16"))
-        case bool() | int():
-            digest.update(int_bytes(int(value)))
-        case Number():
-            digest.update(float(value).hex().encode("utf16"))
-        case Mapping():
-            for pair in value.items():
-                for part in pair:
-                    _feed(digest, part)
-        case Sequence():
-            for part in value:
-                _feed(digest, part)
-        case frozenset():
-            for part in sorted(_hex(v) for v in value):
-                _feed(digest, part)
-        case None:
-            digest.update(NONE_TEXT.encode("utf16"))
-        case _:
-            digest.update(int_bytes(hash(value)))
-
-
-def _hex(value) -> str:
-    digest = hashlib.md5()
-    _feed(digest, value)
-    return digest.hexdigest()
+
+def canonical(value) -> str:
+    """The text that stands for nested text, numbers, None, mappings, sequences and sets."""
+    if value is None:
+        return "~"
+    if isinstance(value, str):
+        return json.dumps(value)
+    if isinstance(value, Integral):
+        return str(int(value))
+    if isinstance(value, Real) or hasattr(value, "as_integer_ratio"):
+        return float(value).hex()
+    if isinstance(value, Mapping):
+        return "{" + ",".join(sorted(f"{canonical(k)}:{canonical(v)}" for k, v in value.items())) + "}"
+    if isinstance(value, AnySet):
+        return "<" + ",".join(sorted(map(canonical, value))) + ">"
+    if isinstance(value, Sequence) and not isinstance(value, (bytes, bytearray)):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    raise TypeError(f"no identity for a {type(value).__name__}")
 
 
 def stable_hash(value) -> int:
-    """A 63-bit hash of nested text, numbers, mappings, sequences and frozen sets."""
-    return int(_hex(value), 16) % MODULUS
+    """63 bits of the canonical form, not negative."""
+    return int.from_bytes(hashlib.blake2b(canonical(value).encode(), digest_size=8).digest(), "big") >> 1
 
 
 def normalize(value):
@@ -120,16 +100,6 @@ def unfreeze(value):
     return value
 
 
-def ordered_params(value):
-    """Mappings in order of their keys, for identities that do not depend on the order of
-    parameters."""
-    if isinstance(value, Mapping):
-        return {k: ordered_params(value[k]) for k in sorted(value)}
-    if isinstance(value, tuple):
-        return tuple(ordered_params(v) for v in value)
-    return value
-
-
 def positive(value, name: str) -> int:
     """An integer above 0."""
     if not isinstance(value, int) or isinstance(value, bool):

@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 
-from causalframe.functions.hashing import Frozen, normalize, ordered_params, stable_hash
+from causalframe.functions.hashing import Frozen, normalize, stable_hash
 from causalframe.time import TimeRange
 
 if TYPE_CHECKING:
@@ -34,7 +34,7 @@ class Metadata:
             object.__setattr__(self, "time_col", None)
         elif not self.time_col:
             raise ValueError("a time series has a time column")
-        parts = [self.name, self.static, self.time_col, self.version, ordered_params(self.params)]
+        parts = [self.name, self.static, self.time_col, self.version, self.params]
         parts += [(k, self.predecessors[k].hash) for k in sorted(self.predecessors)]
         object.__setattr__(self, "hash", stable_hash(parts))
 
