@@ -16,6 +16,7 @@ gives no pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -32,8 +33,10 @@ OPEN_WINDOWS = 64
 MAX_GAP = 16
 FAN_IN = 32
 END_ID = 1
-#: Distinct pieces of text whose ids a worker remembers.
-CACHE_ENTRIES = 600_000
+#: Bytes that the remembered ids of distinct pieces may take in a task.
+CACHE_BYTES = 64 << 20
+#: What a remembered piece takes besides its own bytes and its ids.
+ENTRY_BYTES = 200
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,38 +52,61 @@ _PUNCT &= ~_ALNUM
 class TextEncoder:
     """Ids of whole texts. A byte-level BPE never joins what lies on both sides of a
     space that follows a non-space, or of the start of punctuation after an ASCII
-    letter or digit, so texts are cut there and every distinct piece is encoded once."""
+    letter or digit, so texts are cut there and every distinct piece is encoded once.
+    A tokenizer's added tokens are looked for before all else: each is a piece of its own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("added tokens that take more or less than their own text are not supported")
+        # At one place the longest counts.
+        contents = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and each row's first (one more than rows)."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start."""
         cut = data == 0x20
         cut[1:] &= ~_BREAKS[data[:-1]]
         # Not after what may be a space beyond ASCII, by its last bytes but one.
         cut[2:] &= ~(_WIDE[data[:-2]] & (data[1:-1] >= 0x80))
         cut[1:] |= _PUNCT[data[1:]] & _ALNUM[data[:-1]]
+        if self.added is not None:
+            raw = data.tobytes()
+            if self.added.search(raw):
+                for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+                    for m in self.added.finditer(raw, a, b):
+                        cut[m.start() : m.end()] = False
+                        cut[m.start()] = True
+                        if m.end() < len(cut):
+                            cut[m.end()] = True
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
-        s = np.flatnonzero(cut)
+        return np.flatnonzero(cut)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and each row's first (one more than rows)."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        s = self._cuts(data, offsets)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(s, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
+        if self.held > CACHE_BYTES:
+            self.forget()
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
         new = [x for x in distinct if x not in cache]
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
             for x, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                cache[x] = np.array(found.ids, np.uint32).tobytes()
+                cache[x] = ids = np.array(found.ids, np.uint32).tobytes()
+                self.held += len(x) + len(ids) + ENTRY_BYTES
         blobs = [cache[x] for x in distinct]
         table = np.frombuffer(b"".join(blobs), np.uint32)
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
@@ -96,7 +122,7 @@ _encoders: dict[str, TextEncoder] = {}
 
 
 def encoder(path: str) -> TextEncoder:
-    """One for each worker process and file."""
+    """One for each worker process and file; what it remembers is one task's."""
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
     return _encoders[path]
@@ -186,15 +212,18 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int
         part = TaskContext.get().partitionId()
         packer, tag = Packer(window, open_windows, max_gap), part << 32
         own = encoder(tokenizer_path)
-        for b in common.text_slices(batches, 2 << 20):
-            data, offsets = common.text_bytes(b.column(1))
-            ids, at = own.encode(data, offsets)
-            done = []
-            for i, doc_id in enumerate(b.column(0).to_pylist()):
-                whole = np.append(ids[at[i] : at[i + 1]], np.uint32(END_ID))
-                done += packer.add((doc_id, 0, whole, len(whole)))
-            yield _rows(done, tag, part, True, keep_ids)
-            tag += len(done)
+        try:
+            for b in common.text_slices(batches, 2 << 20):
+                data, offsets = common.text_bytes(b.column(1))
+                ids, at = own.encode(data, offsets)
+                done = []
+                for i, doc_id in enumerate(b.column(0).to_pylist()):
+                    whole = np.append(ids[at[i] : at[i + 1]], np.uint32(END_ID))
+                    done += packer.add((doc_id, 0, whole, len(whole)))
+                yield _rows(done, tag, part, True, keep_ids)
+                tag += len(done)
+        finally:
+            own.forget()
         # Slices of a batch's ids must not keep the batch alive.
         yield _rows(packer.rest(), tag, part, False, keep_ids)
 

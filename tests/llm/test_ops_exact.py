@@ -23,7 +23,7 @@ def make_rows():
     texts = [" ".join(rng.choice(vocabulary, n)) for n in (60, 60, 90, 25, 19, 20, 8, 3, 120, 300)]
     texts += [texts[0].upper(), texts[0], texts[1] + " tail", texts[2].replace(" ", "\n\t", 5), texts[8][:200] + " changed " + texts[8][200:]]
     texts += [" ".join(texts[9].split()[50:90]) + " x " + texts[3], "", "   ", None, None, "one", "One", "\x1c\x85 a b", "É é", "a " * 100, "A " * 100 + "b"]
-    texts += ["long " + " ".join(rng.choice(vocabulary, 9000))] * 2
+    texts += ["long " + " ".join(rng.choice(vocabulary, 9000))] * 2 + ["w1 <|endoftext|> w2<|endoftext|><|endoftext|>", "cut <|endof", "text|> here"]
     rows = [(i, t, "en", "x", 0.5, 7) for i, t in enumerate(texts)]
     # Rows that repeat, ids that are null or stand for two texts.
     rows += [rows[3], rows[3], (None, texts[4], None, None, None, None), (None, "other", None, None, None, None), (5, texts[6] + " more", "en", None, None, 1)]
@@ -110,7 +110,6 @@ def test_packing_round_trip(spark, docs, empty, window, open_windows, fan_in):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     found = packing.pack(spark, docs, TOKENIZER, window, open_windows, 2, fan_in, keep_ids=True).collect()
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in found:
@@ -143,12 +142,11 @@ def test_encoder_splits_like_the_whole():
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(1)
-    parts = [" ", "  ", "\n", "\t", "a", "b'", "'s", " ", "　", "é", "1", "!", "\x1c", "\x85", "<|endoftext|>", "word", " ", "\r\n", " '", "'ll ", "€,", "漢"]
+    parts = [" ", "  ", "\n", "\t", "a", "b'", "'s", " ", "　", "é", "1", "!", "\x1c", "\x85", "<|endoftext|>", "<|endof", "text|>", "word", " ", "\r\n", " '", "'ll ", "€,", "漢"]
     texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)]
     import pyarrow as pa
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     ids, at = packing.TextEncoder(TOKENIZER).encode(*common.text_bytes(pa.array(texts)))
     for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False)):
         assert list(ids[at[i] : at[i + 1]]) == e.ids
