@@ -24,8 +24,10 @@ from causalframe.llm.scan_rows import Span, scan
 
 BASE = ("assign", "access", "hex")
 CONFIRMED = ("signed_token", "der_key", "ssh_key", "armoured_key")
-#: Shortest base64 or hex run that can hold a key.
-LEAST_RUN = 40
+#: Bytes of the shortest encoding that is confirmed (a DER key of 128 bits), so that no
+#: shorter run needs a look.
+LEAST_BYTES = 25
+LEAST_RUN = -(-LEAST_BYTES * 8 // 6)
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -34,9 +36,11 @@ _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
 #: How a DER sequence or an OpenSSH key starts in base64, at the start of a run or after
 #: a character of it that may part words.
-_HEAD = re.compile(r"(?:^|(?<=[/+_-]))(?:M[A-I]|b3BlbnNzaC1rZXktdjEA|AAAA(?:[BC]3NzaC|E2VjZHNhL))")
-_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){%d,}(?![0-9A-Fa-f])" % LEAST_RUN)
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+_HEAD = re.compile(r"(?:^|(?<=[/+_-]))(?:M[A-I]|b3BlbnNzaC1rZXktdjEA)")
+_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){%d,}(?![0-9A-Fa-f])" % LEAST_BYTES)
+#: Lines of an armoured block may be parted by line ends as they are, or as a string writes them.
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+_LINE_END = re.compile(r"\\[nr]|\s+")
 
 HINTS = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=]""",
@@ -47,7 +51,9 @@ HINTS = {
     "armour": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
 
-_SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+_SSH_MAGIC = b"openssh-key-v1\0"
+#: Object identifiers of password-based encryption (PKCS 5 and PKCS 12), as DER has them.
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def decode(text: str) -> bytes | None:
@@ -100,15 +106,19 @@ def der_items(data: bytes, depth: int = 0) -> list | None:
 
 
 def der_key(data: bytes) -> bool:
-    """A private key in one of its DER forms: one sequence, first a small version,
-    then integers (RSA, DSA), an algorithm and octets (PKCS 8) or octets (EC)."""
+    """A private key in one of its DER forms: one sequence, first a small version, then
+    integers (RSA, DSA), an algorithm and octets (PKCS 8) or octets (EC); or an encrypted
+    PKCS 8 key: an algorithm of password-based encryption and octets."""
     items = der_items(data) if data[:1] == b"\x30" else None
     if not items or len(items) != 1 or not isinstance(items[0][1], list):
         return False
     parts = items[0][1]
-    if len(parts) < 3 or parts[0][0] != 0x02 or parts[0][1] not in (b"\x00", b"\x01"):
-        return False
     tags = [t for t, _ in parts]
+    if tags == [0x30, 0x04]:
+        oid = parts[0][1][0] if parts[0][1] else (0, b"")
+        return oid[0] == 0x06 and oid[1].startswith(_PASSWORD_BASED) and len(parts[1][1]) >= 16
+    if len(parts) < 3 or tags[0] != 0x02 or parts[0][1] not in (b"\x00", b"\x01"):
+        return False
     if all(t == 0x02 for t in tags):
         return len(tags) >= 6 and max(len(x) for _, x in parts) >= 16
     if tags[1] == 0x30 and tags[2] == 0x04:
@@ -116,18 +126,52 @@ def der_key(data: bytes) -> bool:
     return tags[1] == 0x04 and len(parts[1][1]) >= 16
 
 
-def ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key container, or fields with length prefixes that fill it."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+def ssh_fields(data: bytes, most: int | None = None) -> tuple[list[bytes], bytes] | None:
+    """Fields with a length of four bytes in front of each, up to `most` of them, and what is
+    left; None if a field does not fit."""
     fields, at = [], 0
-    while at + 4 <= len(data):
+    while at < len(data) and len(fields) != most:
         n = int.from_bytes(data[at : at + 4], "big")
-        if n > len(data) - at - 4:
-            return False
+        if at + 4 + n > len(data):
+            return None
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0] in _SSH_KINDS
+    return None if most is not None and len(fields) < most else (fields, data[at:])
+
+
+def _printable(name: bytes) -> bool:
+    return 0 < len(name) <= 64 and all(0x21 <= c < 0x7F for c in name)
+
+
+def ssh_key(data: bytes) -> bool:
+    """An OpenSSH private key: the container's cipher, key derivation, number of keys, every
+    public key and the private part, which fill it. A private part that is not encrypted
+    starts with the same four bytes twice and the kind that the public key names."""
+    if not data.startswith(_SSH_MAGIC):
+        return False
+    head = ssh_fields(data[len(_SSH_MAGIC) :], 3)
+    if head is None:
+        return False
+    (cipher, derivation, options), rest = head
+    n = int.from_bytes(rest[:4], "big")
+    if not _printable(cipher) or not _printable(derivation) or not 1 <= n <= len(rest) // 8:
+        return False
+    body = ssh_fields(rest[4:], n + 1)
+    if body is None or body[1]:
+        return False
+    *public, private = body[0]
+    kinds = []
+    for key in public:
+        fields = ssh_fields(key)
+        if fields is None or fields[1] or len(fields[0]) < 2 or not _printable(fields[0][0]):
+            return False
+        kinds.append(fields[0][0])
+    if len(private) < 16 or len(private) % 8:
+        return False
+    if cipher != b"none":
+        return derivation != b"none" and bool(options)
+    first = ssh_fields(private[8:], 1)
+    return derivation == b"none" and not options and private[:4] == private[4:8] and first is not None and first[0][0] == kinds[0]
 
 
 def kind_of(data: bytes | None) -> str | None:
@@ -172,7 +216,7 @@ def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
         spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if hint["armour"]:
         for m in _ARMOUR.finditer(text):
-            data = decode("".join(m[2].split()))
+            data = decode(_LINE_END.sub("", m[2]))
             if data and (der_key(data) or ssh_key(data)):
                 confirmed.append(("armoured_key", *m.span()))
     if hint["signed"]:

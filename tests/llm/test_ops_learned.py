@@ -29,7 +29,25 @@ def jwt(header):
 
 
 RSA = der(0x30, b"".join(der(0x02, x) for x in (b"\0", b"\x7f" * 65, b"\x01\0\x01", b"\x55" * 64, b"\x33" * 33, b"\x31" * 33, b"\x2f" * 33, b"\x21" * 33, b"\x11" * 33)))
-SSH = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", b"\x07" * 32))
+
+
+def fields(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+SSH_PUBLIC = fields(b"ssh-ed25519", b"\x07" * 32)
+_PRIVATE = b"\x21\x43\x65\x07" * 2 + fields(b"ssh-ed25519", b"\x07" * 32, b"\x09" * 64, b"me@home")
+
+
+def openssh(cipher=b"none", kdf=b"none", options=b"", n=1, public=SSH_PUBLIC, private=_PRIVATE + bytes(range(1, 1 + -len(_PRIVATE) % 8))):
+    return b"openssh-key-v1\0" + fields(cipher, kdf, options) + n.to_bytes(4, "big") + fields(public, private)
+
+
+SSH = openssh()
+_AES = der(0x30, der(0x06, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b""))
+ENCRYPTED = der(0x30, _AES + der(0x04, b"\x5a" * 64))
+EC = der(0x30, der(0x02, b"\x01") + der(0x04, b"\x42" * 16) + der(0xA0, b""))
+ED25519 = der(0x30, der(0x02, b"\0") + der(0x30, der(0x06, b"\x2b\x65\x70")) + der(0x04, der(0x04, b"\x11" * 32)))
 
 
 def secret_base(t):
@@ -355,7 +373,7 @@ def test_pipeline_drops_near_copies_of_five_words(spark):
     assert kept == {i for i in range(len(rows)) if find(i) == i} and len(rows) - 1 not in kept
 
 
-@pytest.mark.parametrize("data, kind", [(RSA, "der_key"), (SSH, "ssh_key"), (b"openssh-key-v1\0" + b"\x05" * 60, "ssh_key")])
+@pytest.mark.parametrize("data, kind", [(RSA, "der_key"), (SSH, "ssh_key"), (openssh(b"aes256-ctr", b"bcrypt", fields(b"salt" * 4, b"\0\0\0\x10"), private=b"\x5b" * 160), "ssh_key"), (ENCRYPTED, "der_key"), (EC, "der_key"), (ED25519, "der_key")])
 @pytest.mark.parametrize("before", ["private_key=", "cert==", "A" * 45 + "=", "x/", "keys/of/all-", "my_", "private_key: ", "+"])
 def test_secrets_after_any_sign(data, kind, before):
     hint = dict.fromkeys(secrets.HINTS, True)
@@ -364,6 +382,36 @@ def test_secrets_after_any_sign(data, kind, before):
         assert [(k, text[a:b]) for k, a, b in secrets.find(text, hint)[1]] == [(kind, key)]
 
 
+_BITS = der(0x03, b"\0" + der(0x30, der(0x02, b"\x7f" * 65) + der(0x02, b"\x01\0\x01")))
+PUBLIC = [
+    SSH_PUBLIC, fields(b"ssh-rsa", b"\x01\0\x01", b"\0" + b"\x7f" * 128), fields(b"ecdsa-sha2-nistp256", b"nistp256", b"\x04" * 65),
+    der(0x30, der(0x30, der(0x06, bytes.fromhex("2a864886f70d010101")) + der(0x05, b"")) + _BITS), der(0x30, der(0x02, b"\x7f" * 65) + der(0x02, b"\x01\0\x01")),
+]
+BROKEN = [
+    b"openssh-key-v1\0" + b"\xff" * 40, b"openssh-key-v1\0" + b"\x05" * 60, SSH[:-1], SSH[:-8], SSH + b"\0" * 8, openssh(n=2), openssh(n=0), openssh(public=b"\x07" * 51), openssh(b"none", b"bcrypt", b"x"),
+    openssh(private=b"\x01" * 4 + b"\x02" * 4 + _PRIVATE[8:]), openssh(private=_PRIVATE[:8] + fields(b"ssh-rsa", b"\x07" * 32, b"\x09" * 64) + b"\1"), openssh(b"aes256-ctr", b"none", b""), openssh(b"a b", b"none", b""),
+    ENCRYPTED[:-1], der(0x30, der(0x30, der(0x06, b"\x2a\x03")) + der(0x04, b"\x5a" * 64)), EC[:-3], ED25519[:-1], RSA + b"\0",
+]
+
+
+@pytest.mark.parametrize("data", PUBLIC + BROKEN)
+def test_what_is_no_private_key_is_not_confirmed(data):
+    hint = dict.fromkeys(secrets.HINTS, True)
+    body = base64.b64encode(data).decode()
+    for text in (body, f"ssh-rsa {body} me@home", data.hex(), f"x=/{body}", f"-----BEGIN OPENSSH PRIVATE KEY-----\n{body}\n-----END OPENSSH PRIVATE KEY-----"):
+        assert secrets.find(text, hint)[1] == []
+
+
+@pytest.mark.parametrize("data", [RSA, SSH, ENCRYPTED, EC, ED25519])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n", "\\n", "\\r\\n"])
+def test_armoured_blocks(data, line_end):
+    body = base64.b64encode(data).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    block = line_end.join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    found = secrets.find(f"a {block} b", dict.fromkeys(secrets.HINTS, True))[1]
+    assert ("armoured_key", 2, 2 + len(block)) in found
+
+
 def test_secrets_within_a_run():
     hint = dict.fromkeys(secrets.HINTS, True)
     key = base64.b64encode(RSA).decode().rstrip("=")
