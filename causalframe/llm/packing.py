@@ -22,6 +22,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +34,12 @@ OPEN_WINDOWS = 64
 MAX_GAP = 16
 FAN_IN = 32
 END_ID = 1
-#: Bytes that the remembered ids of distinct pieces may take in a task.
-CACHE_BYTES = 64 << 20
-#: What a remembered piece takes besides its own bytes and its ids.
-ENTRY_BYTES = 200
+#: Bytes that distinct pieces and their ids may take, as far as a task remembers them.
+CACHE_BYTES = 48 << 20
+#: Bytes of text that are encoded at a time: what is known is looked up once for each such slice.
+SLICE_BYTES = 4 << 20
+#: Bytes of new pieces that are encoded as one text.
+JOINED_BYTES = 64 << 10
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -66,11 +69,56 @@ class TextEncoder:
         # At one place the longest counts.
         contents = sorted((t.content.encode() for t in added), key=len, reverse=True)
         self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
+
+        # Every character of a byte-level token stands for one byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.cache: dict[bytes, bytes] = {}
-        self.held = 0
+        """Known pieces, the ids of all of them, and how many each has."""
+        self.known, self.ids, self.sizes = pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def _one_by_one(self, pieces: pa.Array) -> None:
+        texts = pieces.to_pylist()
+        for lo in range(0, len(texts), 20_000):
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in texts[lo : lo + 20_000]], add_special_tokens=False)
+            ids = [np.array(x.ids, np.uint32) for x in found]
+            self._remember(pieces.slice(lo, len(ids)), np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Remembers new pieces; their places among the known ones."""
+        data, offsets = common.text_bytes(pieces)
+        plain = (data[offsets[:-1]] == 0x20) & (data[offsets[1:] - 1] < 0x80) & ~_BREAKS[data[offsets[1:] - 1]]
+        place = np.where(plain, np.cumsum(plain), int(plain.sum()) + np.cumsum(~plain)) - 1 + len(self.known)
+        if plain.any():
+            self._joined(pieces.filter(pa.array(plain)))
+        if not plain.all():
+            self._one_by_one(pieces.filter(pa.array(~plain)))
+        return place
+
+    def _joined(self, pieces: pa.Array) -> None:
+        """Pieces that start with a space and end with something else can follow one another
+        in a text without being joined, so many of them are encoded as one; where one ends is
+        told by the bytes of the tokens."""
+        data, offsets = common.text_bytes(pieces)
+        raw, ends = data.tobytes(), offsets[1:]
+        cuts = np.unique(np.concatenate([[0], ends[np.searchsorted(ends, np.arange(JOINED_BYTES, len(raw), JOINED_BYTES))], [len(raw)]]))
+        found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        done = np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(done, ends, side="left")
+        if done[-1] != len(raw) or (done[last] != ends).any():
+            # An added token across pieces, or a tokenizer that is no byte-level one.
+            self._one_by_one(pieces)
+        else:
+            self._remember(pieces, ids, np.diff(last + 1, prepend=0))
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces start."""
@@ -97,24 +145,18 @@ class TextEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         s = self._cuts(data, offsets)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.append(s, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        if self.held > CACHE_BYTES:
+        if self.known.nbytes + self.ids.nbytes + self.sizes.nbytes > CACHE_BYTES:
             self.forget()
-        cache = self.cache
-        new = [x for x in distinct if x not in cache]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for x, found in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                cache[x] = ids = np.array(found.ids, np.uint32).tobytes()
-                self.held += len(x) + len(ids) + ENTRY_BYTES
-        blobs = [cache[x] for x in distinct]
-        table = np.frombuffer(b"".join(blobs), np.uint32)
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        head = np.cumsum(size) - size
-        codes = pieces.indices.to_numpy(zero_copy_only=False)
-        n = size[codes]
+        distinct = pieces.dictionary
+        at = pc.index_in(distinct, self.known)
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        new = place < 0
+        if new.any():
+            place[new] = self._learn(distinct.filter(pa.array(new)))
+        place = place[pieces.indices.to_numpy()]
+        head, n = (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place]
         first = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(head[codes] - first[:-1], n) + np.arange(first[-1])]
+        ids = self.ids[np.repeat(head - first[:-1], n) + np.arange(first[-1])]
         return ids, first[np.searchsorted(s, offsets)]
 
 
@@ -213,7 +255,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int
         packer, tag = Packer(window, open_windows, max_gap), part << 32
         own = encoder(tokenizer_path)
         try:
-            for b in common.text_slices(batches, 2 << 20):
+            for b in common.text_slices(batches, SLICE_BYTES):
                 data, offsets = common.text_bytes(b.column(1))
                 ids, at = own.encode(data, offsets)
                 done = []
