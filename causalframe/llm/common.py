@@ -45,11 +45,16 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root[0]
 
 
-def store(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+#: For tables whose rows are megabytes: row groups of 16 MB, and sizes looked at after each row
+#: (usually only after 100, which a task then holds at once).
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def store(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage is cut and
     the rows outlive every executor."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,6 +92,26 @@ def tune(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and local rows that df reads, as the plan knows them; None if it does not."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = [n for n in sizes if n < 1 << 60]
+    return sum(known) if known else None
+
+
+def groups(df: DataFrame, width: int, group_bytes: int) -> int:
+    """How many groups to deal df's rows into: by its size, so that a group stays as large as
+    it is, and four for each shuffle partition at least."""
+    return max(4 * width, min(-(-(input_bytes(df) or 0) // group_bytes), 1 << 26))
+
+
+def filter_log2(df: DataFrame, bits_a_byte: float, least: int = 20, most: int = 28) -> int:
+    """The size of a filter or table that grows with df's input, up to what a task can hold.
+    Beyond that it lets more through; results never depend on it."""
+    return min(most, max(least, int((input_bytes(df) or 1 << 30) * bits_a_byte).bit_length()))
+
+
 def trim() -> None:
     """Gives freed memory back to the system. Workers are used again, and each executor
     has a few: what one task's arrays took would be missing in the next stage."""
@@ -282,8 +307,7 @@ def table_slices(table: np.ndarray, parts: int = 16) -> pa.RecordBatch:
 
 
 class Bloom:
-    """A filter of a fixed number of bits. It only ever lets too much through, so
-    results do not depend on its size; its size does not depend on the data."""
+    """A filter. It only ever lets too much through, so results do not depend on its size."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, U64(len(bits) * 8 - 1)

@@ -12,21 +12,22 @@ done. What is left are exact phrase matches; with `slop` each term may also stan
 that many words off from where the rarest puts it, within the same document, which
 gives the proximity matches.
 
-The test set is sent to the tasks in blocks of bounded size (`BLOCK_WINDOWS`), and
-every block meets every segment.
+The test set is sent to the tasks in blocks of bounded size (`BLOCK_WINDOWS`; a long
+item is spread over several), and every block meets every segment.
 
 Defined results: a null or empty text has no words and no hits; an item without
-words matches nothing; a null item_id is reported as 'null'; items that repeat
-count once by item_id; document rows that repeat are judged separately; extra
-columns are ignored; empty tables give no rows, or no hits.
+words matches nothing; a null item_id is an item of its own, null among the items and
+left out of digests; items that repeat count once by item_id; document rows that repeat
+are judged separately; extra columns are ignored; empty tables give no rows, or no hits.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,13 @@ BLOCK_WINDOWS = 200_000
 NEAR_SLOP = 2
 
 #: terms, their sizes in bytes and numbers of postings, all positions (delta-coded
-#: within a term); then each document's id and its first position.
-_SEGMENT = "terms binary, term_bytes binary, term_counts binary, positions binary, doc_ids array<long>, doc_first binary"
-_SEGMENT_ARROW = pa.schema([("terms", pa.binary()), ("term_bytes", pa.binary()), ("term_counts", pa.binary()), ("positions", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("doc_first", pa.binary())])
+#: within a term); then the first document's row number, and each document's id and its
+#: first position.
+_SEGMENT = "terms binary, term_bytes binary, term_counts binary, positions binary, rid long, doc_ids array<long>, doc_first binary"
+_SEGMENT_ARROW = pa.schema([("terms", pa.binary()), ("term_bytes", pa.binary()), ("term_counts", pa.binary()), ("positions", pa.binary()), ("rid", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_first", pa.binary())])
 
 
-def _segment(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _segment(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]], rid: int) -> pa.RecordBatch:
     """parts: (ids, bytes, offsets) of some documents."""
     ids = [i for p in parts for i in p[0].to_pylist()]
     data = np.concatenate([p[1] for p in parts])
@@ -58,43 +60,51 @@ def _segment(parts: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordB
     heads = np.cumsum(counts) - counts
     delta[heads] = order[heads]
     blob, at = common.text_bytes(terms)
-    return common.batch(_SEGMENT_ARROW, [blob.tobytes()], [np.diff(at).astype(np.int32).tobytes()], [counts.tobytes()], [delta.tobytes()], [ids], [first.astype(np.int32).tobytes()])
+    return common.batch(_SEGMENT_ARROW, [blob.tobytes()], [np.diff(at).astype(np.int32).tobytes()], [counts.tobytes()], [delta.tobytes()], [rid], [ids], [first.astype(np.int32).tobytes()])
 
 
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """The index of docs (doc_id, text), one row for each segment."""
+    """The index of docs (doc_id, text), one row for each segment. Documents are numbered
+    here, once: whoever reads the stored index finds the same numbers."""
 
     def run(batches):
+        rid = TaskContext.get().partitionId() << 33
         parts, held = [], 0
-        for b in common.text_slices(batches, segment_words * 3):
+        for b in common.text_slices(batches):
             data, offsets = common.text_bytes(b.column(1))
             parts.append((b.column(0), common.lower(data), offsets))
             held += len(data)
             if held >= segment_words * 6:
-                yield _segment(parts)
+                yield _segment(parts, rid)
+                rid += sum(len(p[0]) for p in parts)
                 parts, held = [], 0
         if parts:
-            yield _segment(parts)
+            yield _segment(parts, rid)
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, _SEGMENT)
 
 
+def item_words(text: str | None) -> list[bytes]:
+    data = common.lower(np.frombuffer((text or "").encode(), np.uint8))
+    s, e, _ = common.words(data, np.array([0, len(data)]), common.ALNUM)
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(s, e, strict=True)]
+
+
 class Windows:
-    """The phrases of a block of test items, one row each; short items are padded with -1."""
+    """The phrases of a block of test items (item, words), one row each; short items are
+    padded with -1."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window_words: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window_words: int = WINDOW_WORDS):
         vocabulary: dict[bytes, int] = {}
         rows, owners = [], []
-        self.names = sorted({"null" if i is None else str(i) for i, _ in items})
+        self.names = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
         at = {x: k for k, x in enumerate(self.names)}
-        for item, text in items:
-            data = common.lower(np.frombuffer((text or "").encode(), np.uint8))
-            s, e, _ = common.words(data, np.array([0, len(data)]), common.ALNUM)
-            raw = data.tobytes()
-            codes = [vocabulary.setdefault(raw[a:b], len(vocabulary)) for a, b in zip(s, e, strict=True)]
+        for item, words in items:
+            codes = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
             for k in range(max(1, len(codes) - window_words + 1) if codes else 0):
                 rows.append((codes[k : k + window_words] + [-1] * window_words)[:window_words])
-                owners.append(at["null" if item is None else str(item)])
+                owners.append(at[item])
         self.terms = pa.array(list(vocabulary), pa.large_binary())
         grid, inverse = np.unique(np.array(rows, np.int32).reshape(-1, window_words), axis=0, return_inverse=True) if rows else (np.zeros((0, window_words), np.int32), np.zeros(0, int))
         self.grid, self.sizes = grid, (grid >= 0).sum(1)
@@ -157,10 +167,14 @@ def _matches(segment: dict, windows: Windows, slop: int) -> tuple[np.ndarray, np
     return alive[w[exact]], start[exact], alive[w], place
 
 
+_FOUND = "rid long, doc_id long, n_words long, n_hit long, items array<string>, n_near long, hits array<int>"
+_FOUND_ARROW = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("n_near", pa.int64()), ("hits", pa.list_(pa.int32()))])
+
+
 def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
-    """One row for each document of the index: doc_id, n_words, n_hit, items (ids as
-    strings, sorted), n_near (proximity matches, the exact ones included)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("n_near", pa.int64()), ("hits", pa.list_(pa.int32()))])
+    """One row for each document of the index: rid (its number), doc_id, n_words, n_hit,
+    items (ids as strings, sorted, null last), n_near (proximity matches, the exact ones
+    included), hits (positions of hit words)."""
 
     def run(batches):
         for b in batches:
@@ -174,7 +188,7 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                 hit = np.cumsum(mark)[:-1] > 0
                 sums = np.concatenate([[0], np.cumsum(hit)])
                 n_near = np.bincount(np.searchsorted(first, near, side="right") - 1, minlength=docs) if len(near) else np.zeros(docs, int)
-                items: list[list[str]] = [[] for _ in range(docs)]
+                items: list[list[str | None]] = [[] for _ in range(docs)]
                 hits: list[list[int]] = [[] for _ in range(docs)]
                 if len(w):
                     doc = np.searchsorted(first, start, side="right") - 1
@@ -185,51 +199,50 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                     for p in np.flatnonzero(hit):
                         d = int(np.searchsorted(first, p, side="right")) - 1
                         hits[d].append(int(p - first[d]))
-                yield common.batch(schema, segment["doc_ids"], np.diff(first).astype(np.int64), (sums[first[1:]] - sums[first[:-1]]).astype(np.int64), items, n_near.astype(np.int64), hits)
-
-    return common.map_arrow(index, run, "doc_id long, n_words long, n_hit long, items array<string>, n_near long, hits array<int>")
+                yield common.batch(_FOUND_ARROW, np.arange(docs) + segment["rid"], segment["doc_ids"], np.diff(first).astype(np.int64), (sums[first[1:]] - sums[first[:-1]]).astype(np.int64), items, n_near.astype(np.int64), hits)
+
+    return common.map_arrow(index, run, _FOUND)
+
+
+def _blocks(benchmark: DataFrame, window_words: int, block_windows: int) -> Iterator[Windows]:
+    """The test set comes to the driver row by row; one block of windows is held at a time."""
+    held, size = [], 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
+        words = item_words(r[1])
+        at = 0
+        while at == 0 or at <= len(words) - window_words:
+            part = words[at : at + block_windows - size + window_words - 1]
+            held.append((r[0], part))
+            n = max(1, len(part) - window_words + 1)
+            at, size = at + n, size + n
+            if size >= block_windows:
+                yield Windows(held, window_words)
+                held, size = [], 0
+    yield Windows(held, window_words)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, slop: int = 0, min_items: int = 2, window_words: int = WINDOW_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, items, n_near, hits (positions of
     hit words), contaminated (at least min_items items have occurring windows)."""
     common.tune(spark)
-    index = common.store(spark, build_index(docs), "postings")
-
-    def blocks():
-        """The test set comes to the driver row by row; one block is held at a time."""
-        held, size = [], 0
-        for r in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
-            held.append((r[0], r[1]))
-            size += len(r[1] or "") // 2 + 1
-            if size >= block_windows:
-                yield Windows(held, window_words)
-                held, size = [], 0
-        yield Windows(held, window_words)
-
-    every = None
-    source = blocks()
-    block = next(source)
-    while True:
-        part = search(index, block, slop)
-        block = next(source, None)
-        if block is None and every is None:
-            found = part
-            break
-        # With more than one block results are stored block by block. A document's rows are
-        # told by their place in the index, which is the same for every block.
-        part = common.store(spark, part.withColumn("rid", F.monotonically_increasing_id()), "hits")
-        every = part if every is None else every.unionByName(part)
-        if block is None:
-            found = every.groupBy("rid").agg(
-                F.max("doc_id").alias("doc_id"),
-                F.max("n_words").alias("n_words"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                F.sum("n_near").alias("n_near"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-            ).withColumn("n_hit", F.size("hits").cast("long"))
-            break
-    return found.withColumn("contaminated", F.size("items") >= min_items)
+    index = common.store(spark, build_index(docs), "postings", **common.LARGE_ROWS)
+    blocks = _blocks(benchmark, window_words, block_windows)
+    found, block = search(index, next(blocks), slop), next(blocks, None)
+    if block is not None:
+        # With more than one block the hits of each are stored; documents without are not.
+        every = common.store(spark, found.where("n_hit > 0 or n_near > 0"), "hits")
+        while block is not None:
+            every = every.unionByName(common.store(spark, search(index, block, slop).where("n_hit > 0 or n_near > 0"), "hits"))
+            block = next(blocks, None)
+        hits = every.groupBy("rid").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+            F.sum("n_near").alias("n_near"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
+        )
+        known = search(index, Windows([], window_words)).select("rid", "doc_id", "n_words").join(hits, "rid", "left")
+        none = F.array().cast("array<string>"), F.array().cast("array<int>")
+        found = known.select("rid", "doc_id", "n_words", F.coalesce("items", none[0]).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("hits", none[1]).alias("hits")).withColumn("n_hit", F.size("hits").cast("long"))
+    return found.drop("rid").withColumn("contaminated", F.size("items") >= min_items)
 
 
 def _judged(spark: SparkSession, sf_dir: str, slop: int, *more: str) -> DataFrame:
