@@ -3,22 +3,23 @@
 A window is `WINDOW` consecutive words of a document. A word goes if it lies in a
 window whose words also start earlier: in a smaller doc_id, or further up.
 
-Shards are made by content, so that equal windows meet and no shard has to be
-streamed against all others. A window's anchor is the smallest hash among its
-`ANCHOR`-word sequences; equal windows have equal anchors, and neighbouring windows
-mostly share one. Three passes over the documents follow.
-
-1. Anchors. Each task sends its distinct ones; those that occur twice anywhere are
-   put into a filter of fixed size.
-2. Segments. Windows with such an anchor are compared within the task; of equal ones
-   the earliest stays in play, the others are removed at once. So a passage that a
-   third of all documents share reaches its shard once for each task. What stays goes
-   to the anchor's shard as segments of text. A shard indexes its segments (Burrows-
-   Wheeler transform in a wavelet tree), streams them through backward search, and
-   reads matching statistics, capped at a window, off it: every window's interval of
-   occurrences, of which all but the earliest are reported.
-3. Texts. Documents with anything to remove, by another such filter, are joined with
-   their removals; all others are done in the scan.
+A shard is a set of text segments. It is indexed (Burrows-Wheeler transform in a wavelet
+tree) and its segments are streamed through backward search, which gives matching
+statistics, capped at a window: every window's interval of suffixes. Windows with the same
+interval have the same words. Of intervals above one, all but the earliest are reported.
+
+Shards come in two kinds, so that equal windows meet and yet no shard has to be streamed
+against all others, nor sees every copy of a hot passage. Three passes over the documents:
+
+1. Anchors. A window's anchor is the smallest hash among its `ANCHOR`-word sequences; equal
+   windows have equal anchors, and neighbouring windows mostly share one. Each task sends
+   its distinct ones; those that occur twice anywhere are put into a filter.
+2. Segments. Windows with such an anchor are in play. Each task's own are a shard; what
+   it reports is removed at once, so a passage that a third of all documents share leaves
+   a task once. What stays goes to the shard of its anchor; with more than `FAN_IN` tasks
+   there first to that of the anchor and FAN_IN tasks, level by level.
+3. Texts. Documents with anything to remove, by another filter, are joined with their
+   removals; all others are done in the scan.
 
 The filters only ever let too much through, which the shard or the join then undoes.
 
@@ -35,6 +36,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,14 @@ from causalframe.llm.fm_index import FMIndex
 
 WINDOW = 20
 ANCHOR = 8
-FILTER_LOG2 = 26
-#: Windows of a task that are compared with one another at a time.
-TASK_WINDOWS = 1_500_000
+#: Windows of a task's own shard.
+TASK_WINDOWS = 1_000_000
+#: Windows of a segment of a task's own shard: lanes of the search should be about as long.
+PIECE = 200
+#: Tasks whose segments meet in one shard.
+FAN_IN = 256
+#: Bytes of input for each shard of anchors.
+SHARD_BYTES = 5 << 19
 
 _SEG = np.dtype([("key_hi", "<u8"), ("key_lo", "<u8"), ("doc", "<i8"), ("known", "<i4"), ("start", "<i4"), ("size", "<i4")])
 
@@ -133,16 +140,70 @@ def _repeated(key, table):
     return pa.table({"h": pa.array(np.unique(found).view(np.int64))})
 
 
+class Shard:
+    """Segments (places and their text, one after another), indexed and streamed: seg and
+    place of every window, the bytes it covers, and whether it is gone, that is, its words
+    also start earlier."""
+
+    def __init__(self, segments: np.ndarray, data: np.ndarray, k: int):
+        self.segments = segments
+        offsets = np.concatenate([[0], np.cumsum(segments["size"], dtype=np.int64)])
+        s, e, first = common.words(data, offsets, common.SPACED)
+        codes, _ = common.word_codes(data, s, e)
+        n = np.diff(first)
+        place = np.arange(len(codes), dtype=np.int32) - np.repeat(first[:-1], n).astype(np.int32)
+        at = np.flatnonzero(place <= np.repeat(n, n) - k)
+        self.seg, self.place = np.repeat(np.arange(len(n), dtype=np.int32), n)[at], place[at]
+        self.start = segments["start"][self.seg] + self.place
+        self.lo_byte, self.hi_byte = s[at], e[at + k - 1]
+        index = FMIndex(codes, first, k)
+        lo, hi = index.stream(codes, first)
+        lo, many = lo[at], (hi - lo)[at] > 1
+        # The order of places: doc_id (null first), then start; equal ones share a rank.
+        by = np.lexsort((segments["doc"], segments["known"]))
+        ranked = segments[["known", "doc"]][by]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) if len(by) else 0
+        order = rank[self.seg[many]] << 32 | self.start[many]
+        least = np.full(index.size, np.iinfo(np.int64).max)
+        np.minimum.at(least, lo[many], order)
+        self.gone = np.zeros(len(at), bool)
+        self.gone[many] = order > least[lo[many]]
+
+    def removals(self) -> list[tuple]:
+        own = self.segments[self.seg[self.gone]]
+        return _removals(own["key_hi"], own["key_lo"], self.start[self.gone])
+
+    def left(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Segments of the windows that stay, and the bytes of each."""
+        keep = np.flatnonzero(~self.gone)
+        head, tail = _runs(self.seg[keep], self.start[keep])
+        a, b = self.lo_byte[keep][head], self.hi_byte[keep][tail]
+        seg = self.segments[self.seg[keep][head]]
+        seg["start"], seg["size"] = self.start[keep][head], b - a
+        return seg, list(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def _runs(row: np.ndarray, start: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of windows that follow one another in a row and have the same values."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
+    head = np.flatnonzero(new)
+    return head, np.append(head[1:], len(row))[: len(head)] - 1
+
+
 class _Chunk:
     """Windows of a task that are in play, with the rows they come from."""
 
-    def __init__(self, k: int, buckets: int):
-        self.k, self.buckets = k, buckets
+    def __init__(self, k: int, buckets: int, part: int):
+        self.k, self.buckets, self.part = k, buckets, part
         self.clear()
 
     def clear(self) -> None:
         self.rows: list[tuple] = []  # (key_hi, key_lo, doc_id or 0, known)
-        self.parts: list[tuple] = []  # (row, start in row, window hashes, anchor, first byte, last byte of text)
+        self.parts: list[tuple] = []  # (row, start in row, anchor, first byte, last byte of text)
         self.texts: list[bytes] = []
         self.held = self.base = 0
         self.keys: set[bytes] = set()
@@ -169,55 +230,57 @@ class _Chunk:
         place = np.zeros(b.num_rows, np.int64)
         place[own] = np.arange(len(own)) + len(self.rows)
         self.rows += [(int.from_bytes(keys[i][:8], "big"), int.from_bytes(keys[i][8:], "big"), ids[i] or 0, ids[i] is not None) for i in own]
-        one, two = common.gram_hash(t.h, self.k)[start], common.gram_hash(common.mix(t.h), self.k)[start]
-        self.parts.append((place[row], start - t.first[row], one, two, anchor, t.s[start] + self.base, t.e[start + self.k - 1] + self.base))
+        self.parts.append((place[row], start - t.first[row], anchor, t.s[start] + self.base, t.e[start + self.k - 1] + self.base))
         self.texts.append(t.data.tobytes())
         self.base += len(t.data)
         self.held += len(start)
 
     def flush(self) -> pa.RecordBatch | None:
-        """Removals among these windows (k, starts), and segments by bucket."""
-        import zstandard
-
+        """Removals among these windows (k, starts), and the segments of the others by bucket."""
         if not self.parts:
             return None
-        row, start, one, two, anchor, lo, hi = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        # In order of rows, and of places in them.
+        row, start, anchor, lo, hi = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         info = np.array(self.rows, [("hi", "<u8"), ("lo", "<u8"), ("doc", "<i8"), ("known", "<i4")])
-        order = np.lexsort((start, info["doc"][row], info["known"][row], one))
-        same = np.concatenate([[False], one[order][1:] == one[order][:-1]])
-        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        # Not the first of its hash, equal by the second hash too, and not at the first's place.
-        later = same & (two[order] == two[head]) & ~((info["doc"][row[order]] == info["doc"][row[head]]) & (info["known"][row[order]] == info["known"][row[head]]) & (start[order] == start[head]))
-        gone = np.zeros(len(order), bool)
-        gone[order[later]] = True
-        out = _removals(info["hi"][row[gone]], info["lo"][row[gone]], start[gone])
-
-        keep = np.flatnonzero(~gone)
-        keep = keep[np.lexsort((start[keep], row[keep]))]
-        r, s, a = row[keep], start[keep], anchor[keep]
-        new = np.ones(len(keep), bool)
-        new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1) | (a[1:] != a[:-1])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(keep)) - 1
-        seg = np.zeros(len(head), _SEG)
-        i = info[r[head]]
-        seg["key_hi"], seg["key_lo"], seg["doc"], seg["known"], seg["start"] = i["hi"], i["lo"], i["doc"], i["known"], s[head]
-        a_byte, b_byte = lo[keep][head], hi[keep][tail]
-        seg["size"] = b_byte - a_byte
-        home = (common.mix(a[head]) % U64(self.buckets)).astype(np.int64)
-        by = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[by], np.arange(self.buckets + 1))
         text = b"".join(self.texts)
-        for k in range(self.buckets):
-            own = by[edges[k] : edges[k + 1]]
-            if len(own):
-                body = b"".join([text[x:y] for x, y in zip(a_byte[own].tolist(), b_byte[own].tolist(), strict=True)])
-                out.append((k, None, None, seg[own].tobytes(), zstandard.compress(body, 1)))
+
+        def cut(row: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            seg = np.zeros(len(row), _SEG)
+            i = info[row]
+            seg["key_hi"], seg["key_lo"], seg["doc"], seg["known"], seg["start"], seg["size"] = i["hi"], i["lo"], i["doc"], i["known"], start, b - a
+            return seg
+
+        head, tail = _runs(row, start)
+        head, tail = _runs(row, start, (np.arange(len(row)) - np.repeat(head, tail - head + 1)) // PIECE)
+        a, b = lo[head], hi[tail]
+        data = np.frombuffer(b"".join([text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), np.uint8)
+        shard = Shard(cut(row[head], start[head], a, b), data, self.k)
+        out = [(x[0], self.part, x[1], x[2], None, None) for x in shard.removals()]
+
+        keep = np.flatnonzero(~shard.gone)
+        row, start, anchor, lo, hi = (x[keep] for x in (row, start, anchor, lo, hi))
+        head, tail = _runs(row, start, anchor)
+        a, b = lo[head], hi[tail]
+        out += _dealt(cut(row[head], start[head], a, b), list(zip(a.tolist(), b.tolist(), strict=True)), text, (common.mix(anchor[head]) % U64(self.buckets)).astype(np.int64), self.buckets, self.part)
         self.clear()
         return _packed(out)
 
 
-_ROWS = pa.schema([("bucket", pa.int32()), ("k", pa.binary()), ("starts", pa.binary()), ("segments", pa.binary()), ("text", pa.binary())])
+def _dealt(seg: np.ndarray, spans: list[tuple[int, int]], text: bytes, home: np.ndarray, buckets: int, part: int) -> list[tuple]:
+    """Rows of segments, one for each bucket that has some."""
+    import zstandard
+
+    by = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], home[by][1:] != home[by][:-1]])) if len(by) else []
+    rows = []
+    for own in np.split(by, edges[1:]) if len(by) else []:
+        body = b"".join([text[x:y] for x, y in (spans[i] for i in own.tolist())])
+        rows.append((int(home[own[0]]), part, None, None, seg[own].tobytes(), zstandard.compress(body, 1)))
+    return rows
+
+
+_ROWS = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("k", pa.binary()), ("starts", pa.binary()), ("segments", pa.binary()), ("text", pa.binary())])
+_ROWS_SQL = "bucket int, part int, k binary, starts binary, segments binary, text binary"
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -225,19 +288,26 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _removals(hi: np.ndarray, lo: np.ndarray, start: np.ndarray) -> list[tuple]:
-    """Rows (bucket, k, starts) of windows to remove, one for each document."""
+    """(spread, k, starts) of windows to remove, one for each document; starts: the first of
+    each run of them, and how many they are."""
     if not len(hi):
         return []
     order = np.lexsort((start, lo, hi))
     hi, lo, start = hi[order], lo[order], start[order]
-    edge = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]))
-    ends = np.append(edge[1:], len(hi))
-    return [(int(lo[a] & U64(0x3FFFFFFF)), int(hi[a]).to_bytes(8, "big") + int(lo[a]).to_bytes(8, "big"), start[a:b].astype("<i4").tobytes(), None, None) for a, b in zip(edge, ends, strict=True)]
+    other = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+    new = other.copy()
+    new[1:] |= start[1:] != start[:-1] + 1
+    head = np.flatnonzero(new)
+    runs = np.column_stack([start[head], np.diff(np.append(head, len(start)))]).astype("<i4")
+    edge = np.flatnonzero(other[head])
+    at = head[edge]
+    ends = np.append(edge[1:], len(head))
+    return [(int(y & U64(0x3FFFFFFF)), int(x).to_bytes(8, "big") + int(y).to_bytes(8, "big"), runs[a:b].tobytes()) for x, y, a, b in zip(hi[at], lo[at], edge, ends, strict=True)]
 
 
 def _segments(docs: DataFrame, wanted: np.ndarray, k: int, m: int, buckets: int) -> DataFrame:
     def run(batches):
-        pick, chunk = common.Bloom(wanted), _Chunk(k, buckets)
+        pick, chunk = common.Bloom(wanted), _Chunk(k, buckets, TaskContext.get().partitionId())
         for b in common.text_slices(batches):
             chunk.add(b, pick, m)
             if chunk.held > TASK_WINDOWS:
@@ -246,51 +316,30 @@ def _segments(docs: DataFrame, wanted: np.ndarray, k: int, m: int, buckets: int)
         if last is not None:
             yield last
 
-    return common.map_arrow(docs, run, "bucket int, k binary, starts binary, segments binary, text binary").withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
+    return common.map_arrow(docs, run, _ROWS_SQL).withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
 
 
-def _shard(k: int):
-    """Index a shard's segments, stream them, report all occurrences of a window but the earliest."""
+def _meet(k: int, last: bool):
+    """Shards of anchors: removals go on as they are; then those of the segments that met,
+    and, unless this is the last level, the segments of the windows that stay."""
 
     def run(key, table):
         import zstandard
 
-        out = table.filter(pc.is_valid(table.column("k"))).select(["k", "starts"])
+        done = table.filter(pc.is_valid(table.column("k")))
         own = table.filter(pc.is_valid(table.column("segments")))
+        done = done.select(["k", "starts"] if last else _ROWS.names).cast(pa.schema([f for f in _ROWS if not last or f.name in ("k", "starts")]))
         if not own.num_rows:
-            return out
-        seg = np.concatenate([np.frombuffer(x, _SEG) for x in own.column("segments").to_pylist()])
-        data = np.frombuffer(b"".join(zstandard.decompress(x) for x in own.column("text").to_pylist()), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum(seg["size"], dtype=np.int64)])
-        s, e, first = common.words(data, offsets, common.SPACED)
-        codes, _ = common.word_codes(data, s, e)
-        index = FMIndex(codes.astype(np.int64), first, k)
-        lo, hi = index.stream(codes.astype(np.int64), first)
-        many = np.flatnonzero(hi - lo > 1)
-        if not len(many):
-            return out
-        # The order of occurrences: doc_id (null first), then place; equal ones share a rank.
-        row, place = index.positions()
-        row = row.clip(max=len(seg) - 1)
-        at = seg["start"][row] + place
-        by = np.lexsort((at, seg["doc"][row], seg["known"][row]))
-        step = np.concatenate([[False], (at[by][1:] != at[by][:-1]) | (seg["doc"][row[by]][1:] != seg["doc"][row[by]][:-1]) | (seg["known"][row[by]][1:] != seg["known"][row[by]][:-1])])
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.cumsum(step)
-        left, back = np.unique(lo[many], return_inverse=True)
-        right = np.zeros(len(left), np.int64)
-        right[back.ravel()] = hi[many]
-        # Intervals of windows are disjoint: reduce over [left, right) pairs.
-        bounds = np.column_stack([left, right]).ravel()
-        least = np.minimum.reduceat(np.append(rank, np.iinfo(np.int64).max), bounds)[::2]
-        own_row = np.searchsorted(first, many, side="right") - 1
-        inverse = np.empty(len(index.suffixes), np.int64)
-        inverse[index.suffixes] = np.arange(len(inverse))
-        own_rank = rank[inverse[index.first[own_row] + many - first[own_row]]]
-        gone = own_rank > least[back.ravel()]
-        r = own_row[gone]
-        rows = _removals(seg["key_hi"][r], seg["key_lo"][r], seg["start"][r] + (many[gone] - first[r]))
-        return pa.concat_tables([out, pa.table({"k": pa.array([x[1] for x in rows], pa.binary()), "starts": pa.array([x[2] for x in rows], pa.binary())})])
+            return done
+        bucket, part = own.column("bucket")[0].as_py(), own.column("part")[0].as_py()
+        # Segments are at least a window long, so texts of several rows do not run together.
+        text = b"".join(zstandard.decompress(x) for x in own.column("text").to_pylist())
+        shard = Shard(np.concatenate([np.frombuffer(x, _SEG) for x in own.column("segments").to_pylist()]), np.frombuffer(text, np.uint8), k)
+        rows = [(bucket, part, x[1], x[2], None, None) for x in shard.removals()]
+        if not last:
+            seg, spans = shard.left()
+            rows += _dealt(seg, spans, text, np.full(len(seg), bucket), bucket + 1, part)
+        return pa.concat_tables([done, pa.Table.from_batches([_packed(rows)]).select(done.column_names)])
 
     return run
 
@@ -310,10 +359,10 @@ def _result(ids: pa.Array, text: pa.Array, starts: list[list[bytes] | None], k:
         if not found:
             kept, gone = body.split(), []
         else:
-            at = np.frombuffer(b"".join(found), "<i4")
+            runs = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2)
             mark = np.zeros(b - a + 1, np.int32)
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + k, -1)
+            np.add.at(mark, runs[:, 0], 1)
+            np.add.at(mark, runs.sum(1) + k - 1, -1)
             out = np.cumsum(mark)[:-1] > 0
             gone = np.flatnonzero(out).tolist()
             stay = np.flatnonzero(~out) + a
@@ -324,21 +373,30 @@ def _result(ids: pa.Array, text: pa.Array, starts: list[list[bytes] | None], k:
     return common.batch(_RESULT_ARROW, ids, n_words.astype(np.int64), n_removed, sha, removed)
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256
     (of the kept words joined by a space), removed (numbers of the removed words)."""
     width = common.tune(spark)
-    buckets = 4 * width
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets, bits = common.groups(docs, width, SHARD_BYTES), common.filter_log2(docs, 0.06)
     repeated = common.apply_arrow(_anchors(docs, window, anchor, buckets), "bucket", _repeated, "h long")
-    wanted = common.bloom_of(repeated, ["h"], FILTER_LOG2)
+    wanted = common.bloom_of(repeated, ["h"], bits)
     if not len(wanted):
-        wanted = common.Bloom.empty(FILTER_LOG2).bits
-    found = common.apply_arrow(_segments(docs, wanted, window, anchor, buckets), "bucket", _shard(window), "k binary, starts binary")
+        wanted = common.Bloom.empty(bits).bits
+    rows = _segments(docs, wanted, window, anchor, buckets)
+    # Levels of shards by the number of tasks that the scan will have, roughly: with a level
+    # too few or too many there are larger or more shards, and the same removals.
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    tasks, level = max(1, (common.input_bytes(docs) or 0) // split), fan_in
+    while tasks > fan_in:
+        group = F.concat_ws("/", "bucket", (F.col("part") / level).cast("int"))
+        rows = common.apply_arrow(rows.withColumn("grp", group), "grp", _meet(window, False), _ROWS_SQL)
+        tasks, level = -(-tasks // fan_in), level * fan_in
+    found = common.apply_arrow(rows, "bucket", _meet(window, True), "k binary, starts binary")
     removals = common.store(spark, found, "removals").withColumn("h", F.conv(F.hex(F.substring("k", 1, 7)), 16, 10).cast("long"))
-    touched = common.bloom_of(removals.select("h").distinct(), ["h"], FILTER_LOG2)
+    touched = common.bloom_of(removals.select("h").distinct(), ["h"], bits)
     if not len(touched):
-        touched = common.Bloom.empty(FILTER_LOG2).bits
+        touched = common.Bloom.empty(bits).bits
 
     def split(batches):
         pick = common.Bloom(touched)
