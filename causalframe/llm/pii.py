@@ -9,7 +9,8 @@ from loopy belief propagation on each text's whole graph; runs of tokens with a
 label that the patterns did not report are added.
 
 Weights are learnt by pseudo-likelihood from what the patterns label in at most
-`SAMPLE_ROWS` texts and `SAMPLE_TOKENS` tokens (parameters). So that the skip edges learn to carry a label,
+`SAMPLE_ROWS` texts of `SAMPLE_CHARS` characters and `SAMPLE_TOKENS` tokens in all
+(parameters): those with the smallest hashes of their content. So that the skip edges learn to carry a label,
 every such text is also learnt with its findings mentioned once more without their
 leading part, as what they are, and with look-alikes of other digits, as none; and
 some tied tokens' own features are left out.
@@ -39,6 +40,8 @@ from causalframe.llm.scan_rows import Span, scan
 
 BASE = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 1500
+#: Longer texts are not learnt from.
+SAMPLE_CHARS = 20_000
 #: Tokens to learn from at most; texts with more than a twentieth of them are left out of learning.
 SAMPLE_TOKENS = 60_000
 SURE = 0.9
@@ -349,24 +352,32 @@ def mentions(texts: list[str], seed: int = 5) -> tuple[list[str], list[list[Span
 
 
 def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """The field of a bounded sample of texts that patterns hint at: those with the
-    smallest hashes of their content."""
+    """The field of a bounded sample of texts that patterns hint at. Tasks first send how
+    many different ones there are; that tells the hash below which about sample_rows of them
+    lie, and only those are sent."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def candidates(batches):
+    def candidates(below: int | None):
         import xxhash
 
-        schema = pa.schema([("h", pa.int64()), ("text", pa.string())])
-        for b in common.text_slices(batches):
-            texts = pc.fill_null(b.column(1), "")
-            some = None
-            for p in HINTS.values():
-                m = pc.match_substring_regex(texts, p)
-                some = m if some is None else pc.or_(some, m)
-            for t in texts.filter(some).to_pylist():
-                yield common.batch(schema, [xxhash.xxh3_64_intdigest(t.encode()) >> 1], [t])
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = common.map_arrow(docs, candidates, "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
+        def run(batches):
+            for b in common.text_slices(batches):
+                texts = pc.fill_null(b.column(1), "")
+                some = None
+                for p in HINTS.values():
+                    m = pc.match_substring_regex(texts, p)
+                    some = m if some is None else pc.or_(some, m)
+                found = [(xxhash.xxh3_64_intdigest(t.encode()) >> 1, t) for t in texts.filter(some).to_pylist() if len(t) <= SAMPLE_CHARS]
+                if below is not None:
+                    found = [x for x in found if x[0] < below]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([None if below is None else t for _, t in found], pa.string())], names=["h", "text"])
+
+        return common.map_arrow(docs, run, "h long, text string")
+
+    n = candidates(None).agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    # A fifth more than wanted, since the count is not exact.
+    below = min(2**63 - 1, int(2**63 * 1.2 * (sample_rows + 50) / max(n, 1)))
+    found = candidates(below).groupBy("h").agg(F.min("text").alias("text"))
     texts = [r["text"] for r in found.orderBy("h").limit(sample_rows).collect()]
     sizes = [len(tokens(t)) for t in texts]
     fit_in = [t for t, n in zip(texts, sizes, strict=True) if n <= SAMPLE_TOKENS // 20]
@@ -378,7 +389,7 @@ def fit(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def pii_scan(spark: SparkSession, docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone,
-    base_sha256, spans (text), found (kind, start, end, value). Offsets are code points."""
+    base_sha256, spans (text), n_spans, found (kind, start, end, value). Offsets are code points."""
     common.tune(spark)
     field = fit(spark, docs, sample_rows)
 

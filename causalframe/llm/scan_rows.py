@@ -28,12 +28,12 @@ def digest(spans: list[Span]) -> str:
 
 def scan(docs: DataFrame, find: Callable[[str, dict[str, bool]], tuple[list[Span], list[Span]]], base: tuple[str, ...], more: tuple[str, ...], hints: dict[str, str]) -> DataFrame:
     """One row for each row of docs: doc_id, the number of spans of each base kind,
-    base_sha256, spans (text), found (kind, start, end, value).
+    base_sha256, spans (text), n_spans, found (kind, start, end, value).
 
     hints: linear-time patterns of which a text must match at least one to be worth
     the Python search; find gets which of them matched and gives base and added spans."""
     kinds = base + more
-    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in base), ("base_sha256", pa.string()), ("spans", pa.string())]
+    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in base), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())]
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
     schema = pa.schema([*fields, ("found", span_type)])
     empty = hashlib.sha256(b"").hexdigest()
@@ -54,7 +54,7 @@ def scan(docs: DataFrame, find: Callable[[str, dict[str, bool]], tuple[list[Span
                     counts[k][i] += 1
                 sha[i], joined[i] = hashlib.sha256(digest(own).encode()).hexdigest(), digest(spans)
                 found[i] = [{"kind": k, "start": s, "end": e, "value": text[s:e]} for k, s, e in spans]
-            yield common.batch(schema, b.column(0), *counts.values(), sha, joined, found)
+            yield common.batch(schema, b.column(0), *counts.values(), sha, joined, list(map(len, found)), found)
 
-    columns = ", ".join(["doc_id long", *(f"n_{k} long" for k in base), "base_sha256 string", "spans string", "found array<struct<kind:string,start:int,end:int,value:string>>"])
+    columns = ", ".join(["doc_id long", *(f"n_{k} long" for k in base), "base_sha256 string", "spans string", "n_spans long", "found array<struct<kind:string,start:int,end:int,value:string>>"])
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, columns)

@@ -233,7 +233,7 @@ def find(text: str, hint: dict[str, bool]) -> tuple[list[Span], list[Span]]:
 
 def secret_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex,
-    base_sha256, spans (text), found (kind, start, end, value). Offsets are code points."""
+    base_sha256, spans (text), n_spans, found (kind, start, end, value). Offsets are code points."""
     common.tune(spark)
     return scan(docs, find, BASE, CONFIRMED, HINTS)
 
