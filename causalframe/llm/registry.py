@@ -9,6 +9,7 @@ QUERIES = {
     "op3_pack": packing.op3_pack,
     "op4_secrets": secrets.op4_secrets,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op5_listed": url_filter.op5_listed,
     "op6_pii": pii.op6_pii,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -18,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
+    "op5_listed": url_filter.LISTED_ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_ngram_join": ngram_join.ORACLE,
 }

@@ -2,7 +2,8 @@
 functions alone.
 
 A list rule is (host, path, verdict); it fits its host and all subdomains if the
-URL's path starts with the rule's, and the longest fitting rule decides. What no
+URL's path starts with the rule's, and the longest fitting rule decides (host and path
+together; of equally long ones the first in the list). What no
 rule fits is judged by rules that Spark's FP-growth mines from labelled URLs: token
 combinations whose confidence for a verdict and whose support are high enough. Mined
 rules are matched by an inverted index on the rarest token of their antecedent.
@@ -48,21 +49,24 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def _listed(pages: DataFrame, rules: list[tuple[str, str, str]], spark: SparkSession) -> DataFrame:
-    """Adds rule (host and path of the longest fitting rule) and its verdict, both null without one."""
+    """Adds rule (host and path of the longest fitting rule) and its verdict, both null without
+    one. Of equally long rules the first in the list counts, however long the list is."""
+    places = range(len(rules))
     if len(rules) <= LITERAL_RULES:
         best = F.lit(None).cast("struct<rule:string,verdict:string>")
-        # Longest first; of equal length the first in the list.
-        for host, path, verdict in sorted(rules, key=lambda r: len(r[0] + r[1])):
+        # What counts most is asked first, so it comes last here.
+        for i in sorted(places, key=lambda i: (len(rules[i][0] + rules[i][1]), -i)):
+            host, path, verdict = rules[i]
             fits = ((F.col("host") == host) | F.endswith("host", F.lit("." + host))) & F.startswith("path", F.lit(path))
             best = F.when(fits, F.struct(F.lit(host + path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(best)
         return pages.withColumn("hit", best).withColumns({"rule": F.col("hit.rule"), "listed": F.col("hit.verdict")}).drop("hit")
     # One row for each suffix of a host, joined to the rules on it.
-    table = spark.createDataFrame([(h, p, v, len(h + p)) for h, p, v in rules], "rule_host string, rule_path string, verdict string, size int")
+    table = spark.createDataFrame([(*rules[i], len(rules[i][0] + rules[i][1]), -i) for i in places], "rule_host string, rule_path string, verdict string, size int, place int")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     distinct = pages.select("host", "path").distinct()
     hits = distinct.withColumn("rule_host", F.explode(suffixes)).join(table, "rule_host").where(F.startswith("path", F.col("rule_path")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct("size", F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("hit"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct("size", "place", F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("hit"))
     return pages.join(best, ["host", "path"], "left").withColumns({"rule": F.col("hit.rule"), "listed": F.col("hit.verdict")}).drop("hit")
 
 
@@ -193,3 +197,20 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, path = host_path(F.col("url"))
     listed = _listed(pages.withColumns({"host": host, "path": path}), RULES, spark).where("listed is not null").select("url", F.col("listed").alias("label"))
     return url_filter(spark, pages, RULES, labels.unionByName(listed))
+
+
+def op5_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5_url_filter finds by the list alone: page_id, host, path, rule, and the rule's verdict."""
+    found = op5_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("listed"))
+
+
+_VALUES = ", ".join(f"('{h}', '{p}', '{v}', {len(h + p)}, {i})" for i, (h, p, v) in enumerate(RULES))
+LISTED_ORACLE = f"""
+WITH r(rule_host, rule_path, verdict, size, place) AS (VALUES {_VALUES}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT host, path, arg_max(rule_host || rule_path, size * 1000 - place) AS rule, arg_max(verdict, size * 1000 - place) AS listed
+ FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, listed FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path
+"""
