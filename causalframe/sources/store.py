@@ -5,7 +5,12 @@ that any file system of Spark's may hold, one folder for each dataset: immutable
 snapshots of Parquet partitioned by day, and a catalog record (JSON) that names the
 snapshots in use. A write first makes its files, then replaces the record, so readers
 see the state before or after and never between. Appending adds a snapshot and leaves
-history alone. There is one writer for a dataset.
+history alone; merging adds one with the days that it changes and hides those days in
+the others. Past `MOST_SNAPSHOTS` they are written anew as one. What a write replaces is
+deleted by the write after it, so that frames read before stay good until then. There is
+one writer for a dataset.
+
+`DocumentStore` keeps the records in a document database instead, and the rows as above.
 """
 
 from __future__ import annotations
@@ -15,17 +20,22 @@ import re
 import tempfile
 import uuid
 from abc import ABC, abstractmethod
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from causalframe.functions.hashing import unfreeze
 from causalframe.operators.reshape import combine_first
 from causalframe.sources.dataset import Dataset, Metadata
 from causalframe.time import RESOLUTION, TimeRange, timestamp, utc_wall
 
-DAY = "_day"
+#: Partition columns of a dataset's rows.
+SNAPSHOT, DAY = "_snapshot", "_day"
+#: Snapshots of a dataset before they are written anew as one.
+MOST_SNAPSHOTS = 50
 
 
 class Store(ABC):
@@ -133,13 +143,16 @@ class Store(ABC):
             self.replace(dataset)
             return False
         declared = record["declared"].union(dataset.declared)
-        existing = self.read_record(record, None)
-        both = combine_first(existing, dataset.data, [*keys, dataset.metadata.time_col])
-        merged = Dataset(dataset.metadata, both, declared)
-        low = min(record["data_range"].start, (own := dataset.data_range()).start)
-        self.write(merged, TimeRange(low, max(record["data_range"].end, own.end)))
+        own = dataset.data_range()
+        data_range = TimeRange(min(record["data_range"].start, own.start), max(record["data_range"].end, own.end))
+        self.combine(dataset, record, [*keys, dataset.metadata.time_col], data_range, declared)
         return True
 
+    def combine(self, dataset: Dataset, record: dict, by: list[str], data_range: TimeRange, declared: TimeRange) -> None:
+        """Existing rows and new ones, met by these columns."""
+        both = combine_first(self.read_record(record, None), dataset.data, by)
+        self.write(Dataset(dataset.metadata, both, declared), data_range)
+
     # ---- catalog queries
     def find(self, match: str, version: str | None = None) -> list[str]:
         """Distinct names that a pattern matches from their start, sorted."""
@@ -245,8 +258,12 @@ class ParquetStore(Store):
         return f"{self.root}/{metadata.version}/{metadata.name}_h{metadata.hash}"
 
     def _load(self, path: str) -> dict:
-        lines = self.spark.read.text(path, wholetext=True).first()[0]
-        return json.loads(lines)
+        """A record is a small file: read on the driver, without a Spark job."""
+        stream = self._fs(path).open(self._path(path))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _save(self, folder: str, record: dict) -> None:
         """Writes the record beside the one in use and renames it over that."""
@@ -281,49 +298,85 @@ class ParquetStore(Store):
         found = self._fs(self.root).globStatus(self._path(f"{self.root}/*/*/record.json"))
         return [self._record(self._load(s.getPath().toString())) for s in (found or [])]
 
-    def _commit(self, folder: str, metadata: Metadata, snapshots: list[str], data_range, declared, schema: str) -> None:
-        self._save(folder, {"metadata": self._described(metadata), "snapshots": snapshots, "data_range": data_range and repr(data_range), "declared": declared and repr(declared), "schema": schema})
+    def _commit(self, metadata: Metadata, snapshots: list[dict], stale: list[str], data_range, declared, schema: str) -> None:
+        """snapshots: name, and days that later ones have instead (None: rows without a time)."""
+        self._save(self._folder(metadata), {"metadata": self._described(metadata), "snapshots": snapshots, "stale": stale, "data_range": data_range and repr(data_range), "declared": declared and repr(declared), "schema": schema})
 
     def _write(self, folder: str, data: DataFrame, on: str | None) -> str:
-        name = f"snapshot-{uuid.uuid4().hex}"
+        name = uuid.uuid4().hex
         if on is None:
-            data.write.parquet(f"{folder}/{name}")
+            data.write.parquet(f"{folder}/{SNAPSHOT}={name}")
         else:
             # Sorted within tasks, so that row groups have narrow bounds of time; a day that
             # holds most rows is still split over several files.
-            data.withColumn(DAY, F.to_date(on)).sortWithinPartitions(DAY, on).write.partitionBy(DAY).parquet(f"{folder}/{name}")
+            data.withColumn(DAY, F.to_date(on)).sortWithinPartitions(DAY, on).write.partitionBy(DAY).parquet(f"{folder}/{SNAPSHOT}={name}")
         return name
 
+    def _drop(self, folder: str, names: list[str]) -> None:
+        for s in names:
+            self._fs(folder).delete(self._path(f"{folder}/{SNAPSHOT}={s}"), True)
+
     def write(self, dataset, data_range):
         folder, m = self._folder(dataset.metadata), dataset.metadata
         old = self.lookup(m)
         name = self._write(folder, dataset.data, m.time_col)
-        self._commit(folder, m, [name], data_range, dataset.declared, dataset.data.schema.json())
-        for s in old["snapshots"] if old else []:
-            self._fs(folder).delete(self._path(f"{folder}/{s}"), True)
+        stale = [s["name"] for s in old["snapshots"]] if old else []
+        self._commit(m, [{"name": name, "without": []}], stale, data_range, dataset.declared, dataset.data.schema.json())
+        self._drop(folder, old["stale"] if old else [])
 
-    def extend(self, dataset, record, new, data_range, declared):
-        folder, m = self._folder(dataset.metadata), dataset.metadata
+    def _added(self, record: dict, snapshots: list[dict], new: DataFrame, data_range, declared) -> None:
+        """One more snapshot; many of them become one."""
+        m = record["metadata"]
+        folder = self._folder(m)
+        schema = self.read_record(record, None).unionByName(new, allowMissingColumns=True).schema.json()
         name = self._write(folder, new, m.time_col)
-        merged = self.read_record(record, None).unionByName(new, allowMissingColumns=True).schema
-        self._commit(folder, m, [*record["snapshots"], name], data_range, declared, merged.json())
+        snapshots, stale = [*snapshots, {"name": name, "without": []}], []
+        if len(snapshots) > MOST_SNAPSHOTS:
+            whole = self.read_record({**record, "snapshots": snapshots, "schema": schema}, None)
+            stale = [s["name"] for s in snapshots]
+            snapshots = [{"name": self._write(folder, whole, m.time_col), "without": []}]
+        self._commit(m, snapshots, stale, data_range, declared, schema)
+        self._drop(folder, record["stale"])
 
-    def redeclare(self, record, declared):
-        m = record["metadata"]
-        self._commit(self._folder(m), m, record["snapshots"], record["data_range"], declared, record["schema"])
+    def extend(self, dataset, record, new, data_range, declared):
+        self._added(record, record["snapshots"], new, data_range, declared)
 
-    def read_record(self, record, time_range):
-        from pyspark.sql.types import StructType
+    def combine(self, dataset, record, by, data_range, declared):
+        on = dataset.metadata.time_col
+        days = sorted((r[0] for r in dataset.data.select(F.to_date(on)).distinct().collect()), key=str)
+        touched = self._days(F.to_date(on), days)
+        both = combine_first(self._stored(record, days), dataset.data.where(touched), by)
+        hidden = [None if d is None else d.isoformat() for d in days]
+        snapshots = [{**s, "without": sorted({*s["without"], *hidden}, key=str)} for s in record["snapshots"]]
+        self._added(record, snapshots, both, data_range, declared)
 
-        m = record["metadata"]
+    def redeclare(self, record, declared):
+        self._commit(record["metadata"], record["snapshots"], record["stale"], record["data_range"], declared, record["schema"])
+
+    @staticmethod
+    def _days(day, days: list):
+        """Whether a day column is one of these days (None: null)."""
+        known = [d for d in days if d is not None]
+        found = day.isin(known) if known else F.lit(False)
+        return F.coalesce(found, F.lit(None in days))
+
+    def _stored(self, record: dict, days: list | None = None) -> DataFrame:
+        """The rows of a series, or of some days of it, with their day: one scan of all snapshots."""
+        folder, m = self._folder(record["metadata"]), record["metadata"]
         schema = StructType.fromJson(json.loads(record["schema"]))
-        paths = [f"{self._folder(m)}/{s}" for s in record["snapshots"]]
-        if m.static:
-            return self.spark.read.schema(schema).parquet(*paths)
-        frames = [self.spark.read.schema(schema.add(DAY, "date") if DAY not in schema.names else schema).parquet(p) for p in paths]
-        data = frames[0]
-        for f in frames[1:]:
-            data = data.unionByName(f)
+        for name, kind in ((SNAPSHOT, "string"), *(() if m.static else ((DAY, "date"),))):
+            schema = schema.add(name, kind) if name not in schema.names else schema
+        paths = [f"{folder}/{SNAPSHOT}={s['name']}" for s in record["snapshots"]]
+        data = self.spark.read.schema(schema).option("basePath", folder).parquet(*paths)
+        for s in record["snapshots"]:
+            if s["without"]:
+                hidden = self._days(F.col(DAY), [d and date.fromisoformat(d) for d in s["without"]])
+                data = data.where((F.col(SNAPSHOT) != s["name"]) | ~hidden)
+        data = data.drop(SNAPSHOT)
+        return data if days is None else data.where(self._days(F.col(DAY), days)).drop(DAY)
+
+    def read_record(self, record, time_range):
+        m, data = record["metadata"], self._stored(record)
         if time_range is not None:
             data = time_range.view(data, m.time_col, DAY)
         return data.drop(DAY)
@@ -334,16 +387,61 @@ class ParquetStore(Store):
         self._fs(folder).delete(self._path(folder), True)
 
 
+class DocumentStore(ParquetStore):
+    """Records as documents of a collection, rows as Parquet under a root. `client` makes a
+    connection (it can be pickled, so that any process makes its own): an object whose
+    client()[database][collection] has find_one, find, replace_one and delete_one, as public
+    document databases' drivers have."""
+
+    def __init__(self, spark: SparkSession, root: str, client, database: str = "causalframe", collection: str = "datasets"):
+        super().__init__(spark, root)
+        self.client, self.database, self.name = client, database, collection
+
+    @property
+    def _collection(self):
+        return self.client()[self.database][self.name]
+
+    def state(self):
+        return {"type": "document", "root": self.root, "client": self.client, "database": self.database, "collection": self.name}
+
+    def _save(self, folder, record):
+        self._collection.replace_one({"_id": folder}, {"_id": folder, **json.loads(json.dumps(record))}, upsert=True)
+
+    def lookup(self, metadata):
+        found = self._collection.find_one({"_id": self._folder(metadata)})
+        return found and self._record({k: v for k, v in found.items() if k != "_id"})
+
+    def records(self):
+        return [self._record({k: v for k, v in found.items() if k != "_id"}) for found in self._collection.find({})]
+
+    def remove(self, metadata):
+        folder = self._folder(metadata)
+        self._collection.delete_one({"_id": folder})
+        self._fs(folder).delete(self._path(folder), True)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """A new folder for a store that need not last: below the folder that the cluster
-    shares, or a local one where none is set."""
+    shares, or on one machine, where none is set, a local one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("executors of a cluster share no local folder: set spark.checkpoint.dir")
     return f"{shared or tempfile.mkdtemp(prefix='causalframe-')}/store-{uuid.uuid4().hex}"
 
 
+_KINDS: dict[str, Callable[[dict, SparkSession], Store]] = {
+    "memory": lambda state, spark: MemoryStore(),
+    "parquet": lambda state, spark: ParquetStore(spark, state["root"]),
+    "document": lambda state, spark: DocumentStore(spark, state["root"], state["client"], state["database"], state["collection"]),
+}
+
+
+def register_store(kind: str, make: Callable[[dict, SparkSession], Store]) -> None:
+    """Makes create_store know the states of another kind of store."""
+    _KINDS[kind] = make
+
+
 def create_store(state: dict, spark: SparkSession) -> Store:
-    if state["type"] == "memory":
-        return MemoryStore()
-    if state["type"] == "parquet":
-        return ParquetStore(spark, state["root"])
-    raise ValueError(f"unknown store type {state['type']!r}")
+    if state["type"] not in _KINDS:
+        raise ValueError(f"unknown store type {state['type']!r}")
+    return _KINDS[state["type"]](state, spark)

@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 
 from causalframe.sources.dataset import Dataset, Metadata
-from causalframe.sources.store import MemoryStore, ParquetStore, create_store
+from causalframe.sources import store as stores
+from causalframe.sources.store import DocumentStore, MemoryStore, ParquetStore, create_store, register_store
 from causalframe.time import TimeRange, timestamp
 
 T0 = datetime(2021, 1, 1)
@@ -13,9 +14,38 @@ def at(n):
     return timestamp(T0 + timedelta(days=n))
 
 
-@pytest.fixture(params=["memory", "parquet"])
+class FakeCollection:
+    def __init__(self):
+        self.rows = {}
+
+    def find_one(self, query):
+        return self.rows.get(query["_id"])
+
+    def find(self, query):
+        return list(self.rows.values())
+
+    def replace_one(self, query, row, upsert):
+        assert upsert
+        self.rows[query["_id"]] = row
+
+    def delete_one(self, query):
+        self.rows.pop(query["_id"], None)
+
+
+class FakeClient:
+    """One database, as all connections of a test see it."""
+
+    def __init__(self):
+        self.collection = FakeCollection()
+
+    def __call__(self):
+        return {"causalframe": {"datasets": self.collection}}
+
+
+@pytest.fixture(params=["memory", "parquet", "document"])
 def store(request, spark, tmp_path):
-    return MemoryStore() if request.param == "memory" else ParquetStore(spark, f"file://{tmp_path}/store")
+    root = f"file://{tmp_path}/store"
+    return {"memory": MemoryStore, "parquet": lambda: ParquetStore(spark, root), "document": lambda: DocumentStore(spark, root, FakeClient())}[request.param]()
 
 
 def rows(spark, first, n, value=1.0, columns=("A", "B")):
@@ -122,6 +152,38 @@ def test_state(spark, tmp_path):
     assert isinstance(create_store(MemoryStore().state(), spark), MemoryStore)
     with pytest.raises(ValueError):
         create_store({"type": "other"}, spark)
+    register_store("other", lambda state, spark: MemoryStore())
+    assert isinstance(create_store({"type": "other"}, spark), MemoryStore)
+    client = FakeClient()
+    document = DocumentStore(spark, str(tmp_path), client)
+    meta(document).replace(rows(spark, 0, 2), TimeRange(at(0), at(2)))
+    again = create_store(document.state(), spark)
+    assert again.read(meta(again)).count() == 2
+
+
+def test_merge_writes_the_days_it_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "MOST_SNAPSHOTS", 3)
+    store = ParquetStore(spark, f"file://{tmp_path}/s")
+    m = meta(store)
+    m.append(rows(spark, 0, 10), TimeRange(at(0), at(10)))
+    before = m.read()
+    new = rows(spark, 4, 2, 5.0, ("C",))
+    m.merge(new, TimeRange(at(4), at(6)))
+    folder = tmp_path / "s" / "no_version"
+    (own,) = folder.iterdir()
+    names = sorted(p.name for p in own.glob("_snapshot=*"))
+    assert sorted(len(list((own / n).glob("_day=*"))) for n in names) == [2, 10]
+    # What was read before the merge is still there.
+    assert before.count() == 10 and m.read().count() == 10
+    assert [(r.A, r.C) for r in m.read(TimeRange(at(3), at(7))).orderBy("ts").collect()] == [(1.0, None), (1.0, 5.0), (1.0, 5.0), (1.0, None)]
+    for k in range(8):
+        m.merge(rows(spark, 4 + k, 2, 6.0 + k, ("D",)), TimeRange(at(4), at(20)))
+        assert len(store.lookup(m)["snapshots"]) <= 3
+    got = {r.ts.day - 1: (r.A, r.C, r.D) for r in m.read().collect()}
+    assert got[4] == (1.0, 5.0, 6.0) and got[5] == (1.0, 5.0, 6.0) and got[6] == (1.0, None, 7.0) and got[12] == (None, None, 13.0) and len(got) == 13
+    for k in range(2):
+        m.append(rows(spark, 30 + k, 1), TimeRange(at(0), at(40)))
+    assert m.read().count() == 15 and len(list(own.glob("_snapshot=*"))) <= 7
 
 
 def test_ranges_prune_days(spark, tmp_path):
