@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causalframe.operators.windows import Keys, alpha_from_span, bfill, diff, ewm_volatility, ffill, momentum, ordered
+from causalframe.time import TimeRange, utc_wall
 
 
 class ReturnType(str, Enum):
@@ -76,9 +78,30 @@ def brownian_returns(spark: SparkSession, rows: int, assets: list[str], seed: in
     return spark.range(rows).select(F.col("id").alias("i"), names.alias("asset")).withColumn("ret", F.randn(seed))
 
 
+def rebased(df: DataFrame, column: str, keys: Keys = (), out: str = "price") -> DataFrame:
+    """Moves each key's series so that its smallest value is 1."""
+    return df.withColumn(out, F.col(column) - F.min(column).over(Window.partitionBy(*keys)) + 1)
+
+
+def market_data(spark: SparkSession, tickers: list[str], time_range: TimeRange, pull: Callable, columns: str = "price double") -> DataFrame:
+    """A leaf: what pull(ticker, start, end) gives for each ticker, a pandas frame with ts (UTC
+    wall time) and these columns. Tickers are pulled on the executors, each in a task."""
+    start, end = utc_wall(time_range.start), utc_wall(time_range.end)
+    names = [c.split()[0] for c in columns.split(",")]
+
+    def run(frames):
+        for pdf in frames:
+            for ticker in pdf["ticker"]:
+                found = pull(ticker, start, end)
+                yield found[(found["ts"] >= start) & (found["ts"] < end)].assign(ticker=ticker)[["ticker", "ts", *names]]
+
+    one_each = spark.createDataFrame([(t,) for t in tickers], "ticker string").repartition(max(len(tickers), 1), "ticker")
+    return one_each.mapInPandas(run, f"ticker string, ts timestamp_ntz, {columns}")
+
+
 def brownian_prices(spark: SparkSession, rows: int, vols: dict[str, float], seed: int = 0) -> DataFrame:
     """Random walks whose smallest price is 1: i, asset, price."""
     vol = F.create_map(*[F.lit(x) for kv in vols.items() for x in kv])[F.col("asset")]
     walk = F.sum(F.col("ret") * vol).over(Window.partitionBy("asset").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     df = brownian_returns(spark, rows, list(vols), seed).withColumn("walk", walk)
-    return df.select("i", "asset", (F.col("walk") - F.min("walk").over(Window.partitionBy("asset")) + 1).alias("price"))
+    return rebased(df, "walk", ["asset"]).select("i", "asset", "price")

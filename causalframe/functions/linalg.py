@@ -17,13 +17,13 @@ def strict_sum(x: str | Column) -> Column:
 
 
 def hadamard(left: DataFrame, right: DataFrame, ids: list[str]) -> DataFrame:
-    """Element by element. Vectors of one id must have the same columns."""
-    r = right.select(*ids, "col", F.col("v").alias("__r"))
-    both = left.withColumn("__l", F.lit(1)).join(r.withColumn("__has", F.lit(1)), [*ids, "col"], "full_outer")
-    odd = both.where("__l is null or __has is null").head(1)
-    if odd:
-        raise ValueError(f"the vectors have different columns: {odd[0]['col']}")
-    return both.select(*ids, "col", (F.col("v") * F.col("__r")).alias("v"))
+    """Element by element. Vectors of one id must have the same columns: a row that only one
+    side has fails the query, in the same pass that multiplies."""
+    r = right.select(*ids, "col", F.col("v").alias("__r"), F.lit(1).alias("__has"))
+    both = left.withColumn("__l", F.lit(1)).join(r, [*ids, "col"], "full_outer")
+    odd = F.concat(F.lit("the vectors have different columns: "), F.col("col").cast("string"))
+    product = F.col("v") * F.col("__r")
+    return both.select(*ids, "col", F.when(F.col("__l").isNull() | F.col("__has").isNull(), F.raise_error(odd).cast("double")).otherwise(product).alias("v"))
 
 
 def dot(left: DataFrame, right: DataFrame, ids: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -222,6 +223,137 @@ class LinearEstimator(Transformer):
         return Bivariate(data.x, data.x.select(*self.by, *out))
 
 
+class Estimator(Transformer):
+    """Any estimator with fit(X, y) and predict(X) on pandas frames; predictions replace y and
+    have its columns. It is fitted in one task of an executor, as such estimators need all
+    rows at once; predictions are made in Arrow batches wherever the rows are."""
+
+    def __init__(self, estimator, x_cols: list[str], y_cols: list[str], by: list[str]):
+        self.estimator, self.x_cols, self.y_cols, self.by, self.fitted = estimator, x_cols, y_cols, by, None
+
+    def fit(self, data):
+        import pandas as pd
+
+        estimator, x_cols, y_cols, by = self.estimator, self.x_cols, self.y_cols, self.by
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(by)
+            own = copy.deepcopy(estimator)
+            own.fit(pdf[x_cols], pdf[y_cols[0]] if len(y_cols) == 1 else pdf[y_cols])
+            return pd.DataFrame({"model": [pickle.dumps(own)]})
+
+        rows = data.x.select(*by, *x_cols).join(data.y.select(*by, *y_cols), by)
+        self.fitted = rows.groupBy().applyInPandas(run, "model binary").first()["model"]
+        return self
+
+    def transform(self, data):
+        if self.fitted is None:
+            raise ValueError("the estimator has not been fitted")
+        fitted, x_cols, y_cols, by = self.fitted, self.x_cols, self.y_cols, self.by
+
+        def run(frames):
+            import numpy as np
+
+            own = pickle.loads(fitted)
+            for pdf in frames:
+                found = np.asarray(own.predict(pdf[x_cols]), float)
+                found = found.reshape(len(pdf), -1)
+                if found.shape[1] != len(y_cols):
+                    raise ValueError(f"predictions have {found.shape[1]} columns, not {len(y_cols)}")
+                out = pdf[by].copy()
+                out[y_cols] = found
+                yield out
+
+        kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in data.x.select(*by).schema.fields), *(f"`{c}` double" for c in y_cols)])
+        return Bivariate(data.x, data.x.select(*by, *x_cols).mapInPandas(run, kinds))
+
+
+class LocalPipeline:
+    """Steps in order on the pandas frames (x, y) of one batch: objects with fit(x, y) and
+    transform(x, y) -> (x, y), such as `Scale` and `Fitted`."""
+
+    def __init__(self, steps: list):
+        self.steps = steps
+
+    def fit(self, x, y) -> LocalPipeline:
+        for step in self.steps:
+            step.fit(x, y)
+            x, y = step.transform(x, y)
+        return self
+
+    def transform(self, x, y=None):
+        for step in self.steps:
+            x, y = step.transform(x, y)
+        return x, y
+
+
+class Scale:
+    """Features without mean, in units of their deviation, both as of the fit."""
+
+    def fit(self, x, y) -> None:
+        self.mean, self.std = x.mean(), x.std(ddof=0).replace(0.0, 1.0)
+
+    def transform(self, x, y):
+        return (x - self.mean) / self.std, y
+
+
+class Fitted:
+    """An estimator with fit(X, y) and predict(X); predictions replace y."""
+
+    def __init__(self, estimator):
+        self.estimator = estimator
+
+    def fit(self, x, y) -> None:
+        self.columns = list(y.columns)
+        self.estimator.fit(x, y[self.columns[0]] if len(self.columns) == 1 else y)
+
+    def transform(self, x, y):
+        import numpy as np
+        import pandas as pd
+
+        found = np.asarray(self.estimator.predict(x), float).reshape(len(x), -1)
+        return x, pd.DataFrame(found, index=x.index, columns=self.columns)
+
+
+class LeastSquares:
+    """Linear regression with a constant, of one or more responses."""
+
+    def fit(self, x, y) -> None:
+        import numpy as np
+
+        self.weights = np.linalg.lstsq(np.column_stack([np.asarray(x, float), np.ones(len(x))]), np.asarray(y, float), rcond=None)[0]
+
+    def predict(self, x):
+        import numpy as np
+
+        return np.column_stack([np.asarray(x, float), np.ones(len(x))]) @ self.weights
+
+
+def fit_pipelines(batches: DataFrame, pipeline: LocalPipeline, x_cols: list[str], y_cols: list[str], on: str = "ts") -> DataFrame:
+    """A copy of the pipeline for each batch, fitted on it: batch, model_ts (the batch's last
+    time), model. Batches are fitted in parallel; the one that is given stays unfitted."""
+
+    def fit(pdf):
+        # Rows whose features or responses are not known yet teach nothing.
+        pdf = pdf.dropna(subset=[*x_cols, *y_cols])
+        return copy.deepcopy(pipeline).fit(pdf[x_cols], pdf[y_cols])
+
+    return fit_models(batches, fit, on)
+
+
+def apply_pipelines(models: DataFrame, data: DataFrame, x_cols: list[str], y_cols: list[str], contemp: bool = False, on: str = "ts") -> DataFrame:
+    """Every data row with the predictions of the newest pipeline before it: on, model_ts and
+    y_cols. Rows before the first go."""
+    applied = apply_models(models, data.select(on, *x_cols), contemp, on, values=["model"])
+
+    def predict(model: LocalPipeline, pdf):
+        out = pdf[[on, "model_ts"]].reset_index(drop=True)
+        out[y_cols] = model.transform(pdf[x_cols].reset_index(drop=True))[1][y_cols]
+        return out
+
+    return apply_pickled(applied, predict, ", ".join([f"`{on}` timestamp_ntz", "model_ts timestamp_ntz", *(f"`{c}` double" for c in y_cols)]))
+
+
 class Pipeline(Transformer):
     """Steps in order."""
 

@@ -186,28 +186,6 @@ def momentum(df: DataFrame, column: str, horizons: list[tuple[float, float, str]
     return _unblocked(df).drop("__ff", "__move", "__vol", *[f"__m{i}" for i in range(len(means))])
 
 
-def ewma_exact(df: DataFrame, column: str, span: float, out: str, keys: Keys, on: str = "ts") -> DataFrame:
-    """The same by its recurrence, in sorted Arrow batches of each key: for checks, or
-    series so sparse that whole blocks are null."""
-    import pyarrow as pa
-
-    least, decay = math.ceil(3 * span), 1 - alpha_from_span(span)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(table):
-        table = table.sort_by(on)
-        num = den = 0.0
-        n, values = 0, []
-        for x in table.column(column).to_pylist():
-            num, den = num * decay, den * decay
-            if x is not None:
-                num, den, n = num + x, den + 1, n + 1
-            values.append(num / den if n >= least and den > 0 else None)
-        return table.append_column(out, pa.array(values, pa.float64()))
-
-    return df.groupBy(*keys).applyInArrow(run, f"{kinds}, `{out}` double")
-
-
 def rows_between(df: DataFrame, start: int, end: int, keys: Keys, on: str = "ts") -> DataFrame:
     """Rows start to end - 1 of each key, counted from 0 in order of time."""
     return df.withColumn("__r", F.row_number().over(ordered(keys, on)) - 1).where(f"__r >= {start} and __r < {end}").drop("__r")

@@ -17,7 +17,7 @@ from causalframe.functions import fin, linalg
 from causalframe.operators import ml, reshape, stats
 from causalframe.operators import windows as win
 from causalframe.operators.asof import causal_broadcast, causal_match, causal_resample
-from causalframe.time import TimeOfDay, TimeRange, timestamp
+from causalframe.time import Interval, TimeOfDay, TimeRange, timestamp, utc_wall
 from causalframe.timeframe import dropna, fillna, mask
 
 QUERIES: dict = {}
@@ -76,7 +76,8 @@ def range_view(spark, sf_dir):
 
 @query("SELECT min(ts) AS first_ts, max(ts) + INTERVAL 1 MICROSECOND AS end_ts FROM events")
 def range_from_data(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.min("ts").alias("first_ts"), (F.max("ts") + F.expr("INTERVAL '0.000001' SECOND")).alias("end_ts"))
+    found = TimeRange.of(table(spark, sf_dir, "events"), "ts")
+    return spark.createDataFrame([(utc_wall(found.start), utc_wall(found.end))], "first_ts timestamp_ntz, end_ts timestamp_ntz")
 
 
 def _span_sql(kind: str) -> str:
@@ -84,21 +85,21 @@ def _span_sql(kind: str) -> str:
 
 
 @query(
-    f"""SELECT a.user_id, a.s < b.e AND b.s < a.e AS intersects, a.s <= b.s AND b.e <= a.e AS contains,
- greatest(a.s, b.s) AS both_start, least(a.e, b.e) AS both_end, least(a.s, b.s) AS either_start, greatest(a.e, b.e) AS either_end
+    f"""SELECT a.user_id, a.s < b.e AND b.s < a.e AS intersects, a.s <= b.s AND b.e <= a.e AS contains, a.s <= b.s AND b.s < a.e AS holds_start,
+ CASE WHEN a.s < b.e AND b.s < a.e THEN greatest(a.s, b.s) END AS both_start, CASE WHEN a.s < b.e AND b.s < a.e THEN least(a.e, b.e) END AS both_end,
+ CASE WHEN a.s < b.e AND b.s < a.e THEN least(a.s, b.s) END AS either_start, CASE WHEN a.s < b.e AND b.s < a.e THEN greatest(a.e, b.e) END AS either_end
 FROM {_span_sql("view")} a JOIN {_span_sql("error")} b ON a.user_id = b.user_id"""
 )
 def interval_algebra(spark, sf_dir):
     """Every user's range of views against the range of errors."""
     e = table(spark, sf_dir, "events")
-    spans = (F.min("ts").alias("s"), (F.max("ts") + F.expr("INTERVAL '0.000001' SECOND")).alias("e"))
-    a, b = (e.where(F.col("event_type") == t).groupBy("user_id").agg(*spans).alias(n) for t, n in (("view", "a"), ("error", "b")))
+    span = Interval.spanned("ts")
+    a, b = (e.where(F.col("event_type") == t).groupBy("user_id").agg(span.start.alias("s"), span.end.alias("e")).alias(n) for t, n in (("view", "a"), ("error", "b")))
+    x, y = (Interval(F.col(f"{n}.s"), F.col(f"{n}.e")) for n in "ab")
+    both, either = x.intersection(y), x.union(y)
     return a.join(b, "user_id").select(
-        "user_id",
-        ((F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e"))).alias("intersects"),
-        ((F.col("a.s") <= F.col("b.s")) & (F.col("b.e") <= F.col("a.e"))).alias("contains"),
-        F.greatest("a.s", "b.s").alias("both_start"), F.least("a.e", "b.e").alias("both_end"),
-        F.least("a.s", "b.s").alias("either_start"), F.greatest("a.e", "b.e").alias("either_end"),
+        "user_id", x.intersects(y).alias("intersects"), x.contains(y).alias("contains"), x.holds(y.start).alias("holds_start"),
+        both.start.alias("both_start"), both.end.alias("both_end"), either.start.alias("either_start"), either.end.alias("either_end"),
     )
 
 
@@ -258,11 +259,11 @@ def calendar_union(spark, sf_dir):
 
 
 @query(
-    """SELECT ts FROM generate_series(TIMESTAMP '2024-01-05 00:00:00', TIMESTAMP '2024-01-06 23:00:00', INTERVAL 1 HOUR) t(ts)
+    """SELECT ts FROM generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR) t(ts)
 WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error' AND date_trunc('hour', e.ts) = t.ts)"""
 )
 def calendar_missing_points(spark, sf_dir):
-    points = OffsetCalendar(timedelta(hours=1)).to_df(spark, TimeRange(timestamp("2024-01-05"), timestamp("2024-01-07")))
+    points = OffsetCalendar(timedelta(hours=1)).to_df(spark, TimeRange(timestamp("2024-01-01"), timestamp("2024-02-01")))
     return missing_points(points, hourly(spark, sf_dir).where("event_type = 'error'"))
 
 
@@ -333,11 +334,6 @@ def ewma_span10(spark, sf_dir):
     return rounded(win.ewma(hourly_gaps(spark, sf_dir), "v", 10, "v", KEY), "v")
 
 
-@query(f"WITH {_HR} SELECT event_type, ts, round({_ewma_sql('v', 10, 'r')}, 4) AS v FROM r")
-def ewma_recurrence(spark, sf_dir):
-    return rounded(win.ewma_exact(hourly_gaps(spark, sf_dir), "v", 10, "e", KEY).select(*KEY, "ts", F.col("e").alias("v")), "v")
-
-
 @query(f"WITH {_HR} SELECT event_type, ts, round(sqrt({_ewma_sql('sq', 8, 'r2')}), 4) AS vol FROM r2")
 def ewm_vol(spark, sf_dir):
     df = win.ewm_volatility(hourly_gaps(spark, sf_dir), "v", 8, "vol", KEY)
@@ -425,13 +421,14 @@ def rows_slice(spark, sf_dir):
 
 # ------------------------------------------------------------------------- upserts
 _OLD = "old AS (SELECT event_id, ts, CASE WHEN value <= 60 THEN value END AS value FROM events WHERE ts < TIMESTAMP '2024-01-16')"
-_NEW = "new AS (SELECT event_id, ts, value, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-14' AND ts < TIMESTAMP '2024-01-20')"
+_NEW = "new AS (SELECT event_id, ts, value, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-14')"
+NEW_RANGE = TimeRange(timestamp("2024-01-14"), timestamp("2024-02-01"))
 
 
 def _old_new(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     old = mask(TimeRange(None, timestamp("2024-01-16")).view(e, "ts").select("event_id", "ts", "value"), "value", F.col("value") <= 60)
-    return old, TimeRange(timestamp("2024-01-14"), timestamp("2024-01-20")).view(e, "ts").select("event_id", "ts", "value", "event_type")
+    return old, TimeRange(NEW_RANGE.start, None).view(e, "ts").select("event_id", "ts", "value", "event_type")
 
 
 @query(f"WITH {_OLD}, {_NEW} SELECT event_id, ts, value, NULL::VARCHAR AS event_type FROM old UNION ALL SELECT event_id, ts, value, event_type FROM new WHERE ts > (SELECT max(ts) FROM old)")
@@ -442,7 +439,7 @@ def append_new_rows(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     first = Dataset.build("events", old, store=MemoryStore())
     first.metadata.store.replace(first)
-    first.metadata.append(new, TimeRange(timestamp("2024-01-14"), timestamp("2024-01-20")))
+    first.metadata.append(new, NEW_RANGE)
     return first.metadata.read()
 
 
@@ -455,7 +452,7 @@ def append_parquet_store(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     first = Dataset.build("events", old, store=ParquetStore(spark, scratch_root(spark)))
     first.metadata.store.replace(first)
-    first.metadata.append(new, TimeRange(timestamp("2024-01-14"), timestamp("2024-01-20")))
+    first.metadata.append(new, NEW_RANGE)
     return first.metadata.read()
 
 
@@ -468,7 +465,7 @@ def read_parquet_range(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     first = Dataset.build("events", old, store=ParquetStore(spark, scratch_root(spark)))
     first.metadata.store.replace(first)
-    first.metadata.append(new, TimeRange(timestamp("2024-01-14"), timestamp("2024-01-20")))
+    first.metadata.append(new, NEW_RANGE)
     return first.metadata.read(TimeRange(timestamp("2024-01-10"), timestamp("2024-01-18")))
 
 
@@ -486,60 +483,10 @@ def replace_latest(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     first = Dataset.build("events", old, store=MemoryStore())
     first.metadata.store.replace(first)
-    first.metadata.replace(new, TimeRange(timestamp("2024-01-14"), timestamp("2024-01-20")))
+    first.metadata.replace(new, NEW_RANGE)
     return first.metadata.read()
 
 
-# ------------------------------------------------------------------ catalog queries
-_CATALOG = "(VALUES ('raw', 'v1', 1.0, NULL), ('raw', 'v1', 2.0, NULL), ('clean', 'v1', 1.0, 'raw1'), ('clean', 'v1', 2.0, 'raw2'), ('signal', 'v2', 1.0, 'clean1')) c(name, version, foo, parent)"
-
-
-def _small_catalog(spark):
-    from causalframe.sources.dataset import Metadata
-    from causalframe.sources.store import MemoryStore
-
-    store = MemoryStore()
-    raw = {f: Metadata("raw", {"foo": f}, version="v1", store=store) for f in (1.0, 2.0)}
-    clean = {f: Metadata("clean", {"foo": f}, {"raw": raw[f]}, "v1", store=store) for f in (1.0, 2.0)}
-    signal = Metadata("signal", {"foo": 1.0}, {"clean": clean[1.0]}, "v2", store=store)
-    data = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01' AS ts, 1.0D AS v")
-    for m in (*raw.values(), *clean.values(), signal):
-        m.replace(data, TimeRange(timestamp("2024-01-01"), timestamp("2024-01-02")))
-    return store, raw, clean, signal
-
-
-@query("SELECT 'clean' AS name, 2.0::DOUBLE AS foo")
-def catalog_scan_params(spark, sf_dir):
-    store, *_ = _small_catalog(spark)
-    return spark.createDataFrame([(m.name, m.params["foo"]) for m in store.scan("clean", {"raw.foo": 2.0})], "name string, foo double")
-
-
-@query(f"SELECT DISTINCT name FROM {_CATALOG} WHERE regexp_matches(name, '^(?:r|s)')")
-def catalog_find(spark, sf_dir):
-    store, *_ = _small_catalog(spark)
-    return spark.createDataFrame([(n,) for n in store.find("r|s")], "name string")
-
-
-@query(f"SELECT name, version FROM {_CATALOG} WHERE parent = 'raw1'")
-def catalog_successors(spark, sf_dir):
-    store, raw, *_ = _small_catalog(spark)
-    datasets, edges = store.catalog(spark)
-    return datasets.join(edges.where(F.col("parent_hash") == raw[1.0].hash), F.col("hash") == F.col("child_hash"), "left_semi").select("name", "version")
-
-
-@query("WITH RECURSIVE c(name, parent) AS (VALUES ('raw', NULL), ('clean', 'raw'), ('signal', 'clean')), up(name) AS (SELECT 'raw' UNION SELECT c.name FROM c JOIN up ON c.parent = up.name) SELECT name FROM up")
-def catalog_closure(spark, sf_dir):
-    """All that is made of one dataset, itself included: a recursive query over the edges."""
-    store, raw, *_ = _small_catalog(spark)
-    datasets, edges = store.catalog(spark)
-    datasets.createOrReplaceTempView("cf_datasets")
-    edges.createOrReplaceTempView("cf_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE up(hash) AS (SELECT {raw[1.0].hash} UNION ALL SELECT e.child_hash FROM cf_edges e JOIN up ON e.parent_hash = up.hash)
-        SELECT DISTINCT d.name FROM cf_datasets d LEFT SEMI JOIN up ON d.hash = up.hash"""
-    )
-
-
 # ------------------------------------------------------------------ shape, set algebra
 @query("SELECT l_orderkey, l_linenumber, variable, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem) ON q, d, t INTO NAME variable VALUE value)")
 def unpivot_long(spark, sf_dir):
@@ -547,11 +494,12 @@ def unpivot_long(spark, sf_dir):
     return reshape.stack(df, ["l_orderkey", "l_linenumber"], ["q", "d", "t"])
 
 
-@query(f"WITH {H_SQL} SELECT ts, round(max(v) FILTER (event_type = 'click'), 4) AS click, round(max(v) FILTER (event_type = 'error'), 4) AS error, round(max(v) FILTER (event_type = 'view'), 4) AS view FROM h WHERE event_type IN ('click', 'error', 'view') GROUP BY ts")
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"WITH {H_SQL} SELECT ts, " + ", ".join(f"round(max(v) FILTER (event_type = '{k}'), 4) AS {k}" for k in KINDS) + " FROM h GROUP BY ts")
 def pivot_wide(spark, sf_dir):
-    names = ["click", "error", "view"]
-    df = hourly(spark, sf_dir).where(F.col("event_type").isin(names))
-    return rounded(reshape.unstack(df, ["ts"], "event_type", "v", names), *names)
+    return rounded(reshape.unstack(hourly(spark, sf_dir), ["ts"], "event_type", "v", KINDS), *KINDS)
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS price, NULL::DOUBLE AS bal FROM orders UNION ALL SELECT c_custkey, NULL, c_acctbal FROM customer")
@@ -591,11 +539,10 @@ def index_aligned_minus(spark, sf_dir):
     return rounded(reshape.outer_arithmetic(o, li, ["ts"], "x", lambda a, b: a - b), "x", digits=2)
 
 
-@query(f"WITH {H_SQL}, a AS (SELECT ts, v AS a FROM h WHERE event_type = 'click'), b AS (SELECT ts, v AS b FROM h WHERE event_type = 'error') SELECT coalesce(a.ts, b.ts) AS ts, round(a, 4) AS a, round(b, 4) AS b FROM a FULL JOIN b ON a.ts = b.ts")
+@query(f"WITH {H_SQL} SELECT ts, " + ", ".join(f"round(max(v) FILTER (event_type = '{k}'), 4) AS {k}" for k in KINDS) + " FROM h GROUP BY ts")
 def concat_columns(spark, sf_dir):
     h = hourly(spark, sf_dir)
-    a, b = (h.where(F.col("event_type") == t).select("ts", F.col("v").alias(c)) for t, c in (("click", "a"), ("error", "b")))
-    return rounded(reshape.concat_columns([a, b], ["ts"]), "a", "b")
+    return rounded(reshape.concat_columns([h.where(F.col("event_type") == k).select("ts", F.col("v").alias(k)) for k in KINDS], ["ts"]), *KINDS)
 
 
 @query(f"WITH {HN_SQL}, f AS (SELECT event_type, ts, coalesce(v, 0) AS filled, v FROM hn) SELECT event_type, count(*) AS n, count(v) AS there, round(sum(filled), 3) AS total FROM f GROUP BY ALL")
@@ -776,8 +723,10 @@ def apply_models_strict(spark, sf_dir):
     return _applied(spark, sf_dir, False)
 
 
-# ------------------------------------------------------------------- without an oracle
-@query()
+@query(
+    f"""WITH {_ROLL}, m AS (SELECT max(ts) AS model_ts, quantile_cont(y, 0.5) AS median FROM r GROUP BY batch)
+SELECT f.ts, round(m.median, 6) AS median FROM f ASOF JOIN m ON f.ts > m.model_ts"""
+)
 def walkforward_models(spark, sf_dir):
     """Models of any kind, fitted batch by batch in parallel and applied point in time."""
     import pandas as pd
@@ -785,31 +734,86 @@ def walkforward_models(spark, sf_dir):
     models = ml.fit_models(_batches(spark, sf_dir), lambda pdf: float(pdf["y"].median()))
     x, _ = _daily(spark, sf_dir)
     applied = ml.apply_models(models, x, values=["model"])
-    return ml.apply_pickled(applied, lambda m, pdf: pd.DataFrame({"ts": pdf["ts"], "median": m}), "ts timestamp_ntz, median double")
+    return rounded(ml.apply_pickled(applied, lambda m, pdf: pd.DataFrame({"ts": pdf["ts"], "median": m}), "ts timestamp_ntz, median double"), "median", digits=6)
 
 
-@query()
-def pipeline_linear(spark, sf_dir):
-    """A pipeline of a joint filter and a linear estimator, applied to all days."""
+@query(_apply_sql(">"))
+def walkforward_pipelines(spark, sf_dir):
+    """A pipeline of a scaling and an estimator, a copy of it fitted on every batch."""
+    models = ml.fit_pipelines(_batches(spark, sf_dir), ml.LocalPipeline([ml.Scale(), ml.Fitted(ml.LeastSquares())]), ["x"], ["y"])
+    found = ml.apply_pipelines(models, _daily(spark, sf_dir)[0], ["x"], ["y"])
+    return rounded(found.withColumnRenamed("y", "prediction"), "prediction")
+
+
+@query(f"WITH {_DAYS} SELECT CAST(0 AS INTEGER) AS batch, max(ts) AS model_ts, round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 4) AS intercept, CAST(regr_count(y, x) AS BIGINT) AS n FROM j")
+def walkforward_all(spark, sf_dir):
+    """Without a window: one batch of all rows."""
     x, y = _daily(spark, sf_dir)
-    steps = [ml.Joint(lambda a, b: (a.na.drop(), b.na.drop())), ml.LinearEstimator(["x"], ["y"], ["ts"])]
-    return ml.Pipeline(steps).fit_transform(ml.Bivariate(x, y)).y
+    return rounded(ml.fit_ols(ml.walk_forward(x, y, None, check=False), "x", "y"), "slope", "intercept")
+
+
+_LINE = f"WITH {_DAYS}, d AS (SELECT f.ts, f.x, y.y FROM f JOIN y ON f.ts = y.ts), m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM d WHERE x > 49)"
+
+
+def _steps(spark, sf_dir, last) -> DataFrame:
+    """Univariate and joint steps, then an estimator: fitted on days with x above 49, applied to all."""
+    x, y = _daily(spark, sf_dir)
+    fit_on = ml.Bivariate(x, y)
+    above = ml.Univariate(lambda df, least: df.where(F.col("x") > least), 49, on_y=False)
+    together = ml.Joint(lambda a, b: (a.na.drop(), b.join(a, "ts", "left_semi")))
+    ml.Pipeline([above, together, last]).fit(fit_on)
+    return rounded(ml.Pipeline([last]).transform(ml.Bivariate(x)).y, "y")
+
+
+@query(f"{_LINE} SELECT f.ts, round(a * f.x + b, 4) AS y FROM f, m")
+def pipeline_linear(spark, sf_dir):
+    return _steps(spark, sf_dir, ml.LinearEstimator(["x"], ["y"], ["ts"]))
+
+
+@query(f"{_LINE} SELECT f.ts, round(a * f.x + b, 4) AS y FROM f, m")
+def pipeline_estimator(spark, sf_dir):
+    """The same with an estimator on pandas frames."""
+    return _steps(spark, sf_dir, ml.Estimator(ml.LeastSquares(), ["x"], ["y"], ["ts"]))
 
 
+@query(f"WITH {PX_SQL} SELECT k, ts, round(price - min(price) OVER (PARTITION BY k) + 1, 4) AS price FROM px")
+def rebased_prices(spark, sf_dir):
+    """Every series moved so that its smallest price is 1."""
+    return rounded(fin.rebased(prices(spark, sf_dir), "price", ["k"]), "price")
+
+
+@query("SELECT c_mktsegment AS ticker, d AS ts, length(c_mktsegment) + epoch(d - TIMESTAMP '2024-01-01') / 86400 AS price FROM (SELECT DISTINCT c_mktsegment FROM customer), generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-19', INTERVAL 1 DAY) t(d)")
+def market_data_leaf(spark, sf_dir):
+    """An outside source, one ticker a task; here a formula instead of a service."""
+    import pandas as pd
+
+    def pull(ticker, start, end):
+        days = pd.date_range("2024-01-01", "2024-01-31")
+        return pd.DataFrame({"ts": days, "price": [len(ticker) + float(i) for i in range(len(days))]})
+
+    segments = [r[0] for r in table(spark, sf_dir, "customer").select("c_mktsegment").distinct().collect()]
+    return fin.market_data(spark, segments, TimeRange(timestamp("2024-01-03"), timestamp("2024-01-20")), pull)
+
+
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity <= 40 THEN l_quantity END + l_tax + l_discount, 6) AS s FROM lineitem")
+def row_sum_strict(spark, sf_dir):
+    """Across columns, null if one is."""
+    df = mask(table(spark, sf_dir, "lineitem"), "l_quantity", F.col("l_quantity") <= 40)
+    return rounded(df.select("l_orderkey", "l_linenumber", stats.strict_row_sum(["l_quantity", "l_tax", "l_discount"]).alias("s")), "s", digits=6)
+
+
+@query(f"WITH {_E} SELECT vec_id, i AS col, round(l[i + 1] * r[i + 1], 6) AS v FROM (SELECT *, unnest(range(0, len(l))) AS i FROM e)")
+def vec_hadamard_long(spark, sf_dir):
+    """Long vectors, whose columns must be the same."""
+    df = _arrays(spark, sf_dir)
+    left, right = (df.select("vec_id", F.posexplode(c).alias("col", "v")).withColumn("col", F.col("col").cast("long")) for c in "lr")
+    return rounded(linalg.hadamard(left, right, ["vec_id"]), "v", digits=6)
+
+
+# ------------------------------------------------------------------- without an oracle
 @query()
 def brownian_prices(spark, sf_dir):
     return fin.brownian_prices(spark, 1000, {f"a{i}": 0.1 * 10**i for i in range(3)}, seed=7)
 
 
-@query()
-def task_graph_run(spark, sf_dir):
-    """A leaf calendar and a child that compounds it, run twice: names and states."""
-    from causalframe.plans.examples import interest_graph
-    from causalframe.plans.graph import SingleThreadedRunner
-    from causalframe.sources.store import MemoryStore
-
-    graph = interest_graph(spark, MemoryStore(), datetime(2024, 1, 1), datetime(2024, 2, 1))
-    first = SingleThreadedRunner().run(graph)
-    again = SingleThreadedRunner().run(graph)
-    runs = [(1, first), (2, again)]
-    return reshape.concat_rows([s.to_df(spark).withColumn("run", F.lit(i)) for i, s in runs])
+from causalframe.plans import state_queries  # noqa: E402, F401  stores, catalogs, streams and task graphs

@@ -35,3 +35,20 @@ def assert_call(function: Callable, expect: Any, *args, **kwargs) -> None:
         assert re.search(pattern, str(e)), f"{e} does not match {pattern!r}"
     else:
         raise AssertionError(f"returned {found!r} instead of raising {kind.__name__}")
+
+
+def assert_error_or_return(function: Callable, expect: Any, *args, compare: Callable[[Any, Any], Any] = assert_equal, **kwargs) -> Any:
+    """As assert_call, with a comparison of one's own for what is returned. Gives back the
+    value, or the exception that was raised as expected."""
+    wanted = isinstance(expect, BaseException) or (isinstance(expect, type) and issubclass(expect, BaseException))
+    try:
+        found = function(*args, **kwargs)
+    except Exception as e:
+        kind = expect if isinstance(expect, type) else type(expect)
+        if not wanted or not isinstance(e, kind):
+            raise
+        assert isinstance(expect, type) or re.search(str(expect), str(e)), f"{e} does not match {str(expect)!r}"
+        return e
+    assert not wanted, f"returned {found!r} instead of raising {expect!r}"
+    compare(found, expect)
+    return found

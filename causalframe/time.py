@@ -119,6 +119,39 @@ class TimeRange:
         return TimeRange(timestamp(m[1]), timestamp(m[2]))
 
 
+@dataclass(frozen=True)
+class Interval:
+    """A half-open range of a row, in two columns; `TimeRange` for tables of ranges."""
+
+    start: Column
+    end: Column
+
+    @staticmethod
+    def spanned(column: str | Column) -> Interval:
+        """The range of a group's times: aggregates."""
+        return Interval(F.min(column), F.max(column) + F.expr("INTERVAL '0.000001' SECOND"))
+
+    def intersects(self, other: Interval) -> Column:
+        return (self.start < other.end) & (other.start < self.end)
+
+    def contains(self, other: Interval) -> Column:
+        return (self.start <= other.start) & (other.end <= self.end)
+
+    def holds(self, moment: Column) -> Column:
+        return (self.start <= moment) & (moment < self.end)
+
+    def union(self, other: Interval) -> Interval:
+        """The range from the first start to the last end; null unless they meet."""
+        return self._met(other, F.least(self.start, other.start), F.greatest(self.end, other.end))
+
+    def intersection(self, other: Interval) -> Interval:
+        return self._met(other, F.greatest(self.start, other.start), F.least(self.end, other.end))
+
+    def _met(self, other: Interval, start: Column, end: Column) -> Interval:
+        meets = self.intersects(other)
+        return Interval(F.when(meets, start), F.when(meets, end))
+
+
 @dataclass(frozen=True)
 class TimeOfDay:
     """A wall time in a zone."""

@@ -104,3 +104,21 @@ def test_numbering_by_ranges(spark):
     df = spark.range(5000).selectExpr("timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, 0, pmod(id * 7919, 5000)) as ts", "pmod(id * 7919, 5000) as want")
     rows = ml.numbered(df.repartition(7)).collect()
     assert len(rows) == 5000 and all(r.rn == r.want for r in rows)
+
+
+def test_estimators_and_batch_pipelines(spark):
+    x = frame(spark, [1.0, 2.0, 4.0, 7.0, 11.0, 16.0], "x")
+    y = x.selectExpr("ts", "3 * x + 2 as y", "1 - x as z")
+    step = ml.Estimator(ml.LeastSquares(), ["x"], ["y", "z"], ["ts"])
+    with pytest.raises(ValueError, match="fitted"):
+        step.transform(ml.Bivariate(x))
+    found = {r.ts: (r.y, r.z) for r in step.fit_transform(ml.Bivariate(x, y)).y.collect()}
+    assert found == {r.ts: (pytest.approx(r.y), pytest.approx(r.z)) for r in y.collect()}
+    assert {r.ts for r in pickle.loads(pickle.dumps(step)).transform(ml.Bivariate(x)).y.collect()} == set(found)
+
+    pipeline = ml.LocalPipeline([ml.Scale(), ml.Fitted(ml.LeastSquares())])
+    batches = ml.walk_forward(x, y.withColumn("ts", F.expr("ts + interval 1 hour")), 4, min_periods=3, step_size=1)
+    models = ml.fit_pipelines(batches, pipeline, ["x"], ["y", "z"])
+    assert models.count() == 4 and not hasattr(pipeline.steps[0], "mean")
+    later = ml.apply_pipelines(models, frame(spark, range(20, 23), "x", 6), ["x"], ["y", "z"]).collect()
+    assert [(r.y, r.z) for r in sorted(later, key=lambda r: r.ts)] == [(pytest.approx(3.0 * v + 2), pytest.approx(1.0 - v)) for v in (20, 21, 22)]

@@ -7,6 +7,7 @@ from causalframe.calendars import OffsetCalendar, UnionCalendar
 from causalframe.plans.context import Defaults, GraphContext
 from causalframe.plans.examples import interest_graph
 from causalframe.plans.graph import Graph, GraphStatus, MultiThreadedRunner, SingleThreadedRunner
+from causalframe.plans.scheduler import ScheduledRunner, outcome, scheduled
 from causalframe.plans.tasks import CalendarChecker, Dependency, IrregularChecker
 from causalframe.sources.store import MemoryStore, ParquetStore
 from causalframe.time import TimeRange, timestamp
@@ -139,6 +140,33 @@ def test_runners(spark, threads, fails, complete, failed, blocked):
     assert status.to_df(spark).count() == 4
 
 
+@pytest.mark.parametrize("fails, complete, failed, blocked", [((), 4, 0, 0), (("a",), 0, 1, 3), (("b",), 2, 1, 1)])
+def test_external_scheduler(spark, fails, complete, failed, blocked):
+    graph, (a, b, d, e) = diamond(spark, fails)
+    ran = []
+
+    def build(tasks):
+        """As schedulers do: requirements first, failures are kept, nothing runs twice."""
+        for t in tasks:
+            build(t.requires())
+            if not t.complete() and t.task_id not in ran and all(r.complete() for r in t.requires()):
+                ran.append(t.task_id)
+                try:
+                    t.run()
+                except Boom:
+                    pass
+
+    status = ScheduledRunner(build).run(graph)
+    # A status does not look behind tasks that are complete.
+    assert (len(status.complete), len(status.failed), len(status.has_failed_predecessor)) == (complete if fails else 1, failed, blocked)
+    assert len(ran) == len(set(ran)) == complete + failed
+    (top,) = scheduled(graph)
+    assert top.task == e and [r.task for r in top.requires()] == sorted([b, d], key=lambda t: t.output.name)
+    assert top.task_id == scheduled(diamond(spark)[0])[0].task_id and top.parameters["name"] == "e"
+    if not fails:
+        assert status.complete == {e} and outcome(graph).complete == {e}
+
+
 def test_status_stops_at_complete_tasks(spark):
     graph, (a, b, d, e) = diamond(spark)
     SingleThreadedRunner().run(graph)

@@ -1,6 +1,6 @@
 import pytest
 
-from causalframe.testing import assert_call, assert_equal
+from causalframe.testing import assert_error_or_return, assert_call, assert_equal
 
 
 def test_assertions(spark):
@@ -17,3 +17,19 @@ def test_assertions(spark):
             assert_call(int, expect, "x")
     with pytest.raises(AssertionError):
         assert_call(int, ValueError, "3")
+
+
+def test_error_or_return(spark):
+    assert assert_error_or_return(int, 7, "7") == 7
+    assert isinstance(assert_error_or_return(int, ValueError, "x"), ValueError)
+    assert "literal" in str(assert_error_or_return(int, ValueError("invalid literal"), "x"))
+    seen = []
+    assert_error_or_return(int, 8, "7", compare=lambda a, b: seen.append((a, b)))
+    assert seen == [(7, 8)]
+    assert_error_or_return(lambda: spark.range(2), spark.range(2))
+    for f, expect in ((lambda: int("x"), 7), (lambda: 7, ValueError), (lambda: int("x"), KeyError), (lambda: int("x"), ValueError("other")), (lambda: 7, 8)):
+        try:
+            assert_error_or_return(f, expect)
+        except (AssertionError, ValueError):
+            continue
+        raise AssertionError("nothing was found wrong")

@@ -71,3 +71,26 @@ def test_time_of_day_daylight_saving():
         TimeOfDay.from_str("01:30 America/New_York").on(date(2024, 11, 3))
     with pytest.raises(ValueError):
         TimeOfDay.from_str("25h")
+
+
+def test_intervals_of_rows_are_ranges(spark):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from causalframe.time import Interval, TimeRange, utc_wall
+
+    moments = [datetime(2024, 1, 1) + timedelta(hours=h) for h in range(4)]
+    spans = [(a, b) for a in moments for b in moments if a < b]
+    rows = [(*a, *b) for a in spans for b in spans]
+    df = spark.createDataFrame(rows, "a timestamp_ntz, b timestamp_ntz, c timestamp_ntz, d timestamp_ntz")
+    x, y = Interval(F.col("a"), F.col("b")), Interval(F.col("c"), F.col("d"))
+    both, either = x.intersection(y), x.union(y)
+    found = df.select("*", x.intersects(y).alias("i"), x.contains(y).alias("k"), x.holds(y.start).alias("h"), both.start.alias("s"), both.end.alias("e"), either.start.alias("t"), either.end.alias("f")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        p, q = TimeRange(r.a, r.b), TimeRange(r.c, r.d)
+        meet = p.intersects(q)
+        assert (r.i, r.k, r.h) == (meet, p.contains(q), q.start in p)
+        want = [utc_wall(v) for v in (p.intersection(q).start, p.intersection(q).end, p.union(q).start, p.union(q).end)] if meet else [None] * 4
+        assert [r.s, r.e, r.t, r.f] == want
