@@ -89,7 +89,8 @@ def causal_match(
         carry = carry.select(*parts, "__carry")
         rows = rows.join(carry, _by_all(rows, carry, parts), "left").select(rows[on], *[rows[c] for c in keys], rows[_T], F.coalesce(rows[_M], F.col("__carry")).alias(_M))
     if fill_limit is not None:
-        run = Window.partitionBy(*keys, F.col(f"{_M}.{on}"))
+        # Rows without a match have nothing to fill: they are dealt out by time.
+        run = Window.partitionBy(*keys, F.col(f"{_M}.{on}"), F.when(F.col(_M).isNull(), F.xxhash64(on)))
         others = [F.col(f"{_T}.{c}") for c in target.columns if c != on and c not in keys]
         land = F.min(on).over(run)
         rows = rows.withColumn("__land", land)
