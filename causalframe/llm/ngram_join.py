@@ -12,8 +12,12 @@ a few show. So the first round links the nodes of each group to those few of it
 share most with others, verifies these pairs and merges what they connect. The second
 takes every pair of nodes that share a prefix shingle but not yet a component, as far
 as the filters let them link, and verifies each once. No link between components is
-lost, and no group is expanded into all its pairs unless its members really are
-unconnected.
+lost: in each group the nodes outside its largest component meet the whole group, and
+of two nodes the one with the smaller set must have the shingle early enough to reach
+the threshold with a set of its own size.
+
+A shingle that very many documents have is dealt out over several groups by node; its
+records count as shared without a look at the other groups.
 
 The frequency table has a fixed number of slots; it only orders shingles, so shared
 slots cost work, never results. So does the filter that picks which texts' sets are
@@ -39,7 +43,10 @@ from causalframe.llm.components import components
 SHINGLE_WORDS = 4
 THRESHOLD = 85
 SLOTS_LOG2 = 21
-FILTER_LOG2 = 25
+#: Documents of a slot, beyond four times the mean, for each group that its shingles are dealt over.
+HOT = 100_000
+#: Bytes of input for each group of shingles or nodes.
+GROUP_BYTES = 5 << 19
 #: Bins of a set's hashes for the suffix filter.
 BINS = 256
 
@@ -47,8 +54,9 @@ BINS = 256
 STAR_PAIRS = 4
 
 #: A node is told by 96 bits of its set's digest (hi, lo) and its size n. Places beyond
-#: 65,535 count as that, which only weakens the positional filter.
-_REC = np.dtype([("token", "<u8"), ("hi", "<u8"), ("lo", "<u4"), ("n", "<u4"), ("pos", "<u2")])
+#: 65,535 count as that, which only weakens the positional filter. spread: the number of
+#: groups that the shingle is dealt over.
+_REC = np.dtype([("token", "<u8"), ("hi", "<u8"), ("lo", "<u4"), ("n", "<u4"), ("pos", "<u2"), ("spread", "<u2")])
 _DOC = np.dtype([("doc", "<i8"), ("known", "<i4"), ("n", "<u4"), ("hi", "<u8"), ("lo", "<u4")])
 
 
@@ -93,18 +101,33 @@ def _frequencies(docs: DataFrame, k: int, log2: int) -> np.ndarray:
     mask = U64((1 << log2) - 1)
 
     def run(batches):
-        table = np.zeros(1 << log2, np.uint32)
+        table, waiting, held = np.zeros(1 << log2, np.uint32), [], 0
+
+        def settle() -> None:
+            table[:] += np.bincount(np.concatenate(waiting), minlength=1 << log2).astype(np.uint32)
+            waiting.clear()
+
         for b in common.text_slices(batches):
-            every = np.concatenate([np.zeros(0, U64), *shingle_sets(b.column(1), k)])
-            table += np.bincount((every & mask).astype(np.int64), minlength=1 << log2).astype(np.uint32)
+            waiting += [(s & mask).astype(np.uint32) for s in shingle_sets(b.column(1), k)]
+            held += sum(map(len, waiting[-b.num_rows :]))
+            if held > 1 << log2:
+                settle()
+                held = 0
+        if waiting:
+            settle()
         yield common.table_slices(table)
 
     return common.merge_tables(common.map_arrow(docs, run, "part int, blob binary"), "uint32", "add")
 
 
 def _dealt(r: np.ndarray, by: str, buckets: int) -> list[tuple]:
-    """Records by bucket of one of their fields, packed."""
-    home = (common.mix(r[by]) % U64(buckets)).astype(np.int32)
+    """Records by bucket of one of their fields, packed. A shingle that is spread out has a
+    bucket for each remainder of its nodes."""
+    value = r[by]
+    if by == "token" and len(r) and r["spread"].max() > 1:
+        with np.errstate(over="ignore"):
+            value = value + (common.mix(r["hi"]) % r["spread"].astype(U64)) * common.K1
+    home = (common.mix(value) % U64(buckets)).astype(np.int32)
     order = np.argsort(home, kind="stable")
     edges = np.searchsorted(home[order], np.arange(buckets + 1))
     return [(i, 0, r[order[a:b]].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
@@ -125,7 +148,8 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, list[tuple]]:
 
 
 def _shared(r: np.ndarray) -> np.ndarray:
-    """Records of shingles that at least two nodes have, each node once, by shingle and size."""
+    """Records of shingles that at least two nodes have, or that are spread out, each node
+    once, by shingle and size."""
     r = r[np.lexsort((r["lo"], r["hi"], r["n"], r["token"]))]
     if len(r) < 2:
         return r[:0]
@@ -133,7 +157,7 @@ def _shared(r: np.ndarray) -> np.ndarray:
     again = same & (r["hi"][1:] == r["hi"][:-1]) & (r["lo"][1:] == r["lo"][:-1]) & (r["n"][1:] == r["n"][:-1])
     r = r[np.concatenate([[True], ~again])]
     same = np.concatenate([[False], r["token"][1:] == r["token"][:-1], [False]])
-    return r[same[1:] | same[:-1]]
+    return r[same[1:] | same[:-1] | (r["spread"] > 1)]
 
 
 def _by_node(buckets: int):
@@ -163,6 +187,7 @@ def _by_shingle(t: int, buckets: int):
 def _prefixes(docs: DataFrame, frequency: np.ndarray, k: int, t: int, buckets: int) -> DataFrame:
     """Packed prefix records by bucket of shingle, and packed documents."""
     mask = U64(len(frequency) - 1)
+    hot = HOT + 4 * int(frequency.mean())
 
     def blobs(parts: list, records: list) -> pa.RecordBatch:
         rows = _dealt(np.concatenate(parts), "token", buckets) if parts else []
@@ -188,6 +213,7 @@ def _prefixes(docs: DataFrame, frequency: np.ndarray, k: int, t: int, buckets: i
                 rarest = np.lexsort((s, f))[:p]
                 r = np.empty(p, _REC)
                 r["token"], r["hi"], r["lo"], r["n"], r["pos"] = s[rarest], hi, lo, n, np.minimum(np.arange(p), 65535)
+                r["spread"] = np.where(f[rarest] > hot, np.minimum(1 + f[rarest] // HOT, 65535), 1)
                 parts.append(r)
                 held += p
             if held > 400_000:
@@ -266,12 +292,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 
 def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of shingles that two components still share, with their roots."""
+    """Members of shingles that two components still share, with their roots and the root
+    that most of the shingle's members have (top)."""
     if roots is None:
-        return members.withColumn("root", F.col("u"))
-    known = members.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    apart = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    return known.join(apart, "token", "left_semi")
+        known = members.withColumn("root", F.col("u"))
+    else:
+        known = members.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    each = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+    apart = each.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("t")).where("roots > 1").select("token", F.col("t.root").alias("top"))
+    return known.join(apart, "token")
 
 
 def _long_enough(t: int) -> Column:
@@ -302,21 +331,33 @@ def _star_pairs(members: DataFrame, t: int) -> DataFrame:
     return _fewest(pairs.select("a", F.col("u").alias("b"), "a_n", F.col("n").alias("b_n"), "rank"), t)
 
 
-def _all_pairs(members: DataFrame, roots: DataFrame | None, t: int) -> DataFrame:
+def _all_pairs(spark: SparkSession, members: DataFrame, roots: DataFrame | None, t: int) -> DataFrame:
     """Every pair of nodes in two components that a shingle of both prefixes, their sizes
-    and its places in them let link. What the filters refuse is no row of the join."""
-    left = _with_roots(members, roots)
-    x, y = (left.select("token", F.col("u").alias(c), F.col("n").alias(f"{c}_n"), F.col("pos").alias(f"{c}_pos"), F.col("root").alias(f"{c}_root")) for c in "ab")
+    and its places in them let link. What the filters refuse is no row of the join.
+
+    At least one node of a pair is outside the shingle's largest component, so those meet
+    all: a component of any size costs its shingles' strays times its size, not its square.
+    The smaller set of a pair (small) needs as much behind the shingle as it would have to
+    share with a set of its own size, which ends its prefix early."""
+    # Stored, so that the joins deal both sides out anew and can split a frequent shingle.
+    left = common.store(spark, _with_roots(members, roots).select("token", "u", "n", "pos", "root", "top"), "apart")
+    stray, small = F.col("root") != F.col("top"), F.col("n") - F.col("pos") >= F.ceil(2 * t * F.col("n") / F.lit(100 + t))
+    x, y = (left.select("token", F.col("u").alias(c), F.col("n").alias(f"{c}_n"), F.col("pos").alias(f"{c}_pos"), F.col("root").alias(f"{c}_root"), stray.alias(f"{c}_stray"), small.alias(f"{c}_small")) for c in "ab")
     most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    return x.join(y, "token").where((F.col("a_root") < F.col("b_root")) & _long_enough(t) & (most >= _need(t))).select("a", "b", "a_n", "b_n").distinct()
+    fits = (F.col("a_root") != F.col("b_root")) & _long_enough(t) & (most >= _need(t))
+    # a is the smaller one, of equal sizes the lesser node; first a stray, then b alone.
+    smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    x = x.where("a_small")
+    pairs = x.where("a_stray").join(y, "token").unionByName(x.where("not a_stray").join(y.where("b_stray"), "token"))
+    return pairs.where(fits & smaller).select("a", "b", "a_n", "b_n").distinct()
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id (the
     smallest doc_id that links of at least threshold / 100 reach)."""
     width = common.tune(spark)
-    buckets = 4 * width
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    buckets = common.groups(docs, width, GROUP_BYTES)
     frequency = _frequencies(docs, k, SLOTS_LOG2)
     dealt = common.apply_arrow(_prefixes(docs, frequency, k, threshold, buckets), "bucket", _by_node(buckets), _BLOB)
     dealt = common.apply_arrow(dealt, "bucket", _by_shingle(threshold, buckets), _BLOB)
@@ -326,12 +367,12 @@ def ngram_join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, thr
 
     roots = None
     if members.head(1):
-        wanted = common.bloom_of(base.where("kind = 'g'"), ["hi"], FILTER_LOG2)
+        wanted = common.bloom_of(base.where("kind = 'g'"), ["hi"], common.filter_log2(docs, 0.06))
         sets = common.store(spark, _sets(docs, wanted, k), "sets")
         members = common.store(spark, _scored(spark, members), "members")
         links = None
         for first in (True, False):
-            pairs = _star_pairs(members, threshold) if first else _all_pairs(members, roots, threshold)
+            pairs = _star_pairs(members, threshold) if first else _all_pairs(spark, members, roots, threshold)
             found = common.store(spark, _verified(common.store(spark, pairs, "pairs"), sets, threshold), "links")
             if found.head(1):
                 links = found if links is None else links.unionByName(found)
