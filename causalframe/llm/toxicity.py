@@ -4,16 +4,19 @@ Two models, toxic and ordinary, give the bytes of every word a probability, each
 byte from up to five before it in its word (the start of a word is a byte of its
 own, and so is its end). Either model discounts its own counts; what it takes off
 goes to a lower order that both share: continuation counts over all documents,
-labelled or not. Where neither class has seen a context the shared counts cancel
-and the byte says nothing.
+labelled or not. A context counts as if the shared order had been seen in it `STRENGTH`
+times more, so that what a class has seen once or twice says little. Where neither class
+has seen a context the shared counts cancel and the byte says nothing.
 
 A word's evidence is the log-likelihood ratio of its bytes. A document's score is
 a logistic function, fitted on sampled rows left out of the counts, of its
-length-normalised ratio and of the mean of its strongest words.
+length-normalised ratio and of the same of its `STRONGEST` words: a few words
+in a long text hardly move the first.
 
-Class counts come from at most `SAMPLE_ROWS` labelled rows a class (a parameter),
-so the ratio table is bounded and can be broadcast. The shared counts cover all
-documents: every task sends each distinct sequence that it saw, once.
+Class counts come from at most `SAMPLE_ROWS` labelled rows a class (a parameter) of at
+most `SAMPLE_BYTES`, as many of either class, so that the ratio table is bounded and can
+be broadcast, and no class knows more rare words only for being larger. The shared counts
+cover all documents: every task sends each distinct sequence that it saw, once.
 
 Defined results: null and empty texts have no evidence and get the score of none;
 rows that repeat are scored each; a null doc_id is kept; without labels of both
@@ -34,6 +37,9 @@ from causalframe.llm.common import U64
 SAMPLE_ROWS = 6000
 ORDER = 6
 DISCOUNT = 0.75
+STRENGTH = 10
+#: Longer texts are not learnt from.
+SAMPLE_BYTES = 64 << 10
 CUTOFF = 0.7
 #: How many of a document's strongest words make up the second feature.
 STRONGEST = 3
@@ -96,7 +102,7 @@ def _partial(batches, buckets: int):
         if sum(map(len, waiting)) > 2_000_000:
             every = np.unique(np.concatenate([every, *waiting]))
             waiting = []
-        label = pc.fill_null(b.column(2), -1).to_numpy(zero_copy_only=False)
+        label = np.where(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False) <= SAMPLE_BYTES, pc.fill_null(b.column(2), -1).to_numpy(zero_copy_only=False), -1)
         fold = pc.fill_null(b.column(3), 0).to_numpy(zero_copy_only=False)
         of = label[common.row_of(first)]
         of = np.where(fold[common.row_of(first)] == 0, -1, of)
@@ -163,9 +169,9 @@ def _ratios(key, table):
         ctx, ctx_n = _sums(own >> U64(8), n)
         _, ctx_t = _sums(own >> U64(8), np.ones(len(own)))
         c, t = _at(ctx, keys >> U64(8), ctx_n), _at(ctx, keys >> U64(8), ctx_t)
-        p = np.where(c > 0, (np.maximum(_at(own, keys, n) - DISCOUNT, 0) + DISCOUNT * t * shared) / np.maximum(c, 1), shared)
+        p = (np.maximum(_at(own, keys, n) - DISCOUNT, 0) + (STRENGTH + DISCOUNT * t) * shared) / (STRENGTH + c)
         c, t = _at(ctx, contexts, ctx_n), _at(ctx, contexts, ctx_t)
-        log_sum[k] = np.log(p), np.where(c > 0, np.log(np.maximum(DISCOUNT * t, 1e-9) / np.maximum(c, 1)), 0.0)
+        log_sum[k] = np.log(p), np.log((STRENGTH + DISCOUNT * t) / (STRENGTH + c))
     pairs, alone = log_sum[1][0] - log_sum[0][0], log_sum[1][1] - log_sum[0][1]
     return pa.table({"kind": pa.array([0, 1], pa.int32()), "keys": pa.array([keys.tobytes(), contexts.tobytes()], pa.binary()), "value": pa.array([pairs.astype(np.float32).tobytes(), alone.astype(np.float32).tobytes()], pa.binary())})
 
