@@ -3,11 +3,12 @@
 Every line of a text is labelled good or bad. A line's features are its own (shares
 of kinds of characters, word lengths, repetition) and those of the lines beside it;
 the chain's weights tie neighbouring labels. Forward-backward gives each line's
-marginal, and their mean by length is the document's quality, which a logistic
-function, fitted on sampled rows that the field was not, turns into the score.
+marginal; their mean by length, as probabilities and as log odds, is the document's
+quality, which a logistic function, fitted on sampled rows that the field was not,
+turns into the score.
 
-The field learns from at most `SAMPLE_ROWS` labelled documents a class (a
-parameter); a document's label is that of all its lines.
+The field learns from at most `SAMPLE_ROWS` labelled documents a class, of at most
+`SAMPLE_LINES` lines (parameters); a document's label is that of all its lines.
 
 Defined results: null and empty texts are one empty line; rows that repeat are
 scored each; a null doc_id is kept; without labels of both classes every score is
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from causalframe.llm import common, learning
 
 SAMPLE_ROWS = 3000
+#: Texts of more lines are not learnt from.
+SAMPLE_LINES = 128
 CUTOFF = 0.7
 STEPS = 150
 
@@ -173,16 +176,17 @@ class Field:
         return Field(mean, scale, w, chain)
 
     def documents(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's features for the calibration (its quality, its mean line score), and
-        every line's marginal."""
+        """Each text's features for the calibration (mean marginal and mean log odds of its
+        lines, by length), and every line's marginal."""
         score = ((x - self.mean) / self.scale) @ self.w[:-1] + self.w[-1]
         p, _, _ = Chains(first).marginals(score, self.chain)
         weight = size + 1.0
         row = common.row_of(first)
         total = np.bincount(row, weight, len(first) - 1)
         quality = np.bincount(row, weight * p, len(first) - 1) / total
-        mean = np.bincount(row, weight * score, len(first) - 1) / total
-        return np.column_stack([quality, np.clip(mean, -20, 20)]), p
+        sure = p.clip(1e-9, 1 - 1e-9)
+        odds = np.bincount(row, weight * (np.log(sure) - np.log1p(-sure)), len(first) - 1) / total
+        return np.column_stack([quality, odds]), p
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int, held: int, sample_rows: int = SAMPLE_ROWS) -> tuple[Field | None, tuple]:
@@ -193,10 +197,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int, hel
     def features(batches):
         for b in common.text_slices(batches):
             x, size, first = line_features(b.column(1))
-            cut = [(x[a:z].astype(np.float32).tobytes(), size[a:z].astype(np.int64).tobytes()) for a, z in zip(first, first[1:], strict=False)]
+            cut = [(x[a:z].astype(np.float32).tobytes(), size[a:z].astype(np.int64).tobytes()) if z - a <= SAMPLE_LINES else (None, None) for a, z in zip(first, first[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary()), b.column(2).cast(pa.int32()), b.column(3).cast(pa.int32())], names=["x", "size", "label", "fold"])
 
-    rows = common.map_arrow(learning.marked(docs, sample).where("label is not null"), features, "x binary, size binary, label int, fold int").collect()
+    rows = common.map_arrow(learning.marked(docs, sample).where("label is not null"), features, "x binary, size binary, label int, fold int").where("x is not null").collect()
 
     def stacked(own: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         size = [np.frombuffer(r["size"], np.int64) for r in own]
