@@ -31,15 +31,20 @@ SLICE_BYTES = 1 << 20
 
 _local_root: list[str] = []
 _stored: list[str] = []
+#: Settings of sessions as they were before `tune`.
+_settings: dict[tuple[str, str], str | None] = {}
 _shipped: set[str] = set()
 
 
 # ---------------------------------------------------------------- shared tables
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where none is set (tests)."""
+    """The folder that the cluster shares. Where none is set, a local one on one machine
+    (tests); executors elsewhere would not see it, so there it is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("executors of a cluster share no local folder: set spark.checkpoint.dir")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="causalframe-"))
     return _local_root[0]
@@ -59,12 +64,23 @@ def store(spark: SparkSession, df: DataFrame, name: str, **options: str) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes every table that this driver stored. Call it once results are written."""
+def mark() -> int:
+    """How many tables are stored: what `release` can go back to."""
+    return len(_stored)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that this driver stored, or those since a mark, and gives the session
+    its own settings back. Call it once results are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _stored:
+    while len(_stored) > since:
         path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
         path.getFileSystem(conf).delete(path, True)
+    if not since:
+        session = spark._jsparkSession.sessionUUID()
+        for own, key in [k for k in _settings if k[0] == session]:
+            value = _settings.pop((own, key))
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def ship(spark: SparkSession) -> None:
@@ -85,10 +101,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def tune(spark: SparkSession) -> int:
-    """Small Arrow batches, since texts can be long; returns the shuffle width."""
+    """Small Arrow batches, since texts can be long, until `release`; returns the shuffle width.
+    Results are lazy and take the settings of the time they run, so these must stay."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    session = spark._jsparkSession.sessionUUID()
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4096"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        _settings.setdefault((session, key), spark.conf.get(key, None))
+        spark.conf.set(key, value)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
@@ -102,8 +121,9 @@ def input_bytes(df: DataFrame) -> int | None:
 
 def groups(df: DataFrame, width: int, group_bytes: int) -> int:
     """How many groups to deal df's rows into: by its size, so that a group stays as large as
-    it is, and four for each shuffle partition at least."""
-    return max(4 * width, min(-(-(input_bytes(df) or 0) // group_bytes), 1 << 26))
+    it is, and one for each shuffle partition at least (four where the size is not known)."""
+    size = input_bytes(df)
+    return 4 * width if size is None else max(width, min(-(-size // group_bytes), 1 << 26))
 
 
 def filter_log2(df: DataFrame, bits_a_byte: float, least: int = 20, most: int = 28) -> int:
