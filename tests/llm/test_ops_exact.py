@@ -68,7 +68,7 @@ def test_exact_dedup_blocks_do_not_matter(spark, docs):
 
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-ITEMS = [("i1", " ".join(ROWS[9][1].split()[60:72])), ("i2", " ".join(ROWS[9][1].split()[80:95]) + " nowhere"), ("i2", "one"), (None, "w1"), ("i4", ""), ("i5", None), ("i6", " ".join(ROWS[8][1].split()[:8]).upper())]
+ITEMS = [("i1", " ".join(ROWS[9][1].split()[60:72])), ("i2", " ".join(ROWS[9][1].split()[80:95]) + " nowhere"), ("i2", "one"), (None, "w1"), ("null", "w2"), ("i4", ""), ("i5", None), ("i6", " ".join(ROWS[8][1].split()[:8]).upper())]
 
 
 def brute_leaks(text):
@@ -81,11 +81,11 @@ def brute_leaks(text):
             for p in range(len(w) - len(window) + 1):
                 if w[p : p + len(window)] == window:
                     hit.update(range(p, p + len(window)))
-                    items.add("null" if item is None else item)
-    return len(w), len(hit), sorted(items)
+                    items.add(item)
+    return len(w), len(hit), sorted(items, key=lambda i: (i is None, i or ""))
 
 
-@pytest.mark.parametrize("block", [10**6, 20])
+@pytest.mark.parametrize("block", [10**6, 20, 3])
 def test_decontaminate(spark, docs, empty, block):
     bench = spark.createDataFrame(ITEMS, "item_id string, text string")
     found = decontaminate.decontaminate(spark, docs, bench, block_windows=block)
@@ -174,9 +174,18 @@ def brute_substring(k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("k, m", [(20, 8), (5, 3)])
-def test_substring_dedup(spark, docs, empty, k, m):
-    found = substring_dedup.substring_dedup(spark, docs, k, m)
+@pytest.mark.parametrize("k, m, fan_in, files", [(20, 8, 256, 0), (5, 3, 256, 0), (5, 3, 2, 7), (20, 8, 2, 4), (5, 3, 3, 1)])
+def test_substring_dedup(spark, docs, empty, tmp_path, monkeypatch, k, m, fan_in, files):
+    if files:
+        # Several levels of shards, and shards of a few windows.
+        monkeypatch.setattr(substring_dedup, "TASK_WINDOWS", 50)
+        monkeypatch.setattr(substring_dedup, "PIECE", 7)
+        docs.repartition(files).write.parquet(str(tmp_path / "d"))
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        monkeypatch.setattr(common, "input_bytes", lambda df: files * (128 << 20))
+        monkeypatch.setattr(common, "groups", lambda df, width, size: 16)
+        monkeypatch.setattr(common, "filter_log2", lambda df, bits: 12)
+    found = substring_dedup.substring_dedup(spark, docs, k, m, fan_in)
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()) == brute_substring(k)
     assert substring_dedup.substring_dedup(spark, empty).count() == 0
 
@@ -206,23 +215,34 @@ def brute_components():
     return sorted((str(k), len(s), str(least[find(i)] if s else k)) for i, (k, s) in enumerate(zip(keys, sets, strict=True)))
 
 
-def test_ngram_join(spark, docs, empty):
+@pytest.mark.parametrize("hot", [100_000, 1])
+def test_ngram_join(spark, docs, empty, monkeypatch, hot):
+    # With hot = 1 most shingles that repeat are dealt out over several groups.
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     found = ngram_join.ngram_join(spark, docs)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found.collect()) == brute_components()
     assert ngram_join.ngram_join(spark, empty).count() == 0
 
 
-def test_ngram_join_of_many_near_copies(spark):
-    """Chains and clusters around the threshold, in one large group."""
+@pytest.mark.parametrize("kind, hot", [("copies", 100_000), ("copies", 5), ("forms", 100_000), ("mixed", 5)])
+def test_ngram_join_of_many_near_copies(spark, monkeypatch, kind, hot):
+    """Chains and clusters around the threshold in one large group, and a form with many
+    fillings, of which only some come near one another."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = np.random.default_rng(8)
     base = [f"t{i}" for i in range(120)]
     rows = []
     for i in range(250):
         w = list(base)
-        for p in rng.choice(120, int(rng.integers(0, 7)), replace=False):
-            w[p] = f"x{rng.integers(5000)}"
+        if kind == "copies" or (kind == "mixed" and i % 2):
+            for p in rng.choice(120, int(rng.integers(0, 7)), replace=False):
+                w[p] = f"x{rng.integers(5000)}"
+        else:
+            n = int(rng.integers(2, 16))
+            w[50 : 50 + n] = [f"y{rng.integers(4)}x{j}" for j in range(n)] if i % 5 else [f"z{i}x{j}" for j in range(n)]
+            w += [f"e{j}" for j in range(int(rng.integers(0, 9)))]
         rows.append((i, " ".join(w)))
-    sets = [{tuple(t.split()[j : j + 4]) for j in range(117)} for _, t in rows]
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
     root = list(range(len(rows)))
 
     def find(i):
@@ -241,8 +261,8 @@ def test_ngram_join_of_many_near_copies(spark):
 
 def test_fm_index_against_counting():
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        k, sigma = int(rng.integers(2, 6)), int(rng.integers(2, 5))
+    for _ in range(200):
+        k, sigma = int(rng.integers(1, 9)), int(rng.integers(2, 5))
         n = rng.integers(0, 12, int(rng.integers(1, 8)))
         first = np.concatenate([[0], np.cumsum(n)])
         text = rng.integers(0, sigma, first[-1])
@@ -258,6 +278,9 @@ def test_fm_index_against_counting():
                 window = q[p : p + k]
                 want = sum((text[i : i + k] == window).all() for x, y in zip(first, first[1:], strict=False) for i in range(x, y - k + 1)) if p + k <= b else 0
                 assert hi[p] - lo[p] == want
+        # A large alphabet packs fewer symbols into the first key.
+        wide = text * (2**29 // sigma)
+        assert (np.diff(fm_index.suffix_order(wide, k)[1][fm_index.suffix_order(wide, k)[0]]) >= 0).all()
 
 
 def test_bloom_never_loses():
@@ -279,9 +302,25 @@ def test_components(spark):
 def test_store_uses_the_shared_folder(spark):
     path = common.store(spark, spark.range(3), "x").inputFiles()[0]
     assert common.shared_root(spark) in path
+    at = common.mark()
+    later = common.store(spark, spark.range(4), "y").inputFiles()[0]
+    common.release(spark, at)
+    assert spark.read.parquet(path).count() >= 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(later)
     common.release(spark)
 
 
+def test_settings_come_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    common.tune(spark)
+    common.tune(spark)
+    assert spark.conf.get(key) == "4096"
+    common.release(spark)
+    assert spark.conf.get(key) == before
+
+
 def test_proximity_at_the_edges_of_a_text(spark):
     full = "a b c d e f g h"
     # The rarest terms, b and g, stand at the edge; texts 5 and 6 have a term only in the text before or after.

@@ -77,7 +77,7 @@ def test_secrets(spark):
 
         assert r.base_sha256 == hashlib.sha256(scan_rows.digest(base).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
-        assert all(text[x.start : x.end] == x.value for x in r.found)
+        assert all(text[x.start : x.end] == x.value for x in r.found) and r.n_spans == len(r.found)
     kinds = {r.doc_id: {x.kind for x in r.found} - set(secrets.BASE) for r in found if r.doc_id is not None}
     assert [kinds[i] for i in range(6, 13)] == [{"signed_token"}, set(), {"der_key"}, {"der_key"}, {"ssh_key"}, set(), {"armoured_key", "der_key"}]
     assert secrets.secret_scan(spark, spark.createDataFrame([], SCHEMA)).count() == 0
@@ -162,6 +162,57 @@ def test_classifiers_on_tables(spark, name, column):
     assert sum(r.predicted == r[column] for r in found) / len(found) > 0.93
 
 
+@pytest.mark.parametrize("kind, run", [("toxic", toxicity.toxicity), ("quality", quality.quality)])
+def test_classifiers_on_very_long_texts(spark, kind, run):
+    rows, labels = toy(kind)
+    want = dict(labels)
+    good, bad = (next(t for i, t, *_ in rows if want.get(i) == k) for k in ((0, 1) if kind == "toxic" else (1, 0)))
+    for t in (good, bad):
+        rows.append((9000 + len(rows), "\n".join([t] * 4000), None, None, None))
+    found = {r.doc_id: r for r in run(spark, spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, f"doc_id long, {kind} int")).collect()}
+    first, second = (found[r[0]].predicted for r in rows[-2:])
+    assert (first, second) == ((0, 1) if kind == "toxic" else (1, 0))
+
+
+def test_toxicity_ratios_against_the_formula():
+    """Brute force over dictionaries: discounted counts of a class, backed by shared continuations."""
+    import pyarrow as pa
+
+    texts = ["the cat sat", "a bad cat", "bad bad bat", "then a mat", "", "tom bat"]
+    label, fold = [0, 1, 1, 0, None, None], [1, 1, 2, 1, None, None]
+    rows = pa.record_batch([pa.array(range(6), pa.int64()), pa.array(texts), pa.array(label, pa.int32()), pa.array(fold, pa.int32())], names=["doc_id", "text", "label", "fold"])
+    (packed,) = toxicity._partial([rows], 1)
+    ratios = toxicity.Ratios(toxicity._ratios(None, pa.Table.from_batches([packed])).to_pylist())
+    every, seen = set(), ({}, {})
+    for t, y in zip(texts, label, strict=True):
+        for w in t.split():
+            s = "\1" + w + "\2"
+            for i in range(1, len(s)):
+                pair = (s[max(0, i - toxicity.ORDER + 1) : i], s[i])
+                every.add(pair)
+                if y is not None:
+                    seen[y][pair] = seen[y].get(pair, 0) + 1
+
+    def shared(context, c):
+        before = [x for x in every if x[0][1:] == context[1:]]
+        total = len(before)
+        own, follow = sum(x[1] == c for x in before), len({x[1] for x in before})
+        d = toxicity.DISCOUNT
+        return (max(own - d, 0) + d * follow / 256) / total if total else 1 / 256
+
+    def own(k, context, c):
+        here = {x[1]: n for x, n in seen[k].items() if x[0] == context}
+        d, m = toxicity.DISCOUNT, toxicity.STRENGTH
+        return (max(here.get(c, 0) - d, 0) + (m + d * len(here)) * shared(context, c)) / (m + sum(here.values()))
+
+    words = sorted({w for t in texts for w in t.split()})
+    got = ratios.words(pa.array([w.encode() for w in words], pa.large_binary()))
+    for w, value in zip(words, got, strict=True):
+        s = "\1" + w + "\2"
+        want = sum(np.log(own(1, s[max(0, i - toxicity.ORDER + 1) : i], s[i]) / own(0, s[max(0, i - toxicity.ORDER + 1) : i], s[i])) for i in range(1, len(s)))
+        assert value == pytest.approx(want, abs=1e-4), w
+
+
 def test_quality_field_by_enumeration():
     rng = np.random.default_rng(2)
     first = np.array([0, 4, 5, 8])
@@ -226,6 +277,60 @@ def test_url_rules_are_mined(spark):
     assert found[1].mined_rule == "p0:buy" and found[3].mined_rule is None
 
 
+@pytest.mark.parametrize("literal", [200, 0])
+def test_of_equally_long_rules_the_first_counts(spark, monkeypatch, literal):
+    monkeypatch.setattr(url_filter, "LITERAL_RULES", literal)
+    pages = spark.createDataFrame([(1, "http://b.com/abc"), (2, "http://x.b.com/ab/"), (3, "http://b.com/")], "page_id long, url string")
+    none = spark.createDataFrame([], "url string, label string")
+    one, two = ("com", "/ab", "block"), ("b.com", "/", "allow")
+    assert len(one[0] + one[1]) == len(two[0] + two[1])
+    for rules, want in (([one, two], ["com/ab", "com/ab", "b.com/"]), ([two, one], ["b.com/"] * 3), ([one, ("com", "/ab", "allow")], ["com/ab", "com/ab", None])):
+        found = {r.page_id: r for r in url_filter.url_filter(spark, pages, rules, none).collect()}
+        assert [found[i].rule for i in (1, 2, 3)] == want
+        assert found[1].verdict == ("block" if want[0] == "com/ab" else "allow")
+
+
+@pytest.mark.parametrize("most", [12, 0])
+def test_url_verdicts_against_all_subsets(spark, monkeypatch, most):
+    """Brute force: every set of tokens of every labelled URL, with its rows of either label."""
+    from collections import Counter
+    from itertools import combinations
+    from math import ceil
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(url_filter, "FP_ITEMS", most)
+    rng = np.random.default_rng(11)
+
+    def url():
+        return f"https://{rng.choice(['a', 'b'])}.{rng.choice(['org', 'co.uk'])}/{rng.choice(['x', 'y', 'z'])}/{rng.integers(99)}{rng.choice(['', '.html', '?q=1'])}"
+
+    def label(u):
+        return "block" if ("b.org" in u and "/y/" in u) or ("/z/" in u and ".html" in u) or rng.random() < 0.08 else "allow"
+
+    known = [(u, label(u)) for u in (url() for _ in range(240))]
+    pages = [(i, url()) for i in range(60)] + [(90, None), (91, "no url")]
+    host, path = url_filter.host_path(F.col("url"))
+    tokens = url_filter.url_tokens(F.col("url"), F.col("host"), F.col("path"))
+    of = {r.url: frozenset(r.t) for r in spark.createDataFrame([(u,) for u, _ in known + [(p[1], 0) for p in pages if p[0] < 90]], "url string").withColumns({"host": host, "path": path}).select("url", tokens.alias("t")).collect()}
+    rows, both = Counter(), Counter()
+    for u, verdict in known:
+        for n in range(1, len(of[u]) + 1):
+            for x in combinations(sorted(of[u]), n):
+                rows[x] += 1
+                both[x, verdict] += 1
+    support, confidence = 0.02, 0.85
+    rules = [(c / rows[x], c / len(known), v, frozenset(x)) for (x, v), c in both.items() if c >= ceil(support * len(known)) and c / rows[x] >= confidence]
+    found = {r.page_id: r for r in url_filter.url_filter(spark, spark.createDataFrame(pages, "page_id long, url string"), [], spark.createDataFrame(known, "url string, label string"), support, confidence).collect()}
+    assert len(found) == len(pages)
+    verdicts = set()
+    for i, u in pages:
+        best = max((r[:3] for r in rules if r[3] <= of.get(u, set())), default=None)
+        assert found[i].verdict == (best[2] if best else "allow") and (found[i].mined_rule is None) == (best is None)
+        verdicts.add(found[i].verdict)
+    assert verdicts == {"allow", "block"}
+
+
 @needs_data
 def test_pipeline_stages(spark):
     import corpus_pipeline
@@ -439,6 +544,20 @@ def test_pii_repetitions_far_from_a_sure_mention(spark):
         assert added >= {s for k, s in enumerate(starts) if 0 < k < 60 and abs(k - at) > 1}
 
 
+def test_pii_sample_is_bounded(spark, monkeypatch):
+    """Of hinted texts only about as many as wanted reach the driver, whatever repeats."""
+    seen = []
+    monkeypatch.setattr(pii, "mentions", lambda texts, f=pii.mentions: seen.append(list(texts)) or f(texts))
+    rows = [(i, f"call +1 (743) 555-{i:04d} or e.{i}@mail.example.com", None, None, None) for i in range(3000)]
+    rows += [rows[0]] * 2000 + [(9000, "long 10.0.0.7 " * 5000, None, None, None), (9001, None, None, None, None), (9002, "none", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    pii.fit(spark, docs, 100)
+    pii.fit(spark, docs.repartition(7), 100)
+    assert seen[0] == seen[1] and len(seen[0]) == len(set(seen[0])) == 100
+    pii.fit(spark, docs.where("doc_id > 9000"), 100)
+    assert seen[2] == []
+
+
 def test_pii_messages_settle():
     graph = pii.Graph([" and ".join(["5551234567 a1 b2"] * 80)])
     own, tables = np.random.default_rng(3).normal(size=(pii.FEATURES, pii.LABELS)), np.random.default_rng(4).normal(size=(2, pii.LABELS, pii.LABELS)) / 4
