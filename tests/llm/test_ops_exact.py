@@ -297,6 +297,9 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark, spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
     assert components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+    # One edge the wrong way round, or a star from the start.
+    assert {r.node: r.root for r in components(spark, spark.createDataFrame([(1, 2)], "a long, b long")).collect()} == {1: 1, 2: 1}
+    assert {r.node: r.root for r in components(spark, spark.createDataFrame([(2, 1), (3, 1)], "a long, b long")).collect()} == {1: 1, 2: 1, 3: 1}
 
 
 def test_store_uses_the_shared_folder(spark):
