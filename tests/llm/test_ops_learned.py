@@ -378,6 +378,79 @@ def test_pipeline_on_awkward_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, empty).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """What the classifier keeps, then the other stages by their definitions, down to the ids
+    of every document that is left."""
+    from collections import defaultdict
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    def lower(t):
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+    rng = np.random.default_rng(21)
+    rows, labels = toy("quality", 160)
+    rows = [(i, t) for i, t, *_ in rows if i is not None]
+    good = {i for i, q in labels if q == 1}
+    source = [t for i, t in rows if i in good and t]
+    passage = " ".join(f"secretword{k}" for k in range(9))
+    for k in range(60):
+        w = source[k % 25].split()
+        at = int(rng.integers(0, len(w) - 8))
+        n = int(rng.integers(1, 7))
+        changed = [" ".join(w).upper() if k % 12 == 0 else " ".join(w), " ".join([*w[:at], *(f"new{k}x{j}" for j in range(n)), *w[at + n :]]), " ".join([*w[:at], *passage.split()[: 9 if k % 3 else 7], *w[at:], f"end{k}"])][k % 3]
+        rows.append((1000 + k, changed))
+    root = f"file://{tmp_path}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    bench = [(1, passage), (2, "nothing of this is anywhere in the corpus at all"), (3, None)]
+    spark.createDataFrame(bench, "item_id int, text string").write.parquet(f"{root}/benchmark.parquet")
+
+    left = {r.doc_id: r.text for r in corpus_pipeline.keep_good(spark, docs, root).collect()}
+    assert len(left) > 100
+    groups = defaultdict(list)
+    for i, t in left.items():
+        groups[lower(t)].append(i)
+    left = {max(ids): left[max(ids)] for ids in groups.values()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for i, t in left.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    up = {i: i for i in left}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in left:
+        for j in left:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    near = len(left)
+    left = {i: t for i, t in left.items() if find(i) == i}
+    assert len(left) < near
+    token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for _, t in bench:
+        w = token.findall(lower(t))
+        windows |= {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    leaks = {i for i, t in left.items() if {tuple(w[k : k + 8]) for w in [token.findall(lower(t))] for k in range(len(w) - 7)} & windows}
+    assert leaks
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in left.items() if i not in leaks}
+    pieces, sequences = defaultdict(list), defaultdict(int)
+    for r in corpus_pipeline.run(spark, root).collect():
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert r.length == len(ids) > 0 and zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(want[r.doc_id])
+        pieces[r.doc_id].append((r.start, r.length))
+        sequences[r.sequence_id] += r.length
+    assert {i: sum(n for _, n in p) for i, p in pieces.items()} == {i: len(x) for i, x in want.items()}
+    assert max(sequences.values()) <= 2048
+
+
 def test_long_urls_stay_bounded(spark):
     urls = ["https://a.org/" + "x/" * 20_000, "b://" + "c." * 3000, "https://a.org/" + "y/" * 20_000 + "?" + "k=1&" * 5000 + "#f"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
