@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from causalframe.functions.hashing import positive
 from causalframe.operators.asof import causal_match
 from causalframe.operators.stats import range_bounds, range_of
+from causalframe.sources.scratch import checkpointed
 
 @dataclass(frozen=True)
 class Batches:
@@ -99,11 +100,15 @@ def numbered(df: DataFrame, on: str = "ts") -> DataFrame:
 
 def walk_forward(features: DataFrame, responses: DataFrame, window_size: int | None, min_periods: int | None = None, step_size: int | None = None, strict_step_size: bool = True, on: str = "ts", **match_options) -> DataFrame:
     """Training rows of every batch: batch, rn and the columns of both sides, features
-    matched to responses as of their time. One row for each batch that it is part of."""
-    joined = causal_match(features, responses, on, **match_options)
-    n = joined.count()
-    if not n or not features.head(1):
+    matched to responses as of their time. One row for each batch that it is part of.
+    The match is made once and checkpointed: its rows are counted and numbered from there."""
+    found = match_options.pop("matched_time", None) or "__matched_ts"
+    joined = checkpointed(causal_match(features, responses, on, matched_time=found, **match_options))
+    n, matched = joined.agg(F.count(F.lit(1)), F.count(found)).first()
+    if not n or (not matched and features.isEmpty()):
         raise ValueError("features and responses must have rows")
+    if found == "__matched_ts":
+        joined = joined.drop(found)
     plan = plan_batches(n, window_size, min_periods, step_size, strict_step_size)
     return numbered(joined, on).withColumn("batch", F.explode(plan.holding(F.col("rn"))))
 

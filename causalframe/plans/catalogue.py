@@ -447,7 +447,8 @@ def append_new_rows(spark, sf_dir):
 def append_parquet_store(spark, sf_dir):
     """The same in a store of Parquet snapshots partitioned by day."""
     from causalframe.sources.dataset import Dataset
-    from causalframe.sources.store import ParquetStore, scratch_root
+    from causalframe.sources.scratch import scratch_root
+    from causalframe.sources.store import ParquetStore
 
     old, new = _old_new(spark, sf_dir)
     first = Dataset.build("events", old, store=ParquetStore(spark, scratch_root(spark)))
@@ -460,7 +461,8 @@ def append_parquet_store(spark, sf_dir):
 def read_parquet_range(spark, sf_dir):
     """A slice across two snapshots; days outside are never opened."""
     from causalframe.sources.dataset import Dataset
-    from causalframe.sources.store import ParquetStore, scratch_root
+    from causalframe.sources.scratch import scratch_root
+    from causalframe.sources.store import ParquetStore
 
     old, new = _old_new(spark, sf_dir)
     first = Dataset.build("events", old, store=ParquetStore(spark, scratch_root(spark)))

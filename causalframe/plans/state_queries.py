@@ -22,7 +22,8 @@ from causalframe.plans.graph import Graph, GraphStatus, MultiThreadedRunner, Sin
 from causalframe.plans.scheduler import ScheduledRunner
 from causalframe.plans.tasks import CalendarChecker, Dependency, IrregularChecker
 from causalframe.sources.dataset import Dataset, Metadata
-from causalframe.sources.store import MemoryStore, ParquetStore, create_store, scratch_root
+from causalframe.sources.scratch import scratch_root
+from causalframe.sources.store import MemoryStore, ParquetStore, create_store
 from causalframe.streaming.incremental import append_stream, bucketed, merge_stream, ready
 from causalframe.time import RESOLUTION, TimeRange, timestamp, utc_wall
 from causalframe.timeframe import check_unique, equals

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable
@@ -420,15 +419,6 @@ class DocumentStore(ParquetStore):
         self._fs(folder).delete(self._path(folder), True)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """A new folder for a store that need not last: below the folder that the cluster
-    shares, or on one machine, where none is set, a local one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("executors of a cluster share no local folder: set spark.checkpoint.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='causalframe-')}/store-{uuid.uuid4().hex}"
-
-
 _KINDS: dict[str, Callable[[dict, SparkSession], Store]] = {
     "memory": lambda state, spark: MemoryStore(),
     "parquet": lambda state, spark: ParquetStore(spark, state["root"]),
