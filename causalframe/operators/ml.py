@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from causalframe.functions.hashing import positive
 from causalframe.operators.asof import causal_match
 from causalframe.operators.stats import range_bounds, range_of
+from causalframe.shipping import ship
 from causalframe.sources.scratch import checkpointed
 
 @dataclass(frozen=True)
@@ -127,6 +128,7 @@ def fit_models(batches: DataFrame, fit: Callable, on: str = "ts") -> DataFrame:
         pdf = pdf.sort_values(on)
         return pd.DataFrame({"batch": [int(pdf["batch"].iloc[0])], "model_ts": [pdf[on].iloc[-1]], "model": [pickle.dumps(fit(pdf))]})
 
+    ship(batches.sparkSession)
     return batches.groupBy("batch").applyInPandas(run, "batch int, model_ts timestamp_ntz, model binary")
 
 
@@ -154,6 +156,7 @@ def apply_pickled(applied: DataFrame, predict: Callable, schema: str) -> DataFra
                     cache[blob] = pickle.loads(blob)
                 yield predict(cache[blob], part.drop(columns="model"))
 
+    ship(applied.sparkSession)
     return applied.mapInPandas(run, schema)
 
 
@@ -247,6 +250,7 @@ class Estimator(Transformer):
             own.fit(pdf[x_cols], pdf[y_cols[0]] if len(y_cols) == 1 else pdf[y_cols])
             return pd.DataFrame({"model": [pickle.dumps(own)]})
 
+        ship(data.x.sparkSession)
         rows = data.x.select(*by, *x_cols).join(data.y.select(*by, *y_cols), by)
         self.fitted = rows.groupBy().applyInPandas(run, "model binary").first()["model"]
         return self
@@ -269,6 +273,7 @@ class Estimator(Transformer):
                 out[y_cols] = found
                 yield out
 
+        ship(data.x.sparkSession)
         kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in data.x.select(*by).schema.fields), *(f"`{c}` double" for c in y_cols)])
         return Bivariate(data.x, data.x.select(*by, *x_cols).mapInPandas(run, kinds))
 
