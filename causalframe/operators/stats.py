@@ -26,41 +26,51 @@ def _parts(df: DataFrame) -> int:
     return max(2, min(128, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _quantiles(values: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """keys, q of (keys, x, __part): exact quantiles with linear interpolation. Equal values
-    are counted first; each range of values is ranked on its own and moved by the sizes of
-    those below, so no task holds all values of a key."""
-    counted = values.where("x is not null").groupBy(*keys, "__part", "x").agg(F.count(F.lit(1)).alias("__c"))
+def _ranked(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Of (keys, x, __part): one row for each key and distinct value, null included, with how
+    often it is there (__c), the places of its first and last copy among the key's values that
+    are not null, and how many these are (__n). Equal values are counted first; each range of
+    values is ranked on its own and moved by the sizes of those below, so no task holds all
+    values of a key."""
+    counted = values.groupBy(*keys, "__part", "x").agg(F.count(F.lit(1)).alias("__c")).withColumn("__v", F.when(F.col("x").isNotNull(), F.col("__c")).otherwise(0))
     inside = Window.partitionBy(*keys, "__part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("__cum", F.sum("__c").over(inside))
+    ranked = counted.withColumn("__cum", F.sum("__v").over(inside))
     # One row for each key and range.
-    sizes = counted.groupBy(*keys, "__part").agg(F.sum("__c").alias("__s"))
+    sizes = counted.groupBy(*keys, "__part").agg(F.sum("__v").alias("__s"))
     below, all_ = Window.partitionBy(*keys).orderBy("__part"), Window.partitionBy(*keys)
     sizes = sizes.select(*keys, "__part", (F.sum("__s").over(below) - F.col("__s")).alias("__off"), F.sum("__s").over(all_).alias("__n"))
     same = reduce(lambda a, b: a & b, [ranked[c].eqNullSafe(sizes[c]) for c in (*keys, "__part")])
-    rows = ranked.join(sizes, same).select(*[ranked[c] for c in keys], "x", (F.col("__off") + F.col("__cum") - F.col("__c")).alias("__first"), (F.col("__off") + F.col("__cum") - 1).alias("__last"), "__n")
-    found = []
-    for p in probs:
-        at = F.lit(p) * (F.col("__n") - 1)
-        low, high = (F.max(F.when((F.col("__first") <= f(at)) & (F.col("__last") >= f(at)), F.col("x"))) for f in (F.floor, F.ceil))
-        found.append(low + (high - low) * F.max(at - F.floor(at)))
-    return rows.groupBy(*keys).agg(F.array(*found).alias("q"))
+    return ranked.join(sizes, same).select(*[ranked[c] for c in keys], "x", "__c", "__v", (F.col("__off") + F.col("__cum") - F.col("__v")).alias("__first"), (F.col("__off") + F.col("__cum") - 1).alias("__last"), "__n")
+
+
+def _quantile(p: float) -> Column:
+    """The exact quantile of a key's ranked values, between two of them by their distance."""
+    at = F.lit(p) * (F.col("__n") - 1)
+    low, high = (F.max(F.when((F.col("__first") <= f(at)) & (F.col("__last") >= f(at)), F.col("x"))) for f in (F.floor, F.ceil))
+    return low + (high - low) * F.max(at - F.floor(at))
 
 
 def describe(df: DataFrame, columns: list[str], keys: list[str] = ()) -> DataFrame:
     """One row for each column (and key): count, mean, std, min, quartiles, max. Columns
-    become rows before the aggregation."""
+    become rows before the aggregation; all figures come from the same ranked values."""
     keys = list(keys)
     wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     long = wide.unpivot(keys, columns, "variable", "x")
-    found = long.groupBy(*keys, "variable").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    part = F.lit(0)
+    part, middle = F.lit(0), F.lit(0.0)
     for c, bounds in zip(columns, range_bounds(wide, [F.col(c) for c in columns], _parts(df)), strict=True):
         part = F.when(F.col("variable") == c, range_of(F.col("x"), bounds)).otherwise(part)
-    q = _quantiles(long.withColumn("__part", part), [*keys, "variable"], [0.25, 0.5, 0.75])
-    same = reduce(lambda a, b: a & b, [found[c].eqNullSafe(q[c]) for c in (*keys, "variable")])
-    rows = found.join(q, same, "left").select(*[found[c] for c in found.columns], q["q"])
-    return rows.select(*keys, "variable", "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+        if bounds:
+            middle = F.when(F.col("variable") == c, F.lit(float(bounds[len(bounds) // 2]))).otherwise(middle)
+    rows = _ranked(long.withColumn("__part", part), [*keys, "variable"])
+    # Moments around a value amid the column's: squares of large levels would cancel.
+    n, d = F.sum("__v"), F.col("x") - middle
+    one, two = F.sum(d * F.col("__v")), F.sum(d * d * F.col("__v"))
+    mean = F.max(middle) + one / n
+    std = F.when(n > 1, F.sqrt(F.greatest(two - one * one / n, F.lit(0.0)) / (n - 1)))
+    return rows.groupBy(*keys, "variable").agg(
+        n.cast("long").alias("count"), F.when(n > 0, mean).alias("mean"), std.alias("std"), F.min("x").alias("min"),
+        *[_quantile(p).alias(name) for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], F.max("x").alias("max"),
+    )
 
 
 def quantile_edges(df: DataFrame, column: str, parts: int = 10, keys: list[str] = ()) -> DataFrame:
@@ -68,7 +78,7 @@ def quantile_edges(df: DataFrame, column: str, parts: int = 10, keys: list[str]
     x = F.col(column).cast("double")
     (bounds,) = range_bounds(df, [x], _parts(df))
     values = df.select(*keys, x.alias("x")).withColumn("__part", range_of(F.col("x"), bounds))
-    return _quantiles(values, list(keys), [i / parts for i in range(parts)]).withColumnRenamed("q", "edges")
+    return _ranked(values.where("x is not null"), list(keys)).groupBy(*keys).agg(F.array(*[_quantile(i / parts) for i in range(parts)]).alias("edges"))
 
 
 def bucket(value: Column, edges: Column) -> Column:

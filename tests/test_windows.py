@@ -118,3 +118,14 @@ def test_quantiles_against_numpy(spark):
             assert (r.p25, r.p50, r.p75) == tuple(pytest.approx(v) for v in np.quantile(x, [0.25, 0.5, 0.75])) and r["count"] == len(x)
     edges = stats.quantile_edges(df, "small").first().edges
     np.testing.assert_allclose(edges, np.quantile(pdf["small"].dropna(), np.arange(10) / 10))
+
+
+def test_describe_without_values(spark):
+    df = spark.createDataFrame([("a", None, 1e9 + 1), ("a", None, 1e9 + 3), ("b", 2.0, None)], "k string, x double, y double")
+    found = {(r.k, r.variable): r for r in stats.describe(df, ["x", "y"], ["k"]).collect()}
+    assert len(found) == 4 and found["a", "x"]["count"] == 0
+    assert all(found["a", "x"][c] is None for c in ("mean", "std", "min", "p50", "max"))
+    r = found["a", "y"]
+    assert (r["count"], r.mean, r.std, r.min, r.p25, r.p50, r.max) == (2, 1e9 + 2, pytest.approx(2**0.5), 1e9 + 1, 1e9 + 1.5, 1e9 + 2, 1e9 + 3)
+    assert found["b", "x"].std is None and found["b", "x"].mean == 2.0 and found["b", "y"]["count"] == 0
+    assert stats.describe(df.where("false"), ["x"]).count() == 0
