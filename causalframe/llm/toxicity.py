@@ -38,6 +38,8 @@ SAMPLE_ROWS = 6000
 ORDER = 6
 DISCOUNT = 0.75
 STRENGTH = 10
+#: Bytes of input for each group of contexts.
+GROUP_BYTES = 5 << 19
 #: Longer texts are not learnt from.
 SAMPLE_BYTES = 64 << 10
 CUTOFF = 0.7
@@ -121,7 +123,7 @@ def _partial(batches, buckets: int):
         home = dealt(keys)
         order = np.argsort(home, kind="stable")
         edges = np.searchsorted(home[order], np.arange(buckets + 1))
-        for k in range(buckets):
+        for k in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             own = order[edges[k] : edges[k + 1]]
             if len(own):
                 rows.append((k, kind, keys[own].tobytes(), b"" if n is None else n[own].tobytes()))
@@ -215,7 +217,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, parts: int, hel
     """The ratio table and the calibration."""
     width = common.tune(spark)
     sample = common.store(spark, learning.labelled_sample(labels, "toxic", parts, held, sample_rows), "sample")
-    rows = common.map_arrow(learning.marked(docs, sample), lambda b: _partial(b, 4 * width), "bucket int, kind int, keys binary, n binary")
+    buckets = common.groups(docs, width, GROUP_BYTES)
+    rows = common.map_arrow(learning.marked(docs, sample), lambda b: _partial(b, buckets), "bucket int, kind int, keys binary, n binary")
     ratios = Ratios(common.apply_arrow(rows, "bucket", _ratios, "kind int, keys binary, value binary").collect())
 
     def calibrate(batches):
