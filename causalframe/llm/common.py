@@ -10,10 +10,8 @@ bytes is the same as splitting characters.
 from __future__ import annotations
 
 import ctypes
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causalframe.shipping import ship
+
 U64 = np.uint64
 #: Odd multipliers for mixing; any odd constants do.
 K1, K2, K3, K4 = (U64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
@@ -33,7 +33,6 @@ _local_root: list[str] = []
 _stored: list[str] = []
 #: Settings of sessions as they were before `tune`.
 _settings: dict[tuple[str, str], str | None] = {}
-_shipped: set[str] = set()
 
 
 # ---------------------------------------------------------------- shared tables
@@ -83,23 +82,6 @@ def release(spark: SparkSession, since: int = 0) -> None:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each context, unless they are set up to
-    find it themselves (PYTHONPATH, or an installed package)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    context = spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or "site-packages" in root or context.applicationId in _shipped:
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="causalframe-"), "causalframe.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(os.path.join(root, "causalframe")):
-            for f in files:
-                if f.endswith(".py"):
-                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
-
-
 def tune(spark: SparkSession) -> int:
     """Small Arrow batches, since texts can be long, until `release`; returns the shuffle width.
     Results are lazy and take the settings of the time they run, so these must stay."""
@@ -119,6 +101,13 @@ def input_bytes(df: DataFrame) -> int | None:
     return sum(known) if known else None
 
 
+def task_count(df: DataFrame) -> int:
+    """About how many tasks a scan of df's input has, or a shuffle of it."""
+    spark = df.sparkSession
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), (input_bytes(df) or 0) // split)
+
+
 def groups(df: DataFrame, width: int, group_bytes: int) -> int:
     """How many groups to deal df's rows into: by its size, so that a group stays as large as
     it is, and one for each shuffle partition at least (four where the size is not known)."""
@@ -296,10 +285,14 @@ def row_of(first: np.ndarray) -> np.ndarray:
 
 
 # ----------------------------------------------------------- fixed-size tables
-def merge_tables(df: DataFrame, dtype: str, op: str, parts: int = 16) -> np.ndarray:
-    """One table out of the partial ones of all tasks. df: (part int, blob binary);
-    each blob is a zstd-compressed slice of a table whose size does not depend on
-    the data. Slices are merged on executors; the driver gets one table."""
+#: Slices that are merged in one group.
+FAN_IN = 64
+
+
+def merge_tables(df: DataFrame, dtype: str, op: str, fan_in: int = FAN_IN) -> np.ndarray:
+    """One table out of the partial ones of all tasks. df: (part int, blob binary); each blob
+    is a zstd-compressed slice of a table whose size does not depend on the rows. Slices are
+    merged on executors, fan_in tasks' at a time, level by level; the driver gets one table."""
     import zstandard
 
     kind = np.dtype(dtype)
@@ -309,13 +302,17 @@ def merge_tables(df: DataFrame, dtype: str, op: str, parts: int = 16) -> np.ndar
         for blob in table.column("blob"):
             x = np.frombuffer(zstandard.decompress(blob.as_py()), kind)
             total = x.copy() if total is None else (np.bitwise_or if op == "or" else np.add)(total, x, out=total)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
-
-    # Two levels, so that no task gets the slices of more than a few dozen others.
-    split = df.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)).cast("int")).withColumn("both", F.col("part") * 16 + F.col("salt"))
-    once = apply_arrow(split, "both", lambda key, t: merge((pa.scalar(key[0].as_py() // 16, pa.int32()),), t), "part int, blob binary")
-    rows = apply_arrow(once, "part", merge, "part int, blob binary").collect()
-    found = {r["part"]: np.frombuffer(zstandard.decompress(r["blob"]), kind) for r in rows}
+        blob = pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())
+        return pa.table({"part": table.column("part")[:1], "task": table.column("task")[:1], "blob": blob})
+
+    rows, schema = df.withColumn("task", F.spark_partition_id()).select("part", "task", "blob"), "part int, task int, blob binary"
+    # The number of tasks, roughly: with a level too few or too many groups are larger or smaller.
+    tasks = task_count(df)
+    while tasks > fan_in:
+        rows = rows.withColumn("task", (F.col("task") / fan_in).cast("int"))
+        rows = apply_arrow(rows.withColumn("grp", F.concat_ws("/", "part", "task")), "grp", merge, schema)
+        tasks = -(-tasks // fan_in)
+    found = {r["part"]: np.frombuffer(zstandard.decompress(r["blob"]), kind) for r in apply_arrow(rows, "part", merge, schema).collect()}
     return np.concatenate([found[p] for p in sorted(found)]) if found else np.zeros(0, kind)
 
 

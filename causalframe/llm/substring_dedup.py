@@ -386,8 +386,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     rows = _segments(docs, wanted, window, anchor, buckets)
     # Levels of shards by the number of tasks that the scan will have, roughly: with a level
     # too few or too many there are larger or more shards, and the same removals.
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    tasks, level = max(1, (common.input_bytes(docs) or 0) // split), fan_in
+    tasks, level = common.task_count(docs), fan_in
     while tasks > fan_in:
         group = F.concat_ws("/", "bucket", (F.col("part") / level).cast("int"))
         rows = common.apply_arrow(rows.withColumn("grp", group), "grp", _meet(window, False), _ROWS_SQL)

@@ -182,7 +182,7 @@ def test_substring_dedup(spark, docs, empty, tmp_path, monkeypatch, k, m, fan_in
         monkeypatch.setattr(substring_dedup, "PIECE", 7)
         docs.repartition(files).write.parquet(str(tmp_path / "d"))
         docs = spark.read.parquet(str(tmp_path / "d"))
-        monkeypatch.setattr(common, "input_bytes", lambda df: files * (128 << 20))
+        monkeypatch.setattr(common, "task_count", lambda df: files)
         monkeypatch.setattr(common, "groups", lambda df, width, size: 16)
         monkeypatch.setattr(common, "filter_log2", lambda df, bits: 12)
     found = substring_dedup.substring_dedup(spark, docs, k, m, fan_in)
@@ -290,6 +290,22 @@ def test_bloom_never_loses():
     assert b.has(h).all() and b.has(common.mix(h + np.uint64(7))).mean() < 0.2
 
 
+@pytest.mark.parametrize("fan_in", [2, 3, 64])
+def test_tables_are_merged_level_by_level(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(common, "task_count", lambda df: 13)
+
+    def run(batches):
+        table = np.zeros(64, np.uint32)
+        for b in batches:
+            np.add.at(table, b.column(0).to_numpy() % 64, 1)
+        yield common.table_slices(table)
+
+    found = common.merge_tables(common.map_arrow(spark.range(1000).repartition(13), run, "part int, blob binary"), "uint32", "add", fan_in)
+    assert found.tolist() == np.bincount(np.arange(1000) % 64, minlength=64).tolist()
+    bits = common.bloom_of(spark.range(500).repartition(9), ["id"], 14)
+    assert common.Bloom(bits).has(np.arange(500, dtype=np.uint64)).all()
+
+
 def test_components(spark):
     from causalframe.llm.components import components
 
