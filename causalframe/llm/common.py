@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ SLICE_BYTES = 1 << 20
 
 _local_root: list[str] = []
 _stored: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: Settings of sessions as they were before `tune`.
 _settings: dict[tuple[str, str], str | None] = {}
 
@@ -60,7 +62,23 @@ def store(spark: SparkSession, df: DataFrame, name: str, **options: str) -> Data
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that `store` gave and that nothing will read any more."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path in _stored:
+            _stored.remove(path)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def mark() -> int:
@@ -71,10 +89,8 @@ def mark() -> int:
 def release(spark: SparkSession, since: int = 0) -> None:
     """Deletes the tables that this driver stored, or those since a mark, and gives the session
     its own settings back. Call it once results are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while len(_stored) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _stored.pop())
     if not since:
         session = spark._jsparkSession.sessionUUID()
         for own, key in [k for k in _settings if k[0] == session]:

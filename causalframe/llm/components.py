@@ -28,7 +28,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a")
         step = small.select(F.col("a"), F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = common.store(spark, step.distinct(), "edges")
+        before, now = now, common.store(spark, step.distinct(), "edges")
+        common.discard(spark, before, least)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -291,15 +291,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return both.where(100 * shared >= t * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
 
 
-def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of shingles that two components still share, with their roots and the root
-    that most of the shingle's members have (top)."""
+def _small(t: int) -> Column:
+    """Whether a node has as much behind a shingle as it would have to share with a set of its
+    own size: of a pair, the smaller set does at the first shingle that both have."""
+    return F.col("n") - F.col("pos") >= F.ceil(2 * t * F.col("n") / F.lit(100 + t))
+
+
+def _with_roots(members: DataFrame, roots: DataFrame | None, t: int) -> DataFrame:
+    """Members of shingles that two components still share and that a small one has, with
+    their roots and the root that most of the shingle's members have (top)."""
     if roots is None:
         known = members.withColumn("root", F.col("u"))
     else:
         known = members.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    each = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
-    apart = each.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("t")).where("roots > 1").select("token", F.col("t.root").alias("top"))
+    each = known.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.max(_small(t)).alias("small"))
+    apart = each.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), F.max("small").alias("small"), F.max(F.struct("c", "root")).alias("t")).where("roots > 1 and small").select("token", F.col("t.root").alias("top"))
     return known.join(apart, "token")
 
 
@@ -340,8 +346,8 @@ def _all_pairs(spark: SparkSession, members: DataFrame, roots: DataFrame | None,
     The smaller set of a pair (small) needs as much behind the shingle as it would have to
     share with a set of its own size, which ends its prefix early."""
     # Stored, so that the joins deal both sides out anew and can split a frequent shingle.
-    left = common.store(spark, _with_roots(members, roots).select("token", "u", "n", "pos", "root", "top"), "apart")
-    stray, small = F.col("root") != F.col("top"), F.col("n") - F.col("pos") >= F.ceil(2 * t * F.col("n") / F.lit(100 + t))
+    left = common.store(spark, _with_roots(members, roots, t).select("token", "u", "n", "pos", "root", "top"), "apart")
+    stray, small = F.col("root") != F.col("top"), _small(t)
     x, y = (left.select("token", F.col("u").alias(c), F.col("n").alias(f"{c}_n"), F.col("pos").alias(f"{c}_pos"), F.col("root").alias(f"{c}_root"), stray.alias(f"{c}_stray"), small.alias(f"{c}_small")) for c in "ab")
     most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     fits = (F.col("a_root") != F.col("b_root")) & _long_enough(t) & (most >= _need(t))
@@ -349,7 +355,9 @@ def _all_pairs(spark: SparkSession, members: DataFrame, roots: DataFrame | None,
     smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
     x = x.where("a_small")
     pairs = x.where("a_stray").join(y, "token").unionByName(x.where("not a_stray").join(y.where("b_stray"), "token"))
-    return pairs.where(fits & smaller).select("a", "b", "a_n", "b_n").distinct()
+    found = common.store(spark, pairs.where(fits & smaller).select("a", "b", "a_n", "b_n").distinct(), "pairs")
+    common.discard(spark, left)
+    return found
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -372,11 +380,13 @@ def ngram_join(spark: SparkSession, docs: DataFrame, k: int = SHINGLE_WORDS, thr
         members = common.store(spark, _scored(spark, members), "members")
         links = None
         for first in (True, False):
-            pairs = _star_pairs(members, threshold) if first else _all_pairs(spark, members, roots, threshold)
-            found = common.store(spark, _verified(common.store(spark, pairs, "pairs"), sets, threshold), "links")
+            pairs = common.store(spark, _star_pairs(members, threshold), "pairs") if first else _all_pairs(spark, members, roots, threshold)
+            found = common.store(spark, _verified(pairs, sets, threshold), "links")
+            common.discard(spark, pairs)
             if found.head(1):
                 links = found if links is None else links.unionByName(found)
                 roots = common.store(spark, components(spark, links), "roots")
+        common.discard(spark, sets, members)
 
     own = base.where("kind = 'd'").select("doc_id", F.col("n").cast("long").alias("n_shingles"), u)
     if roots is not None:

@@ -39,7 +39,7 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_RUN)
 _HEAD = re.compile(r"(?:^|(?<=[/+_-]))(?:M[A-I]|b3BlbnNzaC1rZXktdjEA)")
 _HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){%d,}(?![0-9A-Fa-f])" % LEAST_BYTES)
 #: Lines of an armoured block may be parted by line ends as they are, or as a string writes them.
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]++|\\[nr])+)-----END \1-----")
 _LINE_END = re.compile(r"\\[nr]|\s+")
 
 HINTS = {
