@@ -778,10 +778,11 @@ def pipeline_estimator(spark, sf_dir):
     return _steps(spark, sf_dir, ml.Estimator(ml.LeastSquares(), ["x"], ["y"], ["ts"]))
 
 
-@query(f"WITH {PX_SQL} SELECT k, ts, round(price - min(price) OVER (PARTITION BY k) + 1, 4) AS price FROM px")
+@query("WITH d AS (SELECT l_returnflag AS k, l_shipdate AS ts, max(l_extendedprice) AS top FROM lineitem GROUP BY ALL) SELECT k, ts, top, round(top - min(top) OVER (PARTITION BY k) + 1, 4) AS price FROM d")
 def rebased_prices(spark, sf_dir):
     """Every series moved so that its smallest price is 1."""
-    return rounded(fin.rebased(prices(spark, sf_dir), "price", ["k"]), "price")
+    top = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("k"), F.col("l_shipdate").alias("ts")).agg(F.max("l_extendedprice").alias("top"))
+    return rounded(fin.rebased(top, "top", ["k"]), "price")
 
 
 @query("SELECT c_mktsegment AS ticker, d AS ts, length(c_mktsegment) + epoch(d - TIMESTAMP '2024-01-01') / 86400 AS price FROM (SELECT DISTINCT c_mktsegment FROM customer), generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-19', INTERVAL 1 DAY) t(d)")
